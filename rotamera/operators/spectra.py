@@ -471,7 +471,8 @@ def fit_shift_fwhm(lines: DataFrame, reference: DataFrame, n: int = GRID,
         T.StructField(c, T.DoubleType()) for c in ("shift", "fwhm", "diversity")] + [
         T.StructField("converged", T.BooleanType())])
     # one copy of its curve for every spectrum: n rows each, whatever the number of lines
-    wanted = small.select(*keys).distinct().join(reference, ref_keys)
+    wanted = (small.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+              .toDF(*keys).join(reference, ref_keys))
     fitted = (small.groupBy(*keys).cogroup(wanted.groupBy(*keys))
               .applyInPandas(_fit_in_task(keys, n, points, passes), schema))
     if large is not None:

@@ -10,6 +10,7 @@ from rotamera.functions.energy import known
 from rotamera.functions.thermo import Conditions, with_gibbs
 from rotamera.operators.energy import BASES, boltzmann
 from rotamera.operators.records import CONF_KEYS, lookback_vectors
+from rotamera.session import cut_lineage
 
 
 def retemper(records: DataFrame, temperatures: Sequence[float], conditions: Conditions = Conditions(),
@@ -33,5 +34,6 @@ def retemper(records: DataFrame, temperatures: Sequence[float], conditions: Cond
     df = df.withColumns({
         "basis_e": F.col("e"), "basis_ezpve": F.when(has, F.col("e") + F.col("zpve")),
         "basis_h": F.when(has, F.col("e") + F.col("h")), "basis_g": F.when(has, known("g"))})
-    return boltzmann(df, {b: F.col(f"basis_{b}") for b in BASES}, F.col("temperature"),
+    # the populations need the energies three times; compute the sums over modes once
+    return boltzmann(cut_lineage(df), {b: F.col(f"basis_{b}") for b in BASES}, F.col("temperature"),
                      [*keys, "temperature"], skip_missing=True)
