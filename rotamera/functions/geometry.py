@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from rotamera.constants import ATOMIC_MASSES
 from rotamera.functions.energy import col
@@ -76,7 +76,7 @@ def distance_matrix(geom: Column | str) -> Column:
     return F.transform(g, lambda p: F.transform(g, lambda q: dist(p, q)))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def distance_spectrum(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Ascending eigenvalues of each geometry's distance matrix: rotation, translation and
     permutation invariant. Geometries of equal size in an Arrow batch share one LAPACK call."""

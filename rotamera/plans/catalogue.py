@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("energy_queries", "thermo_queries", "spectra_queries")
+MODULES = ("energy_queries", "thermo_queries", "spectra_queries",
+           "cluster_queries")
 
 
 def _merged(name: str) -> dict:
