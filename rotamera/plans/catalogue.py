@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = ("energy_queries", "thermo_queries", "spectra_queries",
-           "cluster_queries")
+           "cluster_queries", "source_queries")
 
 
 def _merged(name: str) -> dict:
