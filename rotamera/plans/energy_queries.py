@@ -8,6 +8,7 @@ from rotamera.constants import LEVEL_THRESHOLDS
 from rotamera.functions.energy import effective_energy
 from rotamera.operators import energy as E, records as R
 from rotamera.operators.prune import duplicate_links, survivor_pairs
+from rotamera.plans.refine import Step, refine_step
 from rotamera.plans.tools import K, r, rs, weight_sql
 from rotamera.plans.views import EVENTS, RECORDS, view
 
@@ -221,13 +222,23 @@ def similar_pairs(spark, sf):
                         r("delta_b").alias("delta_b"), r("delta_m").alias("delta_m"))
 
 
+def refined_populations(spark, sf):
+    """A whole step: window, duplicate removal, populations of the survivors."""
+    df = view(spark, sf, "events")
+    records = df.select("ensemble_id", "conf_id", F.lit(0).alias("protocol"), "e", "g", "b")
+    done = refine_step(df.select("ensemble_id", "conf_id", "active"), records,
+                       Step(0, THR_E, THR_B, WINDOW))
+    return done.records.select("ensemble_id", "conf_id", r("erel").alias("erel"),
+                               r("pop").alias("pop"))
+
+
 QUERIES = {f.__name__: f for f in (
     energy_window_populations, relative_energy, energy_window, prune_gate, effective_energies,
     energy_rank, retention_by_ensemble, boltzmann_strict, boltzmann_skip_missing,
     weighted_average, normalised_records, vector_norms, latest_record, pending_records,
     step_summary, record_status, thresholds_by_level, energy_report, ensemble_averages,
     protocol_arithmetic, carry_thermal_correction, lookback_vectors, greedy_dedup,
-    dedup_lineage, similar_pairs)}
+    dedup_lineage, similar_pairs, refined_populations)}
 
 # --- oracles ------------------------------------------------------------------
 
@@ -372,3 +383,10 @@ ORACLES = {
  FROM o JOIN k ON k.ensemble_id = o.ensemble_id AND k.conf_id < o.conf_id
  AND abs(o.e - k.e)*{K} < {THR_E} AND abs(o.b - k.b) < {THR_B}""",
 }
+
+ORACLES["refined_populations"] = f"""{_GREEDY.replace('FROM c WHERE active)', f"""FROM
+ (SELECT ensemble_id, conf_id, coalesce(g, e) AS e, b, (coalesce(g, e) - min(coalesce(g, e))
+  OVER (PARTITION BY ensemble_id))*{K} AS rel FROM c WHERE active) WHERE rel <= {WINDOW})""")},
+ s AS (SELECT o.ensemble_id, o.conf_id, o.e FROM o JOIN links l USING (ensemble_id, conf_id)
+  WHERE l.by_id IS NULL)
+ SELECT ensemble_id, conf_id, {rs('erel')} AS erel, {rs('pop')} AS pop FROM {_boltz('s', 'e', 'ensemble_id')}"""

@@ -1,0 +1,101 @@
+"""One refinement step and the average-energy analysis, composed of the operators."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, functions as F
+
+from rotamera.constants import TEMPERATURE
+from rotamera.functions.energy import effective_energy
+from rotamera.functions.thermo import Conditions
+from rotamera.operators import KEYS
+from rotamera.operators import energy as E
+from rotamera.operators.cluster import cluster_reduce
+from rotamera.operators.grouping import _join_on
+from rotamera.operators.prune import apply_links, duplicate_links
+from rotamera.operators.records import latest_record
+from rotamera.operators.thermo import retemper
+from rotamera.session import cut_lineage
+
+
+@dataclass(frozen=True)
+class Step:
+    """Settings of one step, as a row of the protocol table holds them."""
+
+    protocol: int
+    thr_g: float
+    thr_b: float
+    thr_gmax: float
+    graph: bool = False
+    no_prune: bool = False
+    clustering: bool = False
+    n_clusters: int | None = None
+    block_on_retention_rate: bool = False
+
+    @classmethod
+    def of(cls, row) -> "Step":
+        d = row.asDict()
+        return cls(**{k: d[k] for k in cls.__dataclass_fields__ if k in d})
+
+
+@dataclass
+class Refined:
+    """``conformers`` with active, deactivated_by and cluster as the step leaves them;
+    ``records`` of the step with erel and pop of the survivors; ``retention`` per ensemble."""
+
+    conformers: DataFrame
+    records: DataFrame
+    retention: DataFrame
+
+
+def refine_step(conformers: DataFrame, records: DataFrame, step: Step,
+                temperature: float = TEMPERATURE, keys: Sequence[str] = KEYS,
+                include_h: bool = True) -> Refined:
+    """Energy window, duplicate removal, populations and optional clustering of one step,
+    for all ensembles. Energies and constants come from each conformer's latest record, the
+    mark of missing constants (b = 1) from the step's own, populations from the step's own
+    energies. The cheap window runs first, so the comparison sees fewer rows."""
+    keys = list(keys)
+    ids = [*keys, "conf_id"]
+    seen = records.where(F.col("protocol") <= step.protocol)
+    latest = latest_record(seen.select(*ids, "protocol", "e", "g", "b"), ids)
+    own = records.where(F.col("protocol") == step.protocol)
+    df = _join_on(conformers, latest.drop("protocol"), ids, "left")
+    df = _join_on(df, own.select(*ids, F.col("b").alias("_b_now")), ids, "left")
+    df = df.withColumn("_was", F.col("active"))
+    if not (step.graph or step.no_prune):
+        df = cut_lineage(E.energy_window(df, step.thr_gmax, keys).drop("rel_kcal"))
+        links = cut_lineage(duplicate_links(
+            df, step.thr_g, step.thr_b, keys, e=effective_energy("e", "g"),
+            ref_ok=F.coalesce(F.col("_b_now") != 1, F.lit(True)), active=F.col("active")))
+        df = apply_links(df, links, keys)
+    pruned = cut_lineage(df.drop("_b_now"))
+    survivors = pruned.where("active").select(*ids)
+    rows = own.drop("erel", "pop").join(survivors, ids, "left_semi")
+    populated = E.boltzmann(rows, effective_energy("e", "g"), temperature, keys)
+    report = E.retention(pruned, F.col("_was"), F.col("active"), keys,
+                         explicit_clusters=step.n_clusters is not None)
+    if step.block_on_retention_rate:
+        E.block_on_retention(report)
+    out = pruned
+    if step.clustering:
+        out = cluster_reduce(out, step.n_clusters, keys, include_h)
+    return Refined(out.drop("_was", "e", "g", "b"), populated, report)
+
+
+def average_energies(records: DataFrame, temperatures: Sequence[float] = (TEMPERATURE,),
+                     conditions: Conditions = Conditions(),
+                     operations: Sequence[tuple[int, str, int]] = (), keys: Sequence[str] = KEYS
+                     ) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(per conformer, averages per step, differences and sums of steps) with all
+    thermochemistry recomputed at each temperature."""
+    keys = list(keys)
+    report = cut_lineage(retemper(records, temperatures, conditions, [*keys, "protocol"],
+                                  [*keys, "conf_id"]))
+    averages = E.ensemble_averages(report, [*keys, "protocol", "temperature"])
+    sums = None
+    if operations:
+        sums = E.protocol_arithmetic(averages, operations, [*keys, "temperature"])
+    return report, averages, sums

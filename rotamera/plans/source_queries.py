@@ -142,7 +142,7 @@ def stream_records(spark, sf):
                                for k, v in part.items()})
     texts = log_text.corpus(spark, sf, "orca").withColumnRenamed("text", "value")
     for drop, pick in enumerate((F.col("conf_id") % 2 == 0, F.col("conf_id") % 3 != 1)):
-        (texts.where(pick).withColumn("drop", F.lit(drop)).write.mode("append")
+        (texts.where(pick).withColumn("drop", F.lit(drop)).repartition("conf_id").write.mode("append")
          .partitionBy("drop", *ID, "protocol").text(inbox))
         query = start_stream(spark, inbox, out, ckpt, "orca", keys)
         query.awaitTermination()
