@@ -18,7 +18,8 @@ from rotamera.constants import MIN_PCA_MEMBERS
 from rotamera.functions.energy import effective_energy
 from rotamera.operators import KEYS
 from rotamera.operators.geometry import with_features
-from rotamera.operators.grouping import _join_on, attach, attach_stats, split_by_size
+from rotamera.operators.grouping import (_join_on, attach, attach_stats, dealt_runs,
+                                         split_by_size, spread)
 from rotamera.session import cut_lineage
 
 GROUP_LIMIT = 20_000      # members of an ensemble that one task may cluster
@@ -106,7 +107,7 @@ def pca(df: DataFrame, keys: Sequence[str] = KEYS, features: str = "features") -
         "_x", F.zip_with(F.col(features), "_mean", lambda a, m: a - m)).drop("_mean")
     schema = T.StructType([df.schema[k] for k in keys]
                           + [T.StructField("p", T.ArrayType(T.DoubleType()))])
-    products = (centred.select(*keys, "_x").hint("rebalance", *keys).sortWithinPartitions(*keys)
+    products = (dealt_runs(centred.select(*keys, "_x"), keys, GROUP_LIMIT, F.xxhash64("_x"))
                 .mapInPandas(_partial_products(keys), schema)
                 .select(*keys, F.posexplode("p").alias("_f", "_v"))
                 .groupBy(*keys, "_f").agg(F.sum("_v").alias("_v")))
@@ -234,7 +235,7 @@ def kmeans(df: DataFrame, k: int | Column, keys: Sequence[str] = KEYS, points: s
         out["cluster"] = _lloyd(np.stack(list(pdf["_pts"])), pdf["_h"].to_numpy(),
                                 int(pdf["_k"].iloc[0]), max_iter)
         return out
-    labels = small.groupBy(*keys).applyInPandas(fit, schema)
+    labels = spread(small, keys).groupBy(*keys).applyInPandas(fit, schema)
     if large is not None:
         labels = labels.unionByName(_kmeans_by_rounds(large, keys, "_pts", max_iter)
                                     .select(*keys, "conf_id", "cluster"))
@@ -294,7 +295,7 @@ def _silhouette_by_blocks(rows: DataFrame, keys: list[str], block: int) -> DataF
         out["cluster"] = np.tile(ids, len(a))
         out["total"], out["n"] = total.ravel(), np.tile(count, len(a))
         return out
-    parts = cells.groupBy(*keys, "_r", "_c").applyInPandas(sums, schema)
+    parts = spread(cells, [*keys, "_r", "_c"]).groupBy(*keys, "_r", "_c").applyInPandas(sums, schema)
     conf = [*keys, "conf_id", "own"]
     per = parts.groupBy(*conf, "cluster").agg(F.sum("total").alias("t"), F.sum("n").alias("n"))
     mine = F.col("cluster") == F.col("own")
@@ -324,7 +325,7 @@ def silhouette(df: DataFrame, keys: Sequence[str] = KEYS, points: str = "scores"
         out = pdf[[*keys, "conf_id"]].copy()
         out["silhouette"] = _silhouettes(_distances(x, x), pdf["cluster"].to_numpy())
         return out
-    res = small.groupBy(*keys).applyInPandas(whole, schema)
+    res = spread(small, keys).groupBy(*keys).applyInPandas(whole, schema)
     res = res.withColumn("silhouette", F.nanvl("silhouette", F.lit(None).cast("double")))
     return res if large is None else res.unionByName(_silhouette_by_blocks(large, keys, block))
 
@@ -364,7 +365,7 @@ def silhouette_curve(df: DataFrame, keys: Sequence[str] = KEYS, points: str = "s
             out.append([*[pdf[c].iloc[0] for c in keys], k, score])
         return pd.DataFrame(out, columns=[*keys, "k", "score"])
     dealt = small.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    curve = dealt.groupBy(*keys, "_chunk").applyInPandas(scan, schema)
+    curve = spread(dealt, [*keys, "_chunk"]).groupBy(*keys, "_chunk").applyInPandas(scan, schema)
     curve = curve.withColumn("score", F.nanvl("score", F.lit(None).cast("double")))
     if large is not None:
         large = attach_stats(large.withColumnRenamed("_pts", points), keys, _n=F.count(F.lit(1)))

@@ -70,6 +70,25 @@ def split_by_size(df: DataFrame, keys: Sequence[str], limit: int
     return _join_on(df, names, keys, "left_anti"), _join_on(df, names, keys, "left_semi")
 
 
+def spread(df: DataFrame, keys: Sequence[str | Column]) -> DataFrame:
+    """Hash-partition by ``keys`` into exactly the session's number of shuffle partitions.
+    Work that is heavy per byte needs this: left alone, AQE would merge partitions until each
+    is large in bytes and run them in a few tasks."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
+def dealt_runs(df: DataFrame, keys: Sequence[str], limit: int, salt: Column) -> DataFrame:
+    """Partitions in which the rows of a group stand together, for mergeable sums: a group
+    of up to ``limit`` rows is in one partition, a larger one is dealt out over all by
+    ``salt``."""
+    small, large = split_by_size(df, keys, limit)
+    out = spread(small, list(keys)).sortWithinPartitions(*keys)
+    if large is None:
+        return out
+    return out.unionByName(spread(large, [*keys, salt]).sortWithinPartitions(*keys))
+
+
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rank"
            ) -> DataFrame:
     """1-based position of each row within its group. One global sort spreads a large group

@@ -9,7 +9,7 @@ survivors costs at most nine partners a row however dense the ensemble is.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -19,10 +19,10 @@ from pyspark.sql import types as T
 from rotamera.constants import HARTREE_TO_KCAL
 from rotamera.functions.energy import kcal
 from rotamera.operators import KEYS
-from rotamera.operators.grouping import _join_on, split_by_size
+from rotamera.operators.grouping import _join_on, split_by_size, spread
 from rotamera.session import cut_lineage
 
-GROUP_LIMIT = 50_000      # rows of an ensemble that one task may take
+GROUP_LIMIT = 1_000_000   # rows of an ensemble that one task streams through
 SALTS = 64                # pieces a crowded cell is compared in
 _SLACK = 1.0 + 1e-9       # cells a hair wider than the threshold, so rounding loses no pair
 
@@ -32,32 +32,42 @@ def _similar(x: str, y: str, thr_e: float, thr_b: float) -> Column:
             & (F.abs(F.col(f"{x}b") - F.col(f"{y}b")) < thr_b))
 
 
-def _greedy_in_task(keys: Sequence[str], thr_e: float, thr_b: float):
-    """Sequential first-wins pass over one bounded ensemble, hashing survivors by cell."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_o", kind="stable")
-        e, b = pdf["_e"].to_numpy(), pdf["_b"].to_numpy()
-        o, is_ref = pdf["_o"].to_numpy(), pdf["_ref"].to_numpy()
-        ce = np.floor(e * HARTREE_TO_KCAL / (thr_e * _SLACK)).astype(np.int64)
-        cb = np.floor(b / (thr_b * _SLACK)).astype(np.int64)
-        kept: dict[tuple[int, int], list[int]] = {}
-        dropped, by = [], []
-        for i in range(len(o)):
-            hit = -1
-            for de in (-1, 0, 1):
-                for db in (-1, 0, 1):
-                    for j in kept.get((ce[i] + de, cb[i] + db), ()):
-                        if (abs(e[i] - e[j]) * HARTREE_TO_KCAL < thr_e
-                                and abs(b[i] - b[j]) < thr_b and (hit < 0 or j < hit)):
-                            hit = j
-            if hit >= 0:
-                dropped.append(i)
-                by.append(o[hit])
-            elif is_ref[i]:
-                kept.setdefault((ce[i], cb[i]), []).append(i)
-        out = pdf.iloc[dropped][[*keys, "_o"]].copy()
-        out["_by"] = np.array(by, dtype="int64")
-        return out
+def _greedy_pass(keys: Sequence[str], thr_e: float, thr_b: float):
+    """Sequential first-wins pass over partitions sorted by ensemble and order. Held in
+    memory are the survivors of one ensemble, by cell; rows stream through in batches."""
+    width_e, width_b = thr_e * _SLACK, thr_b * _SLACK
+    stride = 1 << 40      # one integer per cell: stride * energy cell + constant cell
+    near = [stride * i + j for i in (-1, 0, 1) for j in (-1, 0, 1)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: dict[int, list[tuple[float, float, int]]] = {}
+        last: tuple | None = None
+        for pdf in batches:
+            names = pdf[list(keys)]
+            change = (names != names.shift()).any(axis=1).to_numpy().copy()
+            first = tuple(names.iloc[0])
+            change[0] = first != last
+            last = tuple(names.iloc[-1])
+            energy, const = pdf["_e"].to_numpy(), pdf["_b"].to_numpy()
+            cell = (np.floor(energy * HARTREE_TO_KCAL / width_e).astype(np.int64).astype(object)
+                    * stride + np.floor(const / width_b).astype(np.int64)).tolist()
+            order, is_ref = pdf["_o"].tolist(), pdf["_ref"].tolist()
+            hits: list[int | None] = []
+            for i, (e, b) in enumerate(zip(energy.tolist(), const.tolist())):
+                if change[i]:
+                    kept = {}
+                hit = None
+                for d in near:
+                    for ke, kb, ko in kept.get(cell[i] + d, ()):
+                        if (abs(e - ke) * HARTREE_TO_KCAL < thr_e and abs(b - kb) < thr_b
+                                and (hit is None or ko < hit)):
+                            hit = ko
+                hits.append(hit)
+                if hit is None and is_ref[i]:
+                    kept.setdefault(cell[i], []).append((e, b, order[i]))
+            out = pdf[[*keys, "_o"]].copy()
+            out["_by"] = pd.array(hits, dtype="Int64")
+            yield out[out["_by"].notna()]
     return run
 
 
@@ -135,7 +145,8 @@ def duplicate_links(df: DataFrame, thr_e: float, thr_b: float, keys: Sequence[st
     if thr_e <= 0 or thr_b <= 0:
         return rows.where(F.lit(False)).withColumn("_by", F.col("_o")).select(*named)
     small, large = split_by_size(rows, keys, group_limit)
-    links = small.groupBy(*keys).applyInPandas(_greedy_in_task(keys, thr_e, thr_b), schema)
+    links = (spread(small, keys).sortWithinPartitions(*keys, "_o")
+             .mapInPandas(_greedy_pass(keys, thr_e, thr_b), schema))
     if large is not None:
         celled = large.withColumns({
             "_ce": F.floor(kcal(F.col("_e")) / F.lit(thr_e * _SLACK)),

@@ -18,14 +18,15 @@ from rotamera.constants import MIN_WEIGHT, NM_EV, NM_THRESHOLD, TEMPERATURE
 from rotamera.functions.energy import col, effective_energy
 from rotamera.functions.spectral import (as_nanometres, broadened, default_of, grid_points,
                                          grid_x, is_chiral, is_vibrational, max_scale,
-                                         profile, shifted_lines)
+                                         shifted_lines)
 from rotamera.operators import KEYS
 from rotamera.operators.energy import boltzmann
-from rotamera.operators.grouping import attach, attach_stats, split_by_size
+from rotamera.operators.grouping import attach, attach_stats, dealt_runs, split_by_size, spread
 from rotamera.session import cut_lineage
 
 SPECTRUM = ["ensemble_id", "protocol", "graph_type"]
 GRID = 10_000
+LINE_LIMIT = 1_000_000   # lines of one spectrum that one task may broaden
 FIT_LIMIT = 200_000       # lines of one spectrum that one task may fit
 
 
@@ -90,7 +91,7 @@ def _partial_spectra(keys: Sequence[str], n: int):
                 weight = g["w"].to_numpy(dtype=float)
                 for f in np.unique(width):
                     pick = width == f
-                    total += broadened(grids[kind], lines[pick], weight[pick], kind, f)
+                    total += broadened(grids[kind], lines[pick], weight[pick], kind, [f])[0]
             if out:
                 yield pd.DataFrame(out)
         if current is not None:
@@ -99,12 +100,14 @@ def _partial_spectra(keys: Sequence[str], n: int):
 
 
 def convolve(lines: DataFrame, n: int = GRID, keys: Sequence[str] = SPECTRUM,
-             shift: Column | str | None = None, fwhm: Column | str | None = None) -> DataFrame:
+             shift: Column | str | None = None, fwhm: Column | str | None = None,
+             limit: int = LINE_LIMIT) -> DataFrame:
     """Broaden weighted lines (x, w) onto the type's grid: (keys, i, x, y). A type whose
     lines are all at x = 0 gives nothing.
 
-    Lines are rebalanced by spectrum, which splits a spectrum with very many lines over
-    several tasks; each task sums its lines with NumPy and the parts are added per point."""
+    A task sums the lines of its spectra with NumPy. The lines of a spectrum with more than
+    ``limit`` are dealt out over all tasks. Either way a task emits one partial spectrum for
+    each spectrum it saw, and the parts are added point by point."""
     keys = list(keys)
     s = default_of("graph_type", "shift") if shift is None else col(shift)
     f = default_of("graph_type", "fwhm") if fwhm is None else col(fwhm)
@@ -113,8 +116,8 @@ def convolve(lines: DataFrame, n: int = GRID, keys: Sequence[str] = SPECTRUM,
     schema = T.StructType([rows.schema[k] for k in keys] + [
         T.StructField("ys", T.ArrayType(T.DoubleType())),
         T.StructField("nonzero", T.BooleanType())])
-    parts = (rows.hint("rebalance", *keys).sortWithinPartitions(*keys)
-             .mapInPandas(_partial_spectra(keys, n), schema))
+    parts = dealt_runs(rows, keys, limit, F.xxhash64("x", "w")).mapInPandas(
+        _partial_spectra(keys, n), schema)
     return (parts.select(*keys, "nonzero", F.posexplode("ys").alias("i", "y"))
             .groupBy(*keys, "i").agg(F.sum("y").alias("y"), F.bool_or("nonzero").alias("_nz"))
             .where("_nz").select(*keys, "i", grid_x("i", "graph_type", n).alias("x"), "y"))
@@ -189,9 +192,10 @@ def interp_to_grid(curve: DataFrame, n: int = GRID, keys: Sequence[str] = ("grap
                                        "first", "last", F.lit(1).alias("kind"))))
     # grid point i comes before interval i: the point's left neighbour is in an earlier
     # interval, its right one in this or a later interval
-    w = W.partitionBy(*keys).orderBy("i", "kind")
-    left = F.last("last", True).over(w.rowsBetween(W.unboundedPreceding, 0))
-    right = F.first("first", True).over(w.rowsBetween(0, W.unboundedFollowing))
+    up = W.partitionBy(*keys).orderBy("i", "kind").rowsBetween(W.unboundedPreceding, 0)
+    down = (W.partitionBy(*keys).orderBy(F.desc("i"), F.desc("kind"))
+            .rowsBetween(W.unboundedPreceding, 0))
+    left, right = F.last("last", True).over(up), F.last("first", True).over(down)
     y = (F.when(F.col("r.x") == F.col("gx"), F.col("r.y"))
          .when(F.col("l").isNotNull() & F.col("r").isNotNull(),
                F.col("l.y") + (F.col("r.y") - F.col("l.y")) / (F.col("r.x") - F.col("l.x"))
@@ -371,6 +375,7 @@ def _fit_in_task(keys: Sequence[str], n: int, points: int, passes: int):
         if not len(lines) or not len(ref):
             return pd.DataFrame(columns=names)
         kind = lines["graph_type"].iloc[0]
+        ref = ref.sort_values("i")
         use = ref[(ref["weight"] > 0) | ((ref["i"] >= ref["lo"]) & (ref["i"] < ref["hi"]))]
         i = use["i"].to_numpy()
         at = grid_points(kind, n)[i]
@@ -386,12 +391,7 @@ def _fit_in_task(keys: Sequence[str], n: int, points: int, passes: int):
             shifts = _axis(s_lo, s_hi, points if s_hi > s_lo else 1)
             widths = _axis(f_lo, f_hi, points if f_hi > f_lo else 1)
             for s in shifts:
-                moved = shifted_lines(x, kind, s)
-                totals = np.zeros((len(widths), len(at)))
-                for a in range(0, len(moved), 128):
-                    off = at[None, :] - moved[a:a + 128, None]
-                    for k, f in enumerate(widths):
-                        totals[k] += w[a:a + 128] @ profile(off, kind, f)
+                totals = broadened(at, shifted_lines(x, kind, s), w, kind, widths)
                 for k, f in enumerate(widths):
                     d = _score(totals[k], ry, rw, seen, n, scale)
                     if (d, s, f) < best:
@@ -454,7 +454,7 @@ def _fit_by_passes(lines: DataFrame, reference: DataFrame, keys: list[str], ref_
 
 def fit_shift_fwhm(lines: DataFrame, reference: DataFrame, n: int = GRID,
                    keys: Sequence[str] = SPECTRUM, ref_keys: Sequence[str] = ("graph_type",),
-                   shift=None, fwhm=None, points: int = 7, passes: int = 4,
+                   shift=None, fwhm=None, points: int = 5, passes: int = 5,
                    limit: int = FIT_LIMIT) -> DataFrame:
     """(keys, shift, fwhm, diversity, converged): the pair within the bounds whose spectrum
     is least different from the measured curve over the whole grid. A bounded search on
@@ -462,7 +462,9 @@ def fit_shift_fwhm(lines: DataFrame, reference: DataFrame, n: int = GRID,
     defaults. ``shift`` and ``fwhm``: None, number, pair, or those by vibro / electro."""
     keys, ref_keys = list(keys), list(ref_keys)
     (s0, s1), (f0, f1) = _range(shift, "shift_range"), _range(fwhm, "fwhm_range")
-    rows = lines.where(F.col("w") != 0).select(*keys, "x", "w").withColumns({
+    # sized, counted and fitted: three readings of what may be a costly join
+    lines = cut_lineage(lines.where(F.col("w") != 0).select(*keys, "x", "w"))
+    rows = lines.withColumns({
         "s_lo": s0, "s_hi": s1, "f_lo": f0, "f_hi": f1,
         "s_def": default_of("graph_type", "shift"), "f_def": default_of("graph_type", "fwhm")})
     reference = cut_lineage(reference.select(*ref_keys, "i", "y", "weight", "lo", "hi"))
@@ -473,7 +475,7 @@ def fit_shift_fwhm(lines: DataFrame, reference: DataFrame, n: int = GRID,
     # one copy of its curve for every spectrum: n rows each, whatever the number of lines
     wanted = (small.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
               .toDF(*keys).join(reference, ref_keys))
-    fitted = (small.groupBy(*keys).cogroup(wanted.groupBy(*keys))
+    fitted = (spread(small, keys).groupBy(*keys).cogroup(spread(wanted, keys).groupBy(*keys))
               .applyInPandas(_fit_in_task(keys, n, points, passes), schema))
     if large is not None:
         fitted = fitted.unionByName(
