@@ -38,8 +38,8 @@ def internal(geom: Column | str, idx: Sequence[int]) -> Column:
         return F.sqrt(_dot(d, d))
     if len(p) == 3:
         u, v = _sub(p[0], p[1]), _sub(p[2], p[1])
-        cosine = _dot(u, v) / F.sqrt(_dot(u, u) * _dot(v, v))
-        return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
+        cosine = F.try_divide(_dot(u, v), F.sqrt(_dot(u, u) * _dot(v, v)))
+        return F.degrees(F.acos(F.when(cosine.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))))
     if len(p) == 4:
         b1, b2, b3 = _sub(p[1], p[0]), _sub(p[2], p[1]), _sub(p[3], p[2])
         n1, n2 = _cross(b1, b2), _cross(b2, b3)

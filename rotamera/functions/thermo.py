@@ -64,7 +64,7 @@ def rotational_energy(c: Conditions = Conditions()) -> Column:
 def mode_energy(v: Column, c: Conditions = Conditions()) -> Column:
     """Thermal energy of one harmonic mode, in joule."""
     decay = F.exp(-_reduced(v, c))
-    return v * F.lit(QUANTUM) * decay / (1.0 - decay)
+    return F.try_divide(v * F.lit(QUANTUM) * decay, 1.0 - decay)
 
 
 def vibrational_energy(modes: Column, c: Conditions = Conditions()) -> Column:
@@ -83,12 +83,12 @@ def translational_entropy(mass: Column, c: Conditions = Conditions()) -> Column:
 
 def rotational_entropy(b_vec: Column, c: Conditions = Conditions(), symmetry: int = 1) -> Column:
     if c.linear:
-        q = c.t / (F.element_at(b_vec, 1) * F.lit(QUANTUM / BOLTZMANN))
+        q = F.try_divide(c.t, F.element_at(b_vec, 1) * F.lit(QUANTUM / BOLTZMANN))
         extra = 1.0
     else:
         product = F.aggregate(b_vec, F.lit(1.0),
                               lambda a, x: a * x * F.lit(QUANTUM / BOLTZMANN))
-        q = F.sqrt(F.lit(math.pi) * F.pow(c.t, F.lit(3.0)) / product)
+        q = F.sqrt(F.try_divide(F.lit(math.pi) * F.pow(c.t, F.lit(3.0)), product))
         extra = 1.5
     return (F.ln(q / F.lit(float(symmetry))) + F.lit(extra)) * F.lit(
         BOLTZMANN * JOULE_TO_HARTREE)
@@ -97,13 +97,13 @@ def rotational_entropy(b_vec: Column, c: Conditions = Conditions(), symmetry: in
 def mode_entropy_oscillator(v: Column, c: Conditions = Conditions()) -> Column:
     """Harmonic-oscillator entropy of one mode, in J/K."""
     f = _reduced(v, c)
-    return F.lit(BOLTZMANN) * (f / (F.exp(f) - 1.0) - F.ln(1.0 - F.exp(-f)))
+    return F.lit(BOLTZMANN) * (F.try_divide(f, F.exp(f) - 1.0) - F.ln(1.0 - F.exp(-f)))
 
 
 def mean_inertia(b_vec: Column) -> Column:
     """h divided by the mean rotational frequency."""
     total = F.aggregate(b_vec, F.lit(0.0), lambda a, x: a + x)
-    return F.lit(PLANCK / LIGHT_SPEED_CM) * F.size(b_vec) / total
+    return F.try_divide(F.lit(PLANCK / LIGHT_SPEED_CM) * F.size(b_vec), total)
 
 
 def mode_entropy_rotor(v: Column, inertia: Column, c: Conditions = Conditions()) -> Column:
@@ -129,7 +129,7 @@ def electronic_entropy(multiplicity: Column) -> Column:
 def gibbs(e: Column | str, freq: Column | str, mass: Column | str, b_vec: Column | str,
           mult: Column | str, c: Conditions = Conditions()) -> Column:
     """STRUCT<g, zpve, h, s>; ``h`` is the thermal correction, so total enthalpy is e + h.
-    A value that comes out NaN or infinite (say b = 0) is NULL, and so is everything else."""
+    Where a formula has no value, as with a zero rotational constant, the result is NULL."""
     modes, b_vec = real_modes(freq), col(b_vec)
     zpve = zero_point(modes)
     h = (zpve + translational_energy(c)

@@ -121,7 +121,7 @@ def pca(df: DataFrame, keys: Sequence[str] = KEYS, features: str = "features") -
     variance = comps.select(*keys, "_n", total.alias("_t"),
                             F.posexplode("_c.value").alias("pc", "_v")).select(
         *keys, (F.col("pc") + 1).alias("pc"),
-        (F.col("_v") / (F.col("_n") - 1)).alias("variance"),
+        F.try_divide("_v", F.col("_n") - 1).alias("variance"),
         F.when(F.col("_t") > 0, F.col("_v") / F.col("_t")).alias("ratio"))
     loadings = (comps.select(*keys, F.posexplode("_c.vector").alias("pc", "_l"))
                 .select(*keys, (F.col("pc") + 1).alias("pc"),
@@ -300,7 +300,7 @@ def _silhouette_by_blocks(rows: DataFrame, keys: list[str], block: int) -> DataF
     per = parts.groupBy(*conf, "cluster").agg(F.sum("total").alias("t"), F.sum("n").alias("n"))
     mine = F.col("cluster") == F.col("own")
     per = per.groupBy(*conf).agg(
-        F.max(F.when(mine, F.col("t") / (F.col("n") - 1))).alias("a"),
+        F.max(F.when(mine, F.try_divide("t", F.col("n") - 1))).alias("a"),
         F.max(F.when(mine, F.col("n"))).alias("size"),
         F.min(F.when(~mine, F.col("t") / F.col("n"))).alias("b"))
     s = (F.when(F.col("b").isNull(), F.lit(None).cast("double"))

@@ -152,7 +152,7 @@ def reference_units(curve: DataFrame, keys: Sequence[str] = ("graph_type",)) ->
     curve = attach_stats(curve, keys, _min=F.min("x"), _top=F.max(F.abs("y")))
     in_nm = ~is_vibrational("graph_type") & (F.col("_min") > NM_THRESHOLD)
     return (curve.withColumn("x", F.when(in_nm, F.lit(NM_EV) / F.col("x")).otherwise(F.col("x")))
-            .withColumn("y", F.col("y") / F.col("_top")).drop("_min", "_top"))
+            .withColumn("y", F.try_divide("y", "_top")).drop("_min", "_top"))
 
 
 def _grid_of(table: DataFrame, n: int) -> DataFrame:
@@ -252,8 +252,8 @@ def weight_function(on_grid: DataFrame, interest: Interest = None,
     df = df.withColumns({"_t1": F.max("_g1").over(w), "_t2": F.max("_g2").over(w)})
     x, l1, l2 = F.col("x"), F.col("_l1"), F.col("_l2")
     shape = (F.when((x >= F.col("_a")) & (x <= F.col("_b")), 1.0)
-             .when((l1 < x) & (x < F.col("_a")), F.col("_g1") / F.col("_t1"))
-             .when((F.col("_b") < x) & (x < l2), F.col("_g2") / F.col("_t2")).otherwise(0.0))
+             .when((l1 < x) & (x < F.col("_a")), F.try_divide("_g1", "_t1"))
+             .when((F.col("_b") < x) & (x < l2), F.try_divide("_g2", "_t2")).otherwise(0.0))
     shape = F.greatest(F.coalesce(shape, F.lit(0.0)), F.lit(MIN_WEIGHT))
     inside = (x >= l1) & (x <= l2)
     weight = F.when(~inside, 0.0).when(F.col("_a").isNull(), 1.0).otherwise(shape)
@@ -358,6 +358,12 @@ def _zoomed(best: float, lo: float, hi: float, points: int, limits: tuple[float,
     return max(best - step, limits[0]), min(best + step, limits[1])
 
 
+def _narrows_width(done: int, passes: int) -> bool:
+    """While the lines are still off their places a wide shape always scores best, so the
+    width keeps its whole range for the first half of the passes."""
+    return 2 * done >= passes
+
+
 def _score(y: np.ndarray, ref: np.ndarray, weight: np.ndarray, seen: np.ndarray, n: int,
            scale: float) -> float:
     top = np.abs(y[seen]).max() if seen.any() else 0.0
@@ -387,7 +393,7 @@ def _fit_in_task(keys: Sequence[str], n: int, points: int, passes: int):
         slim, flim = (head["s_lo"], head["s_hi"]), (head["f_lo"], head["f_hi"])
         (s_lo, s_hi), (f_lo, f_hi) = slim, flim
         best = (float("inf"), head["s_def"], head["f_def"])
-        for _ in range(passes):
+        for done in range(1, passes + 1):
             shifts = _axis(s_lo, s_hi, points if s_hi > s_lo else 1)
             widths = _axis(f_lo, f_hi, points if f_hi > f_lo else 1)
             for s in shifts:
@@ -399,9 +405,10 @@ def _fit_in_task(keys: Sequence[str], n: int, points: int, passes: int):
             if not np.isfinite(best[0]):
                 break
             s_lo, s_hi = _zoomed(best[1], s_lo, s_hi, points, slim)
-            f_lo, f_hi = _zoomed(best[2], f_lo, f_hi, points, flim)
-        done = bool(np.isfinite(best[0]))
-        row = [head[k] for k in keys] + [best[1], best[2], best[0] if done else None, done]
+            if _narrows_width(done, passes):
+                f_lo, f_hi = _zoomed(best[2], f_lo, f_hi, points, flim)
+        found = bool(np.isfinite(best[0]))
+        row = [head[k] for k in keys] + [best[1], best[2], best[0] if found else None, found]
         return pd.DataFrame([row], columns=names)
     return run
 
@@ -421,7 +428,7 @@ def _fit_by_passes(lines: DataFrame, reference: DataFrame, keys: list[str], ref_
         return F.transform(F.sequence(F.lit(0), last), lambda k: F.col(lo) + k * (
             (F.col(hi) - F.col(lo)) / F.lit(float(max(points - 1, 1)))))
     ref = reference.select(*ref_keys, "i", F.col("y").alias("ry"), "weight", "lo", "hi")
-    for _ in range(passes):
+    for done in range(1, passes + 1):
         cand = (state.select(*keys, F.explode(axis("a_lo", "a_hi")).alias("c_s"),
                              "b_lo", "b_hi")
                 .select(*keys, "c_s", F.explode(axis("b_lo", "b_hi")).alias("c_f")))
@@ -439,8 +446,10 @@ def _fit_by_passes(lines: DataFrame, reference: DataFrame, keys: list[str], ref_
             "d", F.col("c_s").alias("s"), F.col("c_f").alias("f"))).alias("won"))
         state = state.join(won, keys, "left").withColumn(
             "best", F.least("best", "won")).drop("won")
-        for lo, hi, b, l1, l2 in (("a_lo", "a_hi", "best.s", "s_lo", "s_hi"),
-                                  ("b_lo", "b_hi", "best.f", "f_lo", "f_hi")):
+        narrowed = [("a_lo", "a_hi", "best.s", "s_lo", "s_hi")]
+        if _narrows_width(done, passes):
+            narrowed.append(("b_lo", "b_hi", "best.f", "f_lo", "f_hi"))
+        for lo, hi, b, l1, l2 in narrowed:
             step = (F.col(hi) - F.col(lo)) / F.lit(float(max(points - 1, 1)))
             state = state.withColumn("_step", step).withColumns({
                 lo: F.coalesce(F.greatest(F.col(b) - F.col("_step"), F.col(l1)), F.col(lo)),
@@ -454,7 +463,7 @@ def _fit_by_passes(lines: DataFrame, reference: DataFrame, keys: list[str], ref_
 
 def fit_shift_fwhm(lines: DataFrame, reference: DataFrame, n: int = GRID,
                    keys: Sequence[str] = SPECTRUM, ref_keys: Sequence[str] = ("graph_type",),
-                   shift=None, fwhm=None, points: int = 5, passes: int = 5,
+                   shift=None, fwhm=None, points: int = 7, passes: int = 6,
                    limit: int = FIT_LIMIT) -> DataFrame:
     """(keys, shift, fwhm, diversity, converged): the pair within the bounds whose spectrum
     is least different from the measured curve over the whole grid. A bounded search on
