@@ -102,9 +102,11 @@ def pca(df: DataFrame, keys: Sequence[str] = KEYS, features: str = "features") -
              .agg(F.avg("_v").alias("_v"), F.count(F.lit(1)).alias("_n")))
     means = cut_lineage(_packed(means, keys, "_f", "_v", "_mean").join(
         means.where("_f = 0").select(*keys, "_n"), keys))
-    size = means.count()
-    centred = attach(df, means.select(*keys, "_mean"), keys, size).withColumn(
-        "_x", F.zip_with(F.col(features), "_mean", lambda a, m: a - m)).drop("_mean")
+    size = means.agg(F.count(F.lit(1)).alias("n"), F.sum("_n").alias("t"),
+                     F.max(F.size("_mean")).alias("d")).first()
+    d = size["d"] or 1
+    centred = attach(df, means, keys, size["n"], 100 + 8 * d, "_n", size["t"]).withColumn(
+        "_x", F.zip_with(F.col(features), "_mean", lambda a, m: a - m)).drop("_mean", "_n")
     schema = T.StructType([df.schema[k] for k in keys]
                           + [T.StructField("p", T.ArrayType(T.DoubleType()))])
     products = (dealt_runs(centred.select(*keys, "_x"), keys, GROUP_LIMIT, F.xxhash64("_x"))
@@ -113,10 +115,11 @@ def pca(df: DataFrame, keys: Sequence[str] = KEYS, features: str = "features") -
                 .groupBy(*keys, "_f").agg(F.sum("_v").alias("_v")))
     products = _packed(products, keys, "_f", "_v", "_p").join(means.select(*keys, "_n"), keys)
     comps = cut_lineage(products.select(*keys, "_n", _components("_p", "_n").alias("_c")))
-    vectors = comps.select(*keys, F.col("_c.vector").alias("_vec"))
+    vectors = comps.select(*keys, "_n", F.col("_c.vector").alias("_vec"))
     dot = F.transform("_vec", lambda v: F.aggregate(
         F.zip_with(v, F.col("_x"), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x))
-    scores = attach(centred, vectors, keys, size).withColumn("scores", dot).drop("_vec", "_x")
+    scores = attach(centred, vectors, keys, size["n"], 100 + 8 * d * (d + 2), "_n", size["t"])
+    scores = scores.withColumn("scores", dot).drop("_vec", "_x", "_n")
     total = F.aggregate("_c.value", F.lit(0.0), lambda s, x: s + x)
     variance = comps.select(*keys, "_n", total.alias("_t"),
                             F.posexplode("_c.value").alias("pc", "_v")).select(
@@ -189,7 +192,9 @@ def assign_clusters(points: DataFrame, centroids: DataFrame, keys: Sequence[str]
     keys = list(keys)
     packed = cut_lineage(centroids.groupBy(*keys).agg(F.collect_list(
         F.struct(F.col("cluster").alias("id"), "centre")).alias("_centres")))
-    out = attach(points.drop("cluster"), packed, keys, packed.count())
+    size = packed.agg(F.count(F.lit(1)).alias("n"), F.max(
+        F.size("_centres") * (F.size(F.col("_centres")[0]["centre"]) + 4)).alias("w")).first()
+    out = attach(points.drop("cluster"), packed, keys, size["n"], 100 + 8 * (size["w"] or 1))
     return out.withColumn("cluster", _nearest_column(column, "_centres").cast("int")).drop("_centres")
 
 

@@ -69,11 +69,12 @@ def boltzmann(df: DataFrame, energies: Mapping[str, Column] | Column | str,
 
 
 def weighted_average(df: DataFrame, energies: Mapping[str, tuple[str, str]],
-                     keys: Sequence[str] = KEYS) -> DataFrame:
-    """Σ e·pop/100 per group over rows having both; none gives NULL."""
+                     keys: Sequence[str] = KEYS, **more: Column) -> DataFrame:
+    """Σ e·pop/100 per group over rows having both; none gives NULL. ``more`` are further
+    aggregates of the same pass."""
     return df.groupBy(*keys).agg(
         *[F.sum(F.col(e) * F.col(p) / 100.0).alias(n) for n, (e, p) in energies.items()],
-        F.count(F.lit(1)).alias("n_conf"))
+        F.count(F.lit(1)).alias("n_conf"), *[c.alias(n) for n, c in more.items()])
 
 
 def with_bases(df: DataFrame) -> DataFrame:

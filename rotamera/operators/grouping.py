@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from rotamera.session import cut_lineage
 
-BROADCAST_ROWS = 100_000      # a table up to this many narrow rows may be broadcast
+BROADCAST_ROWS = 100_000      # a table of more rows is never broadcast
+BROADCAST_BYTES = 64 << 20    # nor one of more bytes
 
 
 def _join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -29,23 +30,38 @@ def _join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -
     return out.drop(*[f"_key{i}" for i in range(len(keys))])
 
 
-def attach(df: DataFrame, table: DataFrame, keys: Sequence[str], rows: int | None = None,
-           size_col: str | None = None, total: int | None = None) -> DataFrame:
-    """Left-join a one-row-per-key ``table``. Broadcast if its counted size allows. Beyond
-    that the largest groups, whose number is bounded by ``BROADCAST_ROWS / 2`` because each
-    holds more than its share of ``total`` rows, still go by broadcast, and only the small
-    groups shuffle."""
-    if rows is not None and rows <= BROADCAST_ROWS:
+def attach(df: DataFrame, table: DataFrame, keys: Sequence[str], rows: int,
+           row_bytes: int = 100, size_col: str | None = None, total: int | None = None
+           ) -> DataFrame:
+    """Left-join a one-row-per-key ``table`` of ``rows`` rows, none wider than ``row_bytes``.
+
+    It is broadcast if it fits. Beyond that, where ``size_col`` tells each group's share of
+    the ``total`` rows, the groups too large for one task, of which there can only be as many
+    as still fit, go by broadcast and the rest shuffle; without sizes all shuffle and AQE
+    splits the skewed partitions."""
+    room = max(1, min(BROADCAST_ROWS, BROADCAST_BYTES // row_bytes))
+    if rows <= room:
         return _join_on(df, F.broadcast(table), keys, "left")
     if size_col is None or not total:
         return _join_on(df, table, keys, "left")
-    hot = table.where(F.col(size_col) > total / (BROADCAST_ROWS / 2))
-    cold = table.where(F.col(size_col) <= total / (BROADCAST_ROWS / 2))
+    share = total / max(1.0, room / 2)
+    hot = table.where(F.col(size_col) > share)
+    cold = table.where(F.col(size_col) <= share)
     hot_rows = _join_on(df, F.broadcast(hot), keys, "inner")
     rest = _join_on(df, F.broadcast(hot.select(*keys)), keys, "left_anti")
     return hot_rows.unionByName(_join_on(rest, cold, keys, "left"))
 
 
+def lookup(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner",
+           row_bytes: int = 100, ready: bool = False) -> DataFrame:
+    """Join with a table that has few distinct keys, such as one curve per spectrum type, so
+    that a shuffle by key would put most of ``df`` into a few tasks. The table is computed
+    and counted first and broadcast if it fits. (``ready``: it is materialised already.)"""
+    table = table if ready else cut_lineage(table)
+    fits = table.count() <= min(BROADCAST_ROWS, BROADCAST_BYTES // row_bytes)
+    return df.join(F.broadcast(table) if fits else table, list(keys), how)
+
+
 def attach_stats(df: DataFrame, keys: Sequence[str], **stats: Column) -> DataFrame:
     """Add per-group aggregates as columns. The statistics are computed once (partial
     aggregation, one small shuffle) and kept in the checkpoint folder, which also tells
@@ -54,7 +70,8 @@ def attach_stats(df: DataFrame, keys: Sequence[str], **stats: Column) -> DataFra
     table = cut_lineage(df.groupBy(*keys).agg(
         *[c.alias(n) for n, c in stats.items()], F.count(F.lit(1)).alias("_group_rows")))
     size = table.agg(F.count(F.lit(1)).alias("n"), F.sum("_group_rows").alias("t")).first()
-    return attach(df, table, keys, size["n"], "_group_rows", size["t"]).drop("_group_rows")
+    width = 100 + 16 * (len(keys) + len(stats))
+    return attach(df, table, keys, size["n"], width, "_group_rows", size["t"]).drop("_group_rows")
 
 
 def split_by_size(df: DataFrame, keys: Sequence[str], limit: int

@@ -21,7 +21,8 @@ from rotamera.functions.spectral import (as_nanometres, broadened, default_of, g
                                          shifted_lines)
 from rotamera.operators import KEYS
 from rotamera.operators.energy import boltzmann
-from rotamera.operators.grouping import attach, attach_stats, dealt_runs, split_by_size, spread
+from rotamera.operators.grouping import (attach, attach_stats, dealt_runs, lookup,
+                                         split_by_size, spread)
 from rotamera.session import cut_lineage
 
 SPECTRUM = ["ensemble_id", "protocol", "graph_type"]
@@ -281,12 +282,12 @@ def similarity(spectrum: DataFrame, reference: DataFrame, keys: Sequence[str] =
     weighted and not. ``compat`` takes the weights from the start of the grid instead of
     from ``lo``, as some published numbers do. An empty range gives NULL."""
     ref = reference.select(*ref_keys, "i", F.col("y").alias("ry"), "weight", "lo", "hi")
-    pair = spectrum.join(ref, [*ref_keys, "i"]).where(
+    pair = lookup(spectrum, ref, [*ref_keys, "i"]).where(
         (F.col("i") >= F.col("lo")) & (F.col("i") < F.col("hi")))
     if compat:
         moved = reference.select(*ref_keys, (F.col("i") + F.col("lo")).alias("i"),
                                  F.col("weight").alias("_cw"))
-        pair = pair.join(moved, [*ref_keys, "i"], "left").withColumn(
+        pair = lookup(pair, moved, [*ref_keys, "i"], "left").withColumn(
             "weight", F.coalesce("_cw", F.lit(0.0))).drop("_cw")
     scale = F.first(max_scale("graph_type"))
     n = F.count(F.lit(1))
@@ -319,7 +320,7 @@ def overlay(spectrum: DataFrame, reference: DataFrame | None = None,
     comp = spectrum
     if reference is not None:
         bounds = (reference.where("i = 0").select(*ref_keys, "lo", "hi"))
-        comp = comp.join(bounds, list(ref_keys), "left")
+        comp = lookup(comp, bounds, ref_keys, "left")
         known = F.col("hi") > F.col("lo")
         comp = comp.withColumns({"lo": F.when(known, F.col("lo")), "hi": F.when(known, F.col("hi"))})
         comp = max_abs_normalise(comp, keys, "lo", "hi", only_above_one=True).drop("lo", "hi")
@@ -433,11 +434,12 @@ def _fit_by_passes(lines: DataFrame, reference: DataFrame, keys: list[str], ref_
                              "b_lo", "b_hi")
                 .select(*keys, "c_s", F.explode(axis("b_lo", "b_hi")).alias("c_f")))
         packed = cand.groupBy(*keys).agg(F.collect_list(F.struct("c_s", "c_f")).alias("_c"))
-        tried = attach(lines.select(*keys, "x", "w"), packed, keys, packed.count())
+        tried = attach(lines.select(*keys, "x", "w"), packed, keys, packed.count(),
+                       100 + 32 * points * points)
         tried = tried.select(*keys, "x", "w", F.explode("_c").alias("_c")).select(
             *keys, "x", "w", "_c.*")
         ck = [*keys, "c_s", "c_f"]
-        spec = convolve(tried, n, ck, "c_s", "c_f").join(ref, [*ref_keys, "i"])
+        spec = lookup(convolve(tried, n, ck, "c_s", "c_f"), ref, [*ref_keys, "i"], ready=True)
         spec = max_abs_normalise(spec, ck, "lo", "hi")
         d = (spec.where(F.col("y").isNotNull()).groupBy(*ck)
              .agg(diversity(F.col("y"), F.col("ry"), F.col("weight"), F.lit(n),
@@ -482,8 +484,8 @@ def fit_shift_fwhm(lines: DataFrame, reference: DataFrame, n: int = GRID,
         T.StructField(c, T.DoubleType()) for c in ("shift", "fwhm", "diversity")] + [
         T.StructField("converged", T.BooleanType())])
     # one copy of its curve for every spectrum: n rows each, whatever the number of lines
-    wanted = (small.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
-              .toDF(*keys).join(reference, ref_keys))
+    wanted = small.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct().toDF(*keys)
+    wanted = lookup(wanted, reference, ref_keys, ready=True)
     fitted = (spread(small, keys).groupBy(*keys).cogroup(spread(wanted, keys).groupBy(*keys))
               .applyInPandas(_fit_in_task(keys, n, points, passes), schema))
     if large is not None:
@@ -503,7 +505,7 @@ def fitted_spectrum(lines: DataFrame, reference: DataFrame, n: int = GRID,
     with_params = attach(lines, chosen, keys, chosen.count()).where(F.col("_s").isNotNull())
     spec = convolve(with_params, n, keys, "_s", "_f")
     bounds = reference.where("i = 0").select(*ref_keys, "lo", "hi")
-    spec = spec.join(bounds, list(ref_keys))
+    spec = lookup(spec, bounds, ref_keys)
     return params, max_abs_normalise(spec, keys, "lo", "hi").drop("lo", "hi")
 
 
@@ -517,9 +519,10 @@ def spectra(peaks: DataFrame, records: DataFrame, reference: DataFrame | None =
     lines = weighted_peaks(peaks, records, group, population_from, invert)
     if reference is None:
         return default_spectrum(lines, n, keys)
-    types = reference.select(*ref_keys).distinct()
-    with_ref = lines.join(types, list(ref_keys), "left_semi")
-    without = lines.join(types, list(ref_keys), "left_anti")
+    reference = cut_lineage(reference)
+    types = cut_lineage(reference.where("i = 0").select(*ref_keys))
+    with_ref = lookup(lines, types, ref_keys, "left_semi", ready=True)
+    without = lookup(lines, types, ref_keys, "left_anti", ready=True)
     _, fitted = fitted_spectrum(with_ref, reference, n, keys, ref_keys, shift=shift, fwhm=fwhm)
     plain = default_spectrum(without, n, keys)
     return fitted.unionByName(plain)

@@ -27,10 +27,8 @@ def energy_window_populations(spark, sf):
     df = E.energy_window(view(spark, sf, "events"), WINDOW).where("active")
     df = E.boltzmann(df, effective_energy("e", "g"))
     df = df.withColumn("eff", effective_energy("e", "g"))
-    avg = E.weighted_average(df, {"e_av": ("eff", "pop")})
-    peak = df.groupBy("ensemble_id").agg(F.max("pop").alias("top_pop"),
-                                         F.max("erel").alias("max_erel"))
-    return avg.join(peak, "ensemble_id").select(
+    return E.weighted_average(df, {"e_av": ("eff", "pop")}, top_pop=F.max("pop"),
+                              max_erel=F.max("erel")).select(
         "ensemble_id", "n_conf", r("e_av", 8).alias("e_av"), r("top_pop").alias("top_pop"),
         r("max_erel").alias("max_erel"))
 

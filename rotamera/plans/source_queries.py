@@ -137,13 +137,16 @@ def stream_records(spark, sf):
     inbox, out, ckpt = f"{base}/in", f"{base}/records", f"{base}/ckpt"
 
     def keys(df):
-        part = {k: F.regexp_extract("file", f"{k}=([0-9]+)", 1) for k in (*ID, "protocol")}
+        part = {k: F.regexp_extract("file", "record=([0-9]+)-([0-9]+)-([0-9]+)", i)
+                for i, k in enumerate((*ID, "protocol"), start=1)}
         return df.withColumns({k: v.try_cast("int" if k == "protocol" else "long")
                                for k, v in part.items()})
-    texts = log_text.corpus(spark, sf, "orca").withColumnRenamed("text", "value")
-    for drop, pick in enumerate((F.col("conf_id") % 2 == 0, F.col("conf_id") % 3 != 1)):
-        (texts.where(pick).withColumn("drop", F.lit(drop)).repartition("conf_id").write.mode("append")
-         .partitionBy("drop", *ID, "protocol").text(inbox))
+    texts = log_text.corpus(spark, sf, "orca").select(
+        "conf_id", F.concat_ws("-", *ID, "protocol").alias("record"), F.col("text").alias("value"))
+    for drop, pick in enumerate((
+            F.col("conf_id") % 2 == 0, (F.col("conf_id") % 2 == 1) | (F.col("conf_id") % 10 == 0))):
+        (texts.where(pick).repartition("conf_id").drop("conf_id").write
+         .partitionBy("record").text(f"{inbox}/{drop}"))
         query = start_stream(spark, inbox, out, ckpt, "orca", keys)
         query.awaitTermination()
     return spark.read.parquet(out).select(
@@ -217,5 +220,5 @@ ORACLES = {
  {rs('elapsed_s + CASE WHEN protocol = 2 THEN 1 ELSE 0 END', 4)} AS elapsed_s, flag FROM c""",
     "spectrum_sink_roundtrip": SPECTRA_ORACLES["default_spectrum"] + " WHERE protocol IN (0, 2)",
     "stream_records": f"""{_L} SELECT {_I}, 1 AS protocol, {rs('e', 8)} AS e, conf_id % 17 <> 0 AS terminated,
- conf_id % 5 <> 0 AS converged, 24 AS n_freq FROM b WHERE conf_id % 2 = 0 OR conf_id % 3 <> 1""",
+ conf_id % 5 <> 0 AS converged, 24 AS n_freq FROM b""",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rotamera.constants import FWHM_TO_SIGMA, GRAPH_DEFAULTS, NM_EV
 from rotamera.operators import energy as E, spectra as S
-from rotamera.operators.grouping import attach_stats
+from rotamera.operators.grouping import attach_stats, lookup
 from rotamera.plans.tools import K, r, rs, weight_sql
 from rotamera.plans.views import CURVES, PEAK_RECORDS, PEAKS, view
 
@@ -119,7 +119,7 @@ def weight_function_flat(spark, sf):
 
 def _bounded_spectrum(spark, sf, ref):
     spec = S.convolve(_lines(spark, sf), N)
-    spec = spec.join(ref.where("i = 0").select("graph_type", "lo", "hi"), "graph_type")
+    spec = lookup(spec, ref.where("i = 0").select("graph_type", "lo", "hi"), ["graph_type"])
     return S.max_abs_normalise(spec, SPEC, "lo", "hi").drop("lo", "hi")
 
 

@@ -32,7 +32,7 @@ def _numbered_lines(lines: DataFrame) -> DataFrame:
     head = F.first("_head").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     parts = cut_lineage(parts.select(*split, (before - F.col("_first")).alias("_shift"),
                                      F.trim(head).try_cast("int").alias("_n")))
-    out = attach(lines, parts, split, parts.count())
+    out = attach(lines, parts, split, parts.count(), 500)
     return out.withColumn("_line", F.col("_id") + F.col("_shift")).drop("_id", "_shift", "_block")
 
 

@@ -30,14 +30,16 @@ def append_new(batch: DataFrame, out: str) -> None:
     rest = [c for c in batch.columns if c not in KEY]
     fresh = batch.groupBy(*KEY).agg(
         F.max_by(F.struct(*rest), F.col("modified")).alias("_r")).select(*KEY, "_r.*")
+    parsed = fresh = fresh.persist()      # the texts are parsed once for both uses
     try:
         done = spark.read.parquet(out).select(*KEY)
     except AnalysisException:
         done = None
     if done is not None:
-        steps = [r[0] for r in batch.select("protocol").distinct().collect()]
+        steps = [r[0] for r in fresh.select("protocol").distinct().collect()]
         fresh = fresh.join(done.where(F.col("protocol").isin(steps)), KEY, "left_anti")
     fresh.drop("modified").write.mode("append").partitionBy("protocol").parquet(out)
+    parsed.unpersist()
 
 
 def stream_records(spark: SparkSession, in_dir: str, out: str, checkpoint: str,
