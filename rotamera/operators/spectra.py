@@ -124,6 +124,51 @@ def convolve(lines: DataFrame, n: int = GRID, keys: Sequence[str] = SPECTRUM,
             .where("_nz").select(*keys, "i", grid_x("i", "graph_type", n).alias("x"), "y"))
 
 
+def _partial_candidates(keys: Sequence[str], n: int):
+    """As :func:`_partial_spectra`, for every (shift, width) of the run's candidate list."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, cands, total = None, [], np.zeros((0, n))
+
+        def rows():
+            for (s, f), y in zip(cands, total):
+                yield {**dict(zip(keys, current)), "c_s": s, "c_f": f, "ys": y}
+        for pdf in batches:
+            for values, g in pdf.groupby(list(keys), sort=False, dropna=False):
+                if values != current:
+                    if current is not None:
+                        yield pd.DataFrame(list(rows()))
+                    current = values
+                    cands = sorted((c["c_s"], c["c_f"]) for c in g["_c"].iloc[0])
+                    total = np.zeros((len(cands), n))
+                kind = g["graph_type"].iloc[0]
+                x, w = g["x"].to_numpy(dtype=float), g["w"].to_numpy(dtype=float)
+                at = grid_points(kind, n)
+                for s in sorted({s for s, _ in cands}):
+                    mine = [i for i, c in enumerate(cands) if c[0] == s]
+                    total[mine] += broadened(at, shifted_lines(x, kind, s), w, kind,
+                                             [cands[i][1] for i in mine])
+        if current is not None:
+            yield pd.DataFrame(list(rows()))
+    return run
+
+
+def convolve_candidates(lines: DataFrame, candidates: DataFrame, n: int, keys: Sequence[str],
+                        limit: int, row_bytes: int) -> DataFrame:
+    """(keys, c_s, c_f, i, y): spectra for each pair in the list ``_c`` of (keys, _c). The
+    lists meet the lines after these are dealt out, so a line is shuffled once however many
+    pairs there are."""
+    keys = list(keys)
+    runs = dealt_runs(lines.select(*keys, "x", "w"), keys, limit, F.xxhash64("x", "w"))
+    runs = attach(runs, candidates, keys, candidates.count(), row_bytes)
+    schema = T.StructType([lines.schema[k] for k in keys] + [
+        T.StructField("c_s", T.DoubleType()), T.StructField("c_f", T.DoubleType()),
+        T.StructField("ys", T.ArrayType(T.DoubleType()))])
+    parts = runs.mapInPandas(_partial_candidates(keys, n), schema)
+    ck = [*keys, "c_s", "c_f"]
+    return (parts.select(*ck, F.posexplode("ys").alias("i", "y")).groupBy(*ck, "i")
+            .agg(F.sum("y").alias("y")))
+
+
 def max_abs_normalise(spectrum: DataFrame, keys: Sequence[str] = SPECTRUM, lo: str | None = None,
                       hi: str | None = None, only_above_one: bool = False) -> DataFrame:
     """Divide by max |y| over the spectrum, or over points lo <= i < hi where bounds are
@@ -415,9 +460,9 @@ def _fit_in_task(keys: Sequence[str], n: int, points: int, passes: int):
 
 
 def _fit_by_passes(lines: DataFrame, reference: DataFrame, keys: list[str], ref_keys: list[str],
-                   n: int, points: int, passes: int) -> DataFrame:
-    """The same search for spectra with too many lines for one task: candidates are a key of
-    the distributed convolution and each pass picks the best of them."""
+                   n: int, points: int, passes: int, limit: int) -> DataFrame:
+    """The same search for spectra with too many lines for one task: every pass broadens the
+    dealt-out lines for all its candidates, adds the parts up and picks the best."""
     state = cut_lineage(lines.groupBy(*keys).agg(*[
         F.first(c).alias(c) for c in ("s_lo", "s_hi", "f_lo", "f_hi", "s_def", "f_def")])
         .withColumns({"a_lo": F.col("s_lo"), "a_hi": F.col("s_hi"), "b_lo": F.col("f_lo"),
@@ -433,13 +478,11 @@ def _fit_by_passes(lines: DataFrame, reference: DataFrame, keys: list[str], ref_
         cand = (state.select(*keys, F.explode(axis("a_lo", "a_hi")).alias("c_s"),
                              "b_lo", "b_hi")
                 .select(*keys, "c_s", F.explode(axis("b_lo", "b_hi")).alias("c_f")))
-        packed = cand.groupBy(*keys).agg(F.collect_list(F.struct("c_s", "c_f")).alias("_c"))
-        tried = attach(lines.select(*keys, "x", "w"), packed, keys, packed.count(),
-                       100 + 32 * points * points)
-        tried = tried.select(*keys, "x", "w", F.explode("_c").alias("_c")).select(
-            *keys, "x", "w", "_c.*")
+        packed = cut_lineage(cand.groupBy(*keys).agg(
+            F.collect_list(F.struct("c_s", "c_f")).alias("_c")))
         ck = [*keys, "c_s", "c_f"]
-        spec = lookup(convolve(tried, n, ck, "c_s", "c_f"), ref, [*ref_keys, "i"], ready=True)
+        spec = convolve_candidates(lines, packed, n, keys, limit, 100 + 32 * points * points)
+        spec = lookup(spec, ref, [*ref_keys, "i"], ready=True)
         spec = max_abs_normalise(spec, ck, "lo", "hi")
         d = (spec.where(F.col("y").isNotNull()).groupBy(*ck)
              .agg(diversity(F.col("y"), F.col("ry"), F.col("weight"), F.lit(n),
@@ -490,7 +533,7 @@ def fit_shift_fwhm(lines: DataFrame, reference: DataFrame, n: int = GRID,
               .applyInPandas(_fit_in_task(keys, n, points, passes), schema))
     if large is not None:
         fitted = fitted.unionByName(
-            _fit_by_passes(large, reference, keys, ref_keys, n, points, passes))
+            _fit_by_passes(large, reference, keys, ref_keys, n, points, passes, limit))
     return fitted
 
 
