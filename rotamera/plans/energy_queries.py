@@ -9,7 +9,7 @@ from rotamera.functions.energy import effective_energy
 from rotamera.operators import energy as E, records as R
 from rotamera.operators.prune import duplicate_links, survivor_pairs
 from rotamera.plans.refine import Step, refine_step
-from rotamera.plans.tools import K, r, rs, weight_sql
+from rotamera.plans.tools import K, above, above_sql, r, rs, weight_sql
 from rotamera.plans.views import EVENTS, RECORDS, view
 
 PROT = ["ensemble_id", "protocol"]
@@ -81,7 +81,7 @@ def boltzmann_skip_missing(spark, sf):
 def weighted_average(spark, sf):
     df = E.boltzmann(view(spark, sf, "records"), "e", keys=PROT)
     return E.weighted_average(df, {"e_av": ("e", "pop")}, PROT).select(
-        *PROT, "n_conf", r("e_av", 8).alias("e_av"))
+        *PROT, "n_conf", above("e_av").alias("e_av"))
 
 
 def _raw_records(spark, sf):
@@ -110,7 +110,7 @@ def vector_norms(spark, sf):
 def latest_record(spark, sf):
     return R.latest_record(view(spark, sf, "records")).select(
         "ensemble_id", "conf_id", F.col("protocol").cast("long").alias("protocol"),
-        r("e", 8).alias("e"), r("g_e", 8).alias("g_e"), "flag")
+        r("e", 10).alias("e"), r("g_e", 8).alias("g_e"), "flag")
 
 
 def pending_records(spark, sf):
@@ -166,7 +166,7 @@ def _averages(spark, sf):
 def ensemble_averages(spark, sf):
     return _averages(spark, sf).select(
         "ensemble_id", F.col("protocol").cast("long").alias("protocol"), "n_conf",
-        *[r(f"{b}_av", 8).alias(f"{b}_av") for b in E.BASES])
+        *[above(f"{b}_av").alias(f"{b}_av") for b in E.BASES])
 
 
 def protocol_arithmetic(spark, sf):
@@ -318,7 +318,7 @@ ORACLES = {
  SELECT ensemble_id, conf_id, {rs('erel')} AS erel, {rs('pop')} AS pop
  FROM {_boltz('s', 'g', 'ensemble_id', '350e0', strict=False)}""",
     "weighted_average": f"""{_R} SELECT ensemble_id, protocol, count(*) AS n_conf,
- {rs('sum(e*pop/100)', 8)} AS e_av FROM {_boltz('c', 'e', 'ensemble_id, protocol')}
+ {above_sql('sum(e*pop/100)')} AS e_av FROM {_boltz('c', 'e', 'ensemble_id, protocol')}
  GROUP BY ensemble_id, protocol""",
     "normalised_records": f"""{_R}, n AS (SELECT *, CASE WHEN conf_id % 10 = 0 THEN 0e0 ELSE e END AS e2 FROM c)
  SELECT ensemble_id, protocol, conf_id, {rs('nullif(e2, 0)', 10)} AS e, {rs('e + g_e', 10)} AS g,
@@ -330,7 +330,7 @@ ORACLES = {
     "vector_norms": f"""SELECT CAST(label AS BIGINT) AS ensemble_id, vec_id AS conf_id,
  {rs('sqrt(list_sum(list_transform(embedding[25:27], lambda x: pow(abs(CAST(x AS DOUBLE)) + 0.01, 2))))')} AS b
  FROM embeddings""",
-    "latest_record": f"""{_R} SELECT ensemble_id, conf_id, protocol, {rs('e', 8)} AS e, {rs('g_e', 8)} AS g_e, flag
+    "latest_record": f"""{_R} SELECT ensemble_id, conf_id, protocol, {rs('e', 10)} AS e, {rs('g_e', 8)} AS g_e, flag
  FROM c QUALIFY row_number() OVER (PARTITION BY ensemble_id, conf_id ORDER BY protocol DESC) = 1""",
     "pending_records": f"""{_R} SELECT DISTINCT ensemble_id, conf_id FROM c
  WHERE conf_id % 5 <> 0 AND conf_id NOT IN (SELECT conf_id FROM c WHERE protocol = 3)""",
@@ -353,7 +353,7 @@ ORACLES = {
     "energy_report": f"""{_REPORT} SELECT ensemble_id, conf_id, protocol, {rs('pe')} AS pop_e,
  {rs('pz')} AS pop_ezpve, {rs('ph')} AS pop_h, {rs('pg')} AS pop_g FROM p4""",
     "ensemble_averages": f"""{_REPORT} SELECT ensemble_id, protocol, n_conf,
- {', '.join(f"{rs(f'{b}_av', 8)} AS {b}_av" for b in E.BASES)} FROM av""",
+ {', '.join(f"{above_sql(f'{b}_av')} AS {b}_av" for b in E.BASES)} FROM av""",
     "protocol_arithmetic": f"{_REPORT} {_ARITH}",
     "carry_thermal_correction": f"""WITH RECURSIVE c AS ({RECORDS}),
  f AS (SELECT ensemble_id, conf_id, protocol, e, g_e FROM c),

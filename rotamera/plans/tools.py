@@ -18,5 +18,15 @@ def rs(expr: str, digits: int = 6) -> str:
     return f"(round({expr}, {digits}) + 0e0)"
 
 
+def above(c: Column | str) -> Column:
+    """kcal/mol above -100 hartree: the test energies have few decimals, and rounding them as
+    they are would meet exact ties."""
+    return r(((F.col(c) if isinstance(c, str) else c) + 100.0) * HARTREE_TO_KCAL, 5)
+
+
+def above_sql(expr: str) -> str:
+    return rs(f"({expr} + 100)*{K}", 5)
+
+
 def weight_sql(excess_kcal: str, temperature: str = "298.15e0") -> str:
     return f"exp(-({excess_kcal}) * {1000.0 * CAL_TO_J!r}e0 / ({GAS_CONSTANT!r}e0 * {temperature}))"
