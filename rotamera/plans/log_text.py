@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rotamera.constants import GHZ_PER_WAVENUMBER, WAVENUMBERS_PER_EV
+from rotamera.operators.grouping import spread
 from rotamera.plans.views import table
 
 STATES = 6
@@ -21,7 +22,8 @@ def numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
                         lambda i: F.when(i % 3 == 0, "H").otherwise("C"))
     geom = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.transform(
         F.slice(v, i * 3 + 1, F.lit(3)), lambda x: x.cast("double")))
-    return table(spark, sf_dir, "embeddings").select(
+    # rendering is heavy per byte and the tables are single small files
+    return spread(table(spark, sf_dir, "embeddings"), ["vec_id"]).select(
         F.col("label").cast("long").alias("ensemble_id"), F.col("vec_id").alias("conf_id"),
         F.lit(1).alias("protocol"), atoms.alias("atoms"), geom.alias("geom"),
         (v[63].cast("double") / 100 - 100).alias("e"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rotamera.constants import TEMPERATURE
 from rotamera.functions.energy import effective_energy
@@ -15,7 +15,8 @@ from rotamera.operators import energy as E
 from rotamera.operators.cluster import cluster_reduce
 from rotamera.operators.grouping import _join_on
 from rotamera.operators.prune import apply_links, duplicate_links
-from rotamera.operators.records import latest_record
+from rotamera.operators.records import (complete_thermochemistry, latest_record,
+                                        normalise_records, record_status, with_norms)
 from rotamera.operators.thermo import retemper
 from rotamera.session import cut_lineage
 
@@ -40,6 +41,24 @@ class Step:
         return cls(**{k: d[k] for k in cls.__dataclass_fields__ if k in d})
 
 
+def records_from_logs(parsed: DataFrame, opt: Column, freq: Column, skip_opt_fail: Column,
+                      mult: Column, freq_factor: Column | float = 1.0,
+                      conditions: Conditions = Conditions()) -> DataFrame:
+    """Parsed outputs of a step to its records: status rules, thermochemistry where the step
+    has frequencies, norms and normalisation. Needs ``mass``. Rows that are not ``ok`` keep
+    their status and carry no numbers; see ``carry_thermal_correction`` for steps without
+    frequencies."""
+    asked = F.coalesce(freq, F.lit(False))
+    df = parsed.withColumn("freq", F.when(asked, F.col("freq")).otherwise(
+        F.array().cast("array<double>")))
+    df = record_status(df.withColumn("n_freq", F.size("freq")), opt, asked, skip_opt_fail)
+    df = complete_thermochemistry(df.withColumn("mult", mult), conditions, freq_factor)
+    df = normalise_records(with_norms(df))
+    numbers = ("e", "g", "h", "s", "g_e", "zpve", "b", "m")
+    df = df.withColumns({c: F.when(F.col("status") == "ok", F.col(c)) for c in numbers})
+    return df.drop("n_freq", "terminated", "converged", "version")
+
+
 @dataclass
 class Refined:
     """``conformers`` with active, deactivated_by and cluster as the step leaves them;

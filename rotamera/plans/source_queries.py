@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from rotamera.constants import LEVEL_THRESHOLDS
 from rotamera.operators import spectra as S
+from rotamera.operators.geometry import with_mass
 from rotamera.operators.records import record_status
 from rotamera.plans import log_text
+from rotamera.plans.refine import records_from_logs
 from rotamera.plans.spectra_queries import ORACLES as SPECTRA_ORACLES, N, _lines, _out
+from rotamera.plans.thermo_queries import _gibbs_cte
 from rotamera.plans.tools import r, rs
 from rotamera.plans.views import GEOMETRIES, RECORDS, geometries, view
 from rotamera.session import ensure_checkpoint_dir
@@ -97,6 +100,17 @@ def log_status(spark, sf):
     return df.select("dialect", *ID, "terminated", "converged", "status", "active", "failed")
 
 
+def log_records(spark, sf):
+    """Outputs to finished records: status, scaled frequencies, thermochemistry, norms."""
+    df = with_mass(log_text.numbers(spark, sf).select(
+        *ID, "protocol", "atoms", log_text.orca_text().alias("text")))
+    parsed = logs.parse_logs(df, "orca", only=("e", "b_vec", "m_vec", "freq", "terminated", "converged"))
+    rec = records_from_logs(parsed, F.col("conf_id") % 2 == 0, F.lit(True), F.lit(True), F.lit(1), 0.97)
+    return rec.select(*ID, "status", "active", r("e", 8).alias("e"), r("g", 7).alias("g"),
+                      r("g_e", 7).alias("g_e"), r("h", 7).alias("h"), r(F.col("s") * 1e6, 5).alias("s"),
+                      r("zpve", 7).alias("zpve"), r("b").alias("b"), r("m").alias("m"))
+
+
 def protocol_table(spark, sf):
     """One JSON document of steps per conformer of the record view."""
     step = F.struct(
@@ -156,7 +170,7 @@ def stream_records(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     xyz_roundtrip, xyz_text, log_energy, log_geometry, log_b_dipole, log_frequencies,
-    log_vibrational_lines, log_excitations, log_status, protocol_table, state_roundtrip,
+    log_vibrational_lines, log_excitations, log_status, log_records, protocol_table, state_roundtrip,
     spectrum_sink_roundtrip, stream_records)}
 
 # --- oracles ------------------------------------------------------------------
@@ -207,6 +221,19 @@ ORACLES = {
  CASE WHEN conf_id % 17 = 0 THEN 'crashed' WHEN conf_id % 2 = 0 AND conf_id % 5 = 0 THEN 'not_converged'
  ELSE 'ok' END AS status FROM l) SELECT dialect, {_I}, terminated, converged, status,
  status = 'ok' AS active, status = 'not_converged' AND conf_id % 3 <> 0 AS failed FROM s""",
+    "log_records": f"""{_L}, n AS (SELECT *, list_filter(list_transform(v[1:24], lambda x: x*1000*0.97e0),
+  lambda x: x > 0) AS m, list_transform(v[25:27], lambda x: abs(x) + 0.01e0) AS b_vec,
+  {7 * 1.008 + 14 * 12.011!r}e0 AS mass, 1 AS mult,
+  sqrt(v[28]*v[28] + v[29]*v[29] + v[30]*v[30]) AS mn,
+  CASE WHEN conf_id % 17 = 0 THEN 'crashed' WHEN conf_id % 2 = 0 AND conf_id % 5 = 0 THEN 'not_converged'
+  ELSE 'ok' END AS status FROM b), {_gibbs_cte('t', 'n')},
+ k AS (SELECT *, status = 'ok' AS active FROM t)
+ SELECT {_I}, status, active, CASE WHEN active THEN {rs('e', 8)} END AS e,
+ CASE WHEN active THEN {rs('gg', 7)} END AS g, CASE WHEN active THEN {rs('gg - e', 7)} END AS g_e,
+ CASE WHEN active THEN {rs('hh', 7)} END AS h, CASE WHEN active THEN {rs('ss*1e6', 5)} END AS s,
+ CASE WHEN active THEN {rs('zz', 7)} END AS zpve, CASE WHEN active THEN
+ {rs('sqrt(b_vec[1]*b_vec[1] + b_vec[2]*b_vec[2] + b_vec[3]*b_vec[3])')} END AS b,
+ CASE WHEN active THEN {rs('mn')} END AS m FROM k""",
     "protocol_table": f"""WITH c AS ({RECORDS}), s AS (SELECT *, CASE flag WHEN 'A' THEN 1 ELSE 0 END
  + CASE WHEN elapsed_s > 40 THEN 2 ELSE 0 END AS lv FROM c), d(lv, level, tg, tb, tm) AS (VALUES {_PROT})
  SELECT {_I}, CAST(protocol AS BIGINT) AS protocol,
