@@ -6,7 +6,7 @@ take a distributed form of the same algorithm, so no task ever holds an unbounde
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +23,7 @@ from rotamera.operators.grouping import (_join_on, attach, attach_stats, dealt_r
 from rotamera.session import cut_lineage
 
 GROUP_LIMIT = 20_000      # members of an ensemble that one task may cluster
-SCAN_LIMIT = 4_000        # members of an ensemble whose k scan one task may take
+SCAN_LIMIT = 3_000        # members of an ensemble whose k scan one task may take
 BLOCK = 2_000             # members per side of a distance block
 SEED = 42
 
@@ -109,8 +109,9 @@ def pca(df: DataFrame, keys: Sequence[str] = KEYS, features: str = "features") -
         "_x", F.zip_with(F.col(features), "_mean", lambda a, m: a - m)).drop("_mean", "_n")
     schema = T.StructType([df.schema[k] for k in keys]
                           + [T.StructField("p", T.ArrayType(T.DoubleType()))])
-    products = (dealt_runs(centred.select(*keys, "_x"), keys, GROUP_LIMIT, F.xxhash64("_x"))
-                .mapInPandas(_partial_products(keys), schema)
+    parts = (dealt_runs(centred.select(*keys, "_x"), keys, GROUP_LIMIT, F.xxhash64("_x"))
+             .mapInPandas(_partial_products(keys), schema))
+    products = (spread(parts, keys)
                 .select(*keys, F.posexplode("p").alias("_f", "_v"))
                 .groupBy(*keys, "_f").agg(F.sum("_v").alias("_v")))
     products = _packed(products, keys, "_f", "_v", "_p").join(means.select(*keys, "_n"), keys)
@@ -249,13 +250,16 @@ def kmeans(df: DataFrame, k: int | Column, keys: Sequence[str] = KEYS, points: s
 
 # --- silhouettes --------------------------------------------------------------
 
-def _silhouettes(dist: np.ndarray, labels: np.ndarray) -> np.ndarray:
+def _silhouettes(distances: Callable[[slice], np.ndarray], labels: np.ndarray,
+                 block: int = 256) -> np.ndarray:
+    """``distances`` gives the rows of the distance matrix in a slice."""
     ids, own = np.unique(labels, return_inverse=True)
     if len(ids) < 2:
         return np.full(len(labels), np.nan)
     member = np.eye(len(ids))[own]
     sizes = member.sum(axis=0)
-    sums = dist @ member
+    sums = np.concatenate([distances(slice(a, a + block)) @ member
+                           for a in range(0, len(labels), block)])
     at = np.arange(len(labels))
     a = sums[at, own] / np.maximum(sizes[own] - 1, 1)
     others = sums / sizes
@@ -328,7 +332,7 @@ def silhouette(df: DataFrame, keys: Sequence[str] = KEYS, points: str = "scores"
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(list(pdf["_pts"]))
         out = pdf[[*keys, "conf_id"]].copy()
-        out["silhouette"] = _silhouettes(_distances(x, x), pdf["cluster"].to_numpy())
+        out["silhouette"] = _silhouettes(lambda s: _distances(x[s], x), pdf["cluster"].to_numpy())
         return out
     res = spread(small, keys).groupBy(*keys).applyInPandas(whole, schema)
     res = res.withColumn("silhouette", F.nanvl("silhouette", F.lit(None).cast("double")))
@@ -366,7 +370,7 @@ def silhouette_curve(df: DataFrame, keys: Sequence[str] = KEYS, points: str = "s
             if int(len(x) * 0.8) < lo:
                 score = np.nan
             else:
-                score = _silhouettes(dist, _lloyd(x, h, k, max_iter)).mean()
+                score = _silhouettes(lambda s: dist[s], _lloyd(x, h, k, max_iter)).mean()
             out.append([*[pdf[c].iloc[0] for c in keys], k, score])
         return pd.DataFrame(out, columns=[*keys, "k", "score"])
     dealt = small.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))

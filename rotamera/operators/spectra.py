@@ -28,7 +28,7 @@ from rotamera.session import cut_lineage
 SPECTRUM = ["ensemble_id", "protocol", "graph_type"]
 GRID = 10_000
 LINE_LIMIT = 1_000_000   # lines of one spectrum that one task may broaden
-FIT_LIMIT = 200_000       # lines of one spectrum that one task may fit
+FIT_LIMIT = 10_000        # lines of one spectrum that one task may fit
 
 
 # --- weighted line lists ------------------------------------------------------
@@ -108,7 +108,8 @@ def convolve(lines: DataFrame, n: int = GRID, keys: Sequence[str] = SPECTRUM,
 
     A task sums the lines of its spectra with NumPy. The lines of a spectrum with more than
     ``limit`` are dealt out over all tasks. Either way a task emits one partial spectrum for
-    each spectrum it saw, and the parts are added point by point."""
+    each spectrum it saw, so there are at most as many parts as tasks, and these are added
+    point by point."""
     keys = list(keys)
     s = default_of("graph_type", "shift") if shift is None else col(shift)
     f = default_of("graph_type", "fwhm") if fwhm is None else col(fwhm)
@@ -119,7 +120,9 @@ def convolve(lines: DataFrame, n: int = GRID, keys: Sequence[str] = SPECTRUM,
         T.StructField("nonzero", T.BooleanType())])
     parts = dealt_runs(rows, keys, limit, F.xxhash64("x", "w")).mapInPandas(
         _partial_spectra(keys, n), schema)
-    return (parts.select(*keys, "nonzero", F.posexplode("ys").alias("i", "y"))
+    # the compact parts are shuffled, by spectrum; the sums per point and any later window
+    # over a spectrum then need no shuffle of their own
+    return (spread(parts, keys).select(*keys, "nonzero", F.posexplode("ys").alias("i", "y"))
             .groupBy(*keys, "i").agg(F.sum("y").alias("y"), F.bool_or("nonzero").alias("_nz"))
             .where("_nz").select(*keys, "i", grid_x("i", "graph_type", n).alias("x"), "y"))
 
@@ -165,7 +168,7 @@ def convolve_candidates(lines: DataFrame, candidates: DataFrame, n: int, keys: S
         T.StructField("ys", T.ArrayType(T.DoubleType()))])
     parts = runs.mapInPandas(_partial_candidates(keys, n), schema)
     ck = [*keys, "c_s", "c_f"]
-    return (parts.select(*ck, F.posexplode("ys").alias("i", "y")).groupBy(*ck, "i")
+    return (spread(parts, ck).select(*ck, F.posexplode("ys").alias("i", "y")).groupBy(*ck, "i")
             .agg(F.sum("y").alias("y")))
 
 

@@ -81,7 +81,9 @@ def refine_step(conformers: DataFrame, records: DataFrame, step: Step,
     seen = records.where(F.col("protocol") <= step.protocol)
     latest = latest_record(seen.select(*ids, "protocol", "e", "g", "b"), ids)
     own = records.where(F.col("protocol") == step.protocol)
-    df = _join_on(conformers, latest.drop("protocol"), ids, "left")
+    # geometries stay out of all intermediate tables
+    narrow = conformers.select(*ids, "active")
+    df = _join_on(narrow, latest.drop("protocol"), ids, "left")
     df = _join_on(df, own.select(*ids, F.col("b").alias("_b_now")), ids, "left")
     df = df.withColumn("_was", F.col("active"))
     if not (step.graph or step.no_prune):
@@ -98,10 +100,12 @@ def refine_step(conformers: DataFrame, records: DataFrame, step: Step,
                          explicit_clusters=step.n_clusters is not None)
     if step.block_on_retention_rate:
         E.block_on_retention(report)
-    out = pruned
+    if "deactivated_by" not in pruned.columns:
+        pruned = pruned.withColumn("deactivated_by", F.lit(None).cast("long"))
+    out = _join_on(conformers.drop("active", "deactivated_by"), pruned.drop("_was"), ids, "left")
     if step.clustering:
         out = cluster_reduce(out, step.n_clusters, keys, include_h)
-    return Refined(out.drop("_was", "e", "g", "b"), populated, report)
+    return Refined(out.drop("e", "g", "b"), populated, report)
 
 
 def average_energies(records: DataFrame, temperatures: Sequence[float] = (TEMPERATURE,),
