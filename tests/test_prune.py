@@ -90,3 +90,20 @@ def test_two_row_step(spark):
     assert [(r.conf_id, r["pop"], r.erel) for r in done.records.collect()] == [(1, 100.0, 0.0)]
     untouched = refine_step(confs, recs, Step(1, 0.5, 10.0, 10.0, no_prune=True))
     assert untouched.conformers.where("active").count() == 3
+
+
+def test_step_with_clustering(spark):
+    rnd = random.Random(5)
+    confs = spark.createDataFrame(
+        [("m", i, True, ["C"] * 4, [[rnd.random() for _ in range(3)] for _ in range(4)]) for i in range(60)],
+        "ensemble_id string, conf_id long, active boolean, atoms array<string>, geom array<array<double>>")
+    recs = spark.createDataFrame([("m", i, 0, -100.0 + i * 1e-5, None, float(i)) for i in range(60)],
+                                 "ensemble_id string, conf_id long, protocol int, e double, g double, b double")
+    done = refine_step(confs, recs, Step(0, 0.1, 0.1, 100.0, clustering=True, n_clusters=5))
+    rows = done.conformers.collect()
+    assert len(rows) == 60 and sum(r.active for r in rows) == 5
+    best = {}
+    for r in rows:
+        best[r.cluster] = min(best.get(r.cluster, 99), r.conf_id)
+    assert {r.conf_id for r in rows if r.active} == set(best.values())
+    assert done.records.count() == 60 and done.retention.first().retention == 1.0
