@@ -24,7 +24,9 @@ scores come from the vocabulary's order alone; ``base_score`` is null then, sinc
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -63,18 +65,19 @@ def trie(scores: dict[bytes, float]) -> dict[bytes, float | None]:
 _MISS = object()
 
 
-def arcs(word: bytes, prefixes: dict) -> list[list[tuple[int, float]]]:
-    """For each position the pieces (end, score) that start there."""
-    n, get = len(word), prefixes.get
+def arcs(word: bytes, prefixes: dict) -> list[list[tuple[int, float, bytes]]]:
+    """For each position the pieces (end, score, piece) that start there."""
+    n, get, miss = len(word), prefixes.get, _MISS
     out = []
     for i in range(n):
         here = []
         for j in range(i + 1, n + 1):
-            s = get(word[i:j], _MISS)
-            if s is _MISS:
+            p = word[i:j]
+            s = get(p, miss)
+            if s is miss:
                 break
             if s is not None:
-                here.append((j, s))
+                here.append((j, s, p))
         out.append(here)
     return out
 
@@ -90,18 +93,18 @@ def forward(lattice) -> list[float]:
     """Log probability of reaching each position, over all segmentations up to it."""
     n = len(lattice)
     into: list[list[float]] = [[] for _ in range(n + 1)]
-    alpha = [-math.inf] * (n + 1)
-    alpha[0] = 0.0
-    for i in range(n + 1):
-        if i:
-            if not into[i]:
-                continue
-            alpha[i] = _logsum(into[i])
+    into[0].append(0.0)
+    alpha = []
+    for i, terms in enumerate(into):
+        if not terms:
+            alpha.append(-math.inf)
+            continue
+        a = _logsum(terms)
+        alpha.append(a)
         if i < n:
-            a = alpha[i]
-            for j, s in lattice[i]:
+            for j, s, _ in lattice[i]:
                 into[j].append(a + s)
-        into[i] = []
+        into[i] = ()
     return alpha
 
 
@@ -115,31 +118,32 @@ def log_probability(word: bytes, prefixes: dict, whole: float = -math.inf,
 
 def expected(word: bytes, prefixes: dict, into: dict[bytes, float]) -> None:
     """Add the expected uses of each piece in spelling a word once."""
-    w = b" " + word
-    lattice = arcs(w, prefixes)
+    lattice = arcs(b" " + word, prefixes)
     alpha = forward(lattice)
-    n, z = len(w), alpha[-1]
+    z, n, exp = alpha[-1], len(lattice), math.exp
     beta = [0.0] * (n + 1)
     for i in range(n - 1, -1, -1):
-        terms = [s + beta[j] for j, s in lattice[i]]
-        beta[i] = _logsum(terms) if terms else -math.inf
-        if terms and alpha[i] > -math.inf:
-            a = alpha[i] - z
-            for (j, _), t in zip(lattice[i], terms):
-                p = w[i:j]
-                into[p] = into.get(p, 0.0) + math.exp(a + t)
-
-
-def _pack(at: np.ndarray) -> bytes:
+        here, a = lattice[i], alpha[i]
+        if a == -math.inf or not here:
+            beta[i] = -math.inf
+            continue
+        # what a path through each arc weighs in all; together they weigh alpha + beta
+        share = [exp(a + s + beta[j] - z) for j, s, _ in here]
+        for (_, _, p), x in zip(here, share):
+            into[p] += x
+        total = sum(share)
+        beta[i] = math.log(total) + z - a if total else -math.inf
+
+
+def _pack(at: np.ndarray, compress) -> bytes:
     """A bag of positions: sorted, differences, byte planes, compressed."""
-    import zstandard
-    d = np.diff(np.sort(at), prepend=0).astype("<u4")
-    return zstandard.compress(d.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    at.sort()
+    d = np.diff(at, prepend=at.dtype.type(0)).astype("<u4", copy=False)
+    return compress(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 4).T))
 
 
-def _unpack(data: bytes) -> np.ndarray:
-    import zstandard
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+def _unpack(data: bytes, decompress) -> np.ndarray:
+    planes = np.frombuffer(decompress(data), np.uint8).reshape(4, -1)
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64))
 
 
@@ -154,17 +158,19 @@ def chunked(docs: DataFrame, key: str, text: str, held: Column, chunk_bytes: int
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import secrets
+
+        import zstandard
+        compress = zstandard.ZstdCompressor(level=1).compress
         schema = None
-        seen: dict[bytes, int] = {}
+        seen: dict[bytes, int] = defaultdict(count().__next__)
         train: list[np.ndarray] = []
         ids, helds, bags, size = [], [], [], 0
 
         def flush():
             nonlocal seen, train, ids, helds, bags, size
             chunk = secrets.randbits(62)
-            counts = np.zeros(len(seen), np.int64)
-            for t in train:
-                counts += np.bincount(t, minlength=len(seen))
+            counts = np.bincount(np.concatenate(train) if train else np.zeros(0, np.int32),
+                                 minlength=len(seen))
             names, n = list(seen), len(seen)
             for lo in range(0, n, 50_000):
                 hi = min(n, lo + 50_000)
@@ -178,7 +184,8 @@ def chunked(docs: DataFrame, key: str, text: str, held: Column, chunk_bytes: int
                 pa.array(np.full(m, chunk)), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()),
                 pa.nulls(m, pa.int64()), pa.array(ids, schema), pa.array(helds, pa.bool_()),
                 pa.array(bags, pa.binary())], NAMES)
-            seen, train, ids, helds, bags, size = {}, [], [], [], [], 0
+            seen = defaultdict(count().__next__)
+            train, ids, helds, bags, size = [], [], [], [], 0
 
         NAMES = ["chunk", "word", "at", "n_train", "id", "held", "bag"]
         for b in batches:
@@ -187,12 +194,12 @@ def chunked(docs: DataFrame, key: str, text: str, held: Column, chunk_bytes: int
                                b.column("held").to_pylist()):
                 w = words(t)
                 w.append(END)
-                at = np.fromiter([seen.setdefault(x, len(seen)) for x in w], np.int64, len(w))
+                at = np.fromiter(map(seen.__getitem__, w), np.int32, len(w))
                 if not h:
-                    train.append(at.astype(np.int32))
+                    train.append(at.copy())
                 ids.append(i)
                 helds.append(h)
-                bags.append(_pack(at))
+                bags.append(_pack(at, compress))
                 size += len(t or "") + 64
                 if size >= chunk_bytes:
                     yield from flush()
@@ -208,7 +215,7 @@ def reweight(spark: SparkSession, counts: DataFrame,
     shared = spark.sparkContext.broadcast(scores)
 
     def expect(batches):
-        prefixes, into = trie(shared.value), {}
+        prefixes, into = trie(shared.value), defaultdict(float)
         for b in batches:
             for w in b.column("word").to_pylist():
                 expected(w, prefixes, into)
@@ -263,6 +270,8 @@ def score(docs: DataFrame, held: Column, vocab_path: str, key: str = "doc_id",
     id_type = dict(chunks.dtypes)["id"]
 
     def add(batches):
+        import zstandard
+        decompress = zstandard.ZstdDecompressor().decompress
         chunk, known, base, own, fill = None, None, None, None, []
         for b in batches:
             kinds = b.column("kind").to_numpy()
@@ -287,7 +296,7 @@ def score(docs: DataFrame, held: Column, vocab_path: str, key: str = "doc_id",
                 for i, h, bag in zip(part.column("id").to_pylist(),
                                      part.column("held").to_pylist(),
                                      part.column("bag").to_pylist()):
-                    at = _unpack(bag)
+                    at = _unpack(bag, decompress)
                     for x, y in zip(rows, (i, h, len(at), int(known[at].sum()),
                                            None if scale is None else
                                            float(base[at].sum() - len(at) * scale),
