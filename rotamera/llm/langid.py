@@ -3,7 +3,7 @@ by stochastic gradient descent, with calibrated confidence and rejection.
 
 A text's vector is the mean of the embeddings of the hashed n-grams of all its words. Since
 the classifier above it is linear, embedding and classifier fold into one table of class
-scores per bucket once training is over, and a word's score is a sum that can be remembered.
+scores per bucket once training is over, so a prediction is one sum over a text's buckets.
 
 Defined results: a null text or one without a letter gets ``und``, score 0, rejected. Ties go
 to the language first in order. Equal texts get equal results. With no labelled row there is
@@ -24,37 +24,45 @@ DIMS = 16
 GRAMS = (1, 2, 3, 4)
 PER_LANGUAGE = 800       # rows a language gives to training, at most about
 LANGUAGES = 400          # languages learned, the most frequent ones
-CACHE = 200_000          # distinct words a task remembers
+STRETCH = 1 << 18        # code points hashed at once
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+SHIFT = np.uint64(64 - 15)
 KEEP = 0.999             # share of right validation rows that rejection must keep
 UND = "und"
 
 
-def subwords(word: str) -> list[int]:
-    """Buckets of the n-grams of a word with its ends marked, and of the whole word."""
-    import zlib
-    w = f"<{word}>".encode("utf-32-le")
-    n = len(w) // 4
-    grams = {w[4 * i:4 * (i + k)] for k in GRAMS for i in range(n - k + 1)} | {w}
-    return [zlib.crc32(g) % BUCKETS for g in sorted(grams)]
-
-
-def letters():
-    import regex
-    return regex.compile(r"\p{L}+").findall
-
-
-def bag(text: str | None, find, seen: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of a whole text and their counts."""
-    counts = np.zeros(BUCKETS, np.int32)
-    for w in find((text or "").lower()):
-        b = seen.get(w)
-        if b is None:
-            b = subwords(w)
-            if len(seen) >= CACHE:
-                seen.clear()
-            if len(w) < 64:
-                seen[w] = b
-        counts[b] += 1
+def letter_table() -> np.ndarray:
+    """Whether each code point is a letter."""
+    import unicodedata
+    return np.array([unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)])
+
+
+def bag(text: str | None, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of a whole text and their counts. Words are runs of letters in lower
+    case with their ends marked; all n-grams of a stretch are hashed at once."""
+    codes = np.frombuffer((text or "").lower().encode("utf-32-le"), np.uint32)
+    codes = np.where(letters[codes], codes, np.uint32(0))
+    edge = np.ones(len(codes), bool)
+    edge[1:] = (codes[1:] != 0) | (codes[:-1] != 0)
+    codes = np.concatenate([np.zeros(1, np.uint64), codes[edge], np.zeros(1, np.uint64)])
+    counts = np.zeros(BUCKETS, np.int64)
+    for lo in range(0, len(codes), STRETCH):
+        # a stretch has the n-grams that start in it
+        part = codes[lo:lo + STRETCH + max(GRAMS) - 1].astype(np.uint64)
+        h = np.zeros(len(part), np.uint64)
+        for n in range(1, min(max(GRAMS), len(part)) + 1):
+            m = min(STRETCH, len(part) - n + 1)
+            h = h[:m] * FACTOR + part[n - 1:n - 1 + m] + np.uint64(n)
+            if n == 1:
+                inside = part[:m] != 0
+            elif n == 2:
+                inside = inside[:m] | (part[1:1 + m] != 0)
+            else:                             # ends of words stand at an n-gram's ends only
+                inside = inside[:m] & (part[n - 2:n - 2 + m] != 0)
+            if n in GRAMS:
+                mixed = h ^ (h >> np.uint64(29))
+                counts += np.bincount(((mixed[inside] * FACTOR) >> SHIFT).astype(np.int64),
+                                      minlength=BUCKETS)
     at = np.flatnonzero(counts)
     return at.astype(np.int32), counts[at]
 
@@ -152,10 +160,11 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "do
     Texts become bags of buckets in tasks; only bags reach the driver."""
     rows = sample_rows(docs, text, label, key, per_language, languages)
 
+    shared = docs.sparkSession.sparkContext.broadcast(letter_table())
+
     def bags(batches):
-        find, seen = letters(), {}
         for b in batches:
-            got = [bag(t, find, seen) for t in b.column("text").to_pylist()]
+            got = [bag(t, shared.value) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column("h"), b.column("label"), pa.array([g[0] for g in got], pa.list_(pa.int32())),
                  pa.array([g[1] for g in got], pa.list_(pa.int32()))], ["h", "label", "at", "n"])
@@ -173,37 +182,18 @@ SCHEMA = "lang_pred string, score double, rejected boolean"
 def predictor(df: DataFrame, model: Model):
     """A Column function: text -> struct(lang_pred, score, rejected)."""
     shared = df.sparkSession.sparkContext.broadcast(
-        (model.labels, model.table, model.bias, model.temperature, model.threshold))
+        (model.labels, model.table.astype(np.float64), model.bias, model.temperature,
+         model.threshold, letter_table()))
 
     @F.arrow_udf(SCHEMA)
     def predict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        labels, table, bias, temperature, threshold = shared.value
-        find, k = letters(), len(labels)
-        known: dict[str, int] = {}
-        sums = np.zeros((1024, k + 1))
-
-        def place(w: str) -> int:
-            nonlocal sums
-            at = len(known)
-            if at == len(sums):
-                sums = np.concatenate([sums, np.zeros_like(sums)])
-            b = subwords(w)
-            sums[at, :k] = table[b].sum(0)
-            sums[at, k] = len(b)
-            known[w] = at
-            return at
+        labels, table, bias, temperature, threshold, letters = shared.value
 
         def one(text):
-            got = find((text or "").lower())
-            if not got or not k:
+            at, n = bag(text, letters)
+            if not len(at) or not labels:
                 return UND, 0.0, True
-            total = np.zeros(k + 1)
-            for lo in range(0, len(got), 1 << 16):
-                if len(known) > CACHE:
-                    known.clear()
-                at = [known[w] if w in known else place(w) for w in got[lo:lo + (1 << 16)]]
-                total += sums[at].sum(0)
-            z = (total[:k] / total[k] + bias) * temperature
+            z = (n @ table[at] / n.sum() + bias) * temperature
             p = np.exp(z - z.max())
             p /= p.sum()
             best = int(p.argmax())
