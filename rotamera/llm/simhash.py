@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType
 
 from rotamera.llm.common import components, runs, star, words
 from rotamera.operators.grouping import lookup
@@ -57,7 +58,7 @@ def fingerprint_of(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(on, bitorder="little").view("<u8")[0])
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(LongType())
 def fingerprint(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """64-bit SimHash of word shingles, as a signed long."""
     for a in texts:
