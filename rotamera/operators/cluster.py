@@ -428,7 +428,11 @@ def cluster_reduce(df: DataFrame, k: int | None = None, keys: Sequence[str] = KE
         labels = kmeans(scores, F.col("_best_k"), keys)
     else:
         labels = kmeans(scores, k, keys)
-    labels = cut_lineage(labels.select(*keys, "conf_id", "cluster"))
-    out = _join_on(df.drop("cluster"), labels, [*keys, "conf_id"], "left")
-    clustered, rest = out.where("cluster IS NOT NULL"), out.where("cluster IS NULL")
-    return cluster_representatives(clustered, keys, energy).unionByName(rest).drop("_active")
+    labels = cut_lineage(labels.select(*keys, "conf_id", F.col("cluster").alias("_now")))
+    out = _join_on(df, labels, [*keys, "conf_id"], "left")
+    # members left out now keep the label of an earlier clustering
+    earlier = ["cluster"] if "cluster" in df.columns else []
+    out = out.withColumn("cluster", F.coalesce("_now", *earlier))
+    clustered, rest = out.where("_now IS NOT NULL"), out.where("_now IS NULL")
+    return (cluster_representatives(clustered, keys, energy).unionByName(rest)
+            .drop("_active", "_now"))

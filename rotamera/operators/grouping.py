@@ -39,7 +39,7 @@ def attach(df: DataFrame, table: DataFrame, keys: Sequence[str], rows: int,
     the ``total`` rows, the groups too large for one task, of which there can only be as many
     as still fit, go by broadcast and the rest shuffle; without sizes all shuffle and AQE
     splits the skewed partitions."""
-    room = max(1, min(BROADCAST_ROWS, BROADCAST_BYTES // row_bytes))
+    room = min(BROADCAST_ROWS, BROADCAST_BYTES // row_bytes)
     if rows <= room:
         return _join_on(df, F.broadcast(table), keys, "left")
     if size_col is None or not total:

@@ -69,10 +69,10 @@ def has_peaks(peaks: DataFrame, records: DataFrame, keys: Sequence[str] = KEYS)
 def _partial_spectra(keys: Sequence[str], n: int):
     """Sum each run of equal keys in a sorted partition onto the grid. State is one run."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, total, nonzero = None, None, False
+        current, total, nonzero, weighted = None, None, False, False
 
-        def row(values, y, flag):
-            return {**dict(zip(keys, values)), "ys": y, "nonzero": flag}
+        def row(values, y, *flags):
+            return {**dict(zip(keys, values)), "ys": y, **dict(zip(("nonzero", "weighted"), flags))}
 
         grids: dict[str, np.ndarray] = {}
         for pdf in batches:
@@ -83,20 +83,21 @@ def _partial_spectra(keys: Sequence[str], n: int):
                     grids[kind] = grid_points(kind, n)
                 if values != current:
                     if current is not None:
-                        out.append(row(current, total, nonzero))
-                    current, total, nonzero = values, np.zeros(n), False
+                        out.append(row(current, total, nonzero, weighted))
+                    current, total, nonzero, weighted = values, np.zeros(n), False, False
                 x = g["x"].to_numpy(dtype=float)
                 nonzero = nonzero or bool((x != 0).any())
                 lines = shifted_lines(x, kind, g["shift"].to_numpy(dtype=float))
                 width = g["fwhm"].to_numpy(dtype=float)
                 weight = g["w"].to_numpy(dtype=float)
+                weighted = weighted or bool((weight != 0).any())
                 for f in np.unique(width):
                     pick = width == f
                     total += broadened(grids[kind], lines[pick], weight[pick], kind, [f])[0]
             if out:
                 yield pd.DataFrame(out)
         if current is not None:
-            yield pd.DataFrame([row(current, total, nonzero)])
+            yield pd.DataFrame([row(current, total, nonzero, weighted)])
     return run
 
 
@@ -113,18 +114,21 @@ def convolve(lines: DataFrame, n: int = GRID, keys: Sequence[str] = SPECTRUM,
     keys = list(keys)
     s = default_of("graph_type", "shift") if shift is None else col(shift)
     f = default_of("graph_type", "fwhm") if fwhm is None else col(fwhm)
-    rows = (lines.where(F.col("w") != 0)
+    # lines without weight add nothing, but count when all x = 0 is judged
+    rows = (lines.where(F.col("w").isNotNull() & ((F.col("w") != 0) | (F.col("x") != 0)))
             .select(*keys, "x", "w", s.alias("shift"), f.alias("fwhm")))
     schema = T.StructType([rows.schema[k] for k in keys] + [
         T.StructField("ys", T.ArrayType(T.DoubleType())),
-        T.StructField("nonzero", T.BooleanType())])
+        T.StructField("nonzero", T.BooleanType()), T.StructField("weighted", T.BooleanType())])
     parts = dealt_runs(rows, keys, limit, F.xxhash64("x", "w")).mapInPandas(
         _partial_spectra(keys, n), schema)
     # the compact parts are shuffled, by spectrum; the sums per point and any later window
     # over a spectrum then need no shuffle of their own
-    return (spread(parts, keys).select(*keys, "nonzero", F.posexplode("ys").alias("i", "y"))
-            .groupBy(*keys, "i").agg(F.sum("y").alias("y"), F.bool_or("nonzero").alias("_nz"))
-            .where("_nz").select(*keys, "i", grid_x("i", "graph_type", n).alias("x"), "y"))
+    return (spread(parts, keys)
+            .select(*keys, "nonzero", "weighted", F.posexplode("ys").alias("i", "y"))
+            .groupBy(*keys, "i").agg(F.sum("y").alias("y"), F.bool_or("nonzero").alias("_nz"),
+                                     F.bool_or("weighted").alias("_w"))
+            .where("_nz AND _w").select(*keys, "i", grid_x("i", "graph_type", n).alias("x"), "y"))
 
 
 def _partial_candidates(keys: Sequence[str], n: int):
@@ -427,8 +431,12 @@ def _fit_in_task(keys: Sequence[str], n: int, points: int, passes: int):
     sum, and only those in [lo, hi) the normalisation, so no others are computed."""
     def run(lines: pd.DataFrame, ref: pd.DataFrame) -> pd.DataFrame:
         names = [*keys, "shift", "fwhm", "diversity", "converged"]
-        if not len(lines) or not len(ref):
+        if not len(lines):
             return pd.DataFrame(columns=names)
+        if not len(ref):                      # no measured curve: the defaults
+            head = lines.iloc[0]
+            return pd.DataFrame([[head[k] for k in keys] + [
+                head["s_def"], head["f_def"], None, False]], columns=names)
         kind = lines["graph_type"].iloc[0]
         ref = ref.sort_values("i")
         use = ref[(ref["weight"] > 0) | ((ref["i"] >= ref["lo"]) & (ref["i"] < ref["hi"]))]

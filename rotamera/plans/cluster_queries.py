@@ -11,11 +11,11 @@ from rotamera.operators.prune import duplicate_links
 from rotamera.plans.tools import K, r, rs
 from rotamera.plans.views import GEOMETRIES, geometries, table
 
-KM_K, KM_ITER, DIMS = 4, 6, 8
+KM_K, KM_ITER, DIMS = 4, 6, 64
 
 
 def _points(spark, sf):
-    """Eight coordinates and a label per conformer."""
+    """All coordinates and a label per conformer."""
     v = F.col("embedding")
     return table(spark, sf, "embeddings").select(
         F.col("label").cast("long").alias("ensemble_id"), F.col("vec_id").alias("conf_id"),

@@ -328,7 +328,7 @@ ORACLES = {
  CASE WHEN g_e IS NOT NULL THEN 0.0001e0 END AS s,
  CASE WHEN e2 <> 0 THEN {rs('g_e', 8)} END AS g_e FROM n""",
     "vector_norms": f"""SELECT CAST(label AS BIGINT) AS ensemble_id, vec_id AS conf_id,
- {rs('sqrt(list_sum(list_transform(embedding[25:27], lambda x: pow(abs(CAST(x AS DOUBLE)) + 0.01, 2))))')} AS b
+ {rs('sqrt(list_sum(list_transform(embedding[61:63], lambda x: pow(abs(CAST(x AS DOUBLE)) + 0.01, 2))))')} AS b
  FROM embeddings""",
     "latest_record": f"""{_R} SELECT ensemble_id, conf_id, protocol, {rs('e', 10)} AS e, {rs('g_e', 8)} AS g_e, flag
  FROM c QUALIFY row_number() OVER (PARTITION BY ensemble_id, conf_id ORDER BY protocol DESC) = 1""",

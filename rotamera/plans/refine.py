@@ -102,7 +102,11 @@ def refine_step(conformers: DataFrame, records: DataFrame, step: Step,
         E.block_on_retention(report)
     if "deactivated_by" not in pruned.columns:
         pruned = pruned.withColumn("deactivated_by", F.lit(None).cast("long"))
-    out = _join_on(conformers.drop("active", "deactivated_by"), pruned.drop("_was"), ids, "left")
+    pruned = pruned.drop("_was").withColumnRenamed("deactivated_by", "_by")
+    out = _join_on(conformers.drop("active"), pruned, ids, "left")
+    # what an earlier step removed stays on record
+    earlier = ["deactivated_by"] if "deactivated_by" in conformers.columns else []
+    out = out.withColumn("deactivated_by", F.coalesce("_by", *earlier)).drop("_by")
     if step.clustering:
         out = cluster_reduce(out, step.n_clusters, keys, include_h)
     return Refined(out.drop("e", "g", "b"), populated, report)

@@ -1,6 +1,5 @@
-"""Registered queries over line lists, spectra and measured curves. Grids are shorter than
-the default 10,000 points so that the SQL side, which joins every line to every grid point,
-stays affordable; the line lists are whole."""
+"""Registered queries over line lists, spectra and measured curves. The line lists are whole; grids
+have 1,000 points, of which every one is compared."""
 
 from __future__ import annotations
 
@@ -12,7 +11,7 @@ from rotamera.operators.grouping import attach_stats, lookup
 from rotamera.plans.tools import K, r, rs, weight_sql
 from rotamera.plans.views import CURVES, PEAK_RECORDS, PEAKS, view
 
-N = 200
+N = 1000
 SPEC = S.SPECTRUM
 
 

@@ -58,22 +58,22 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Thermochemistry input: 24 modes of both signs, three rotational constants."""
+    """Thermochemistry input: 60 modes of both signs, three rotational constants, an energy."""
     v = F.col("embedding")
     return table(spark, sf_dir, "embeddings").select(
         F.col("label").cast("long").alias("ensemble_id"), F.col("vec_id").alias("conf_id"),
-        F.transform(F.slice(v, 1, 24), lambda x: x.cast("double") * 1000).alias("freq"),
-        F.transform(F.slice(v, 25, 3), lambda x: F.abs(x.cast("double")) + 0.01).alias("b_vec"),
+        F.transform(F.slice(v, 1, 60), lambda x: x.cast("double") * 1000).alias("freq"),
+        F.transform(F.slice(v, 61, 3), lambda x: F.abs(x.cast("double")) + 0.01).alias("b_vec"),
         (F.col("label") + 100).cast("double").alias("mass"),
         (F.col("vec_id") % 3 + 1).alias("mult"),
-        (v[27].cast("double") / 100 - 100).alias("e"))
+        (v[63].cast("double") / 100 - 100).alias("e"))
 
 
 FREQUENCIES = """SELECT CAST(label AS BIGINT) AS ensemble_id, vec_id AS conf_id,
- list_transform(embedding[1:24], lambda x: CAST(x AS DOUBLE)*1000) AS freq,
- list_transform(embedding[25:27], lambda x: abs(CAST(x AS DOUBLE)) + 0.01) AS b_vec,
+ list_transform(embedding[1:60], lambda x: CAST(x AS DOUBLE)*1000) AS freq,
+ list_transform(embedding[61:63], lambda x: abs(CAST(x AS DOUBLE)) + 0.01) AS b_vec,
  CAST(100 + label AS DOUBLE) AS mass, 1 + vec_id % 3 AS mult,
- -100 + CAST(embedding[28] AS DOUBLE)/100 AS e FROM embeddings"""
+ -100 + CAST(embedding[64] AS DOUBLE)/100 AS e FROM embeddings"""
 
 
 def geometries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,6 +92,19 @@ def test_two_row_step(spark):
     assert untouched.conformers.where("active").count() == 3
 
 
+def test_second_step_keeps_what_the_first_removed(spark):
+    confs = spark.createDataFrame([("m", i, True) for i in (1, 2, 3)],
+                                  "ensemble_id string, conf_id long, active boolean")
+    recs = spark.createDataFrame(
+        [("m", 1, 1, -100.0, None, 10.0), ("m", 2, 1, -100.0001, None, 10.01), ("m", 3, 1, -99.999, None, 20.0),
+         ("m", 1, 2, -100.0, None, 10.0), ("m", 3, 2, -100.0, None, 10.0)],
+        "ensemble_id string, conf_id long, protocol int, e double, g double, b double")
+    first = refine_step(confs, recs, Step(1, 0.5, 10.0, 10.0)).conformers
+    second = refine_step(first, recs, Step(2, 0.5, 10.0, 10.0)).conformers
+    got = {r.conf_id: (r.active, r.deactivated_by) for r in second.collect()}
+    assert got == {1: (True, None), 2: (False, 1), 3: (False, 1)}
+
+
 def test_step_with_clustering(spark):
     rnd = random.Random(5)
     confs = spark.createDataFrame(

@@ -182,3 +182,21 @@ def test_spectra_mixes_fitted_and_default_types(spark):
     assert {x.protocol for x in again.select("protocol").distinct().collect()} == {1}
     borrowed = S.respectra(p, r, [1], population_from=0, n=N)
     assert borrowed.count() == 2 * N
+
+
+@pytest.mark.parametrize("limit", [10**6, 1])
+def test_spectrum_without_a_curve_gets_the_defaults(spark, limit):
+    n = 200
+    rows = [("a", 1, kind, float(x), float(w)) for kind in ("IR", "UV") for x, w in zip(*some_lines(kind, 5))]
+    ref = S.reference_on_grid(spark.createDataFrame(_reference_for(spark, "IR", .95, 8.0, n),
+                                                    "graph_type string, x double, y double"), n)
+    out = S.fit_shift_fwhm(spark.createDataFrame(rows, LINES), ref, n, points=3, passes=1, limit=limit)
+    got = {r.graph_type: r for r in out.collect()}
+    assert got.keys() == {"IR", "UV"} and got["IR"].converged
+    assert not got["UV"].converged and got["UV"].diversity is None and got["UV"].shift is not None
+
+
+def test_lines_without_weight_count_for_the_place(spark):
+    rows = [("a", 1, "IR", 0.0, 1.0), ("a", 1, "IR", 900.0, 0.0), ("b", 1, "IR", 0.0, 1.0)]
+    out = S.convolve(spark.createDataFrame(rows, LINES), 50)
+    assert {r.ensemble_id for r in out.select("ensemble_id").distinct().collect()} == {"a"}
