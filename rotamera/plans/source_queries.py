@@ -102,11 +102,16 @@ def log_status(spark, sf):
 
 def log_records(spark, sf):
     """Outputs to finished records: status, scaled frequencies, thermochemistry, norms."""
-    df = with_mass(log_text.numbers(spark, sf).select(
-        *ID, "protocol", "atoms", log_text.orca_text().alias("text")))
-    parsed = logs.parse_logs(df, "orca", only=("e", "b_vec", "m_vec", "freq", "terminated", "converged"))
+    outputs = with_mass(log_text.numbers(spark, sf))
+    want = ("e", "b_vec", "m_vec", "freq", "terminated", "converged")
+    parsed = None
+    for d, text in (("orca", log_text.orca_text()), ("gaussian", log_text.gaussian_text())):
+        df = outputs.select(*ID, "protocol", "atoms", "mass", F.lit(d).alias("dialect"),
+                            text.alias("text"))
+        part = logs.parse_logs(df, d, only=want)
+        parsed = part if parsed is None else parsed.unionByName(part)
     rec = records_from_logs(parsed, F.col("conf_id") % 2 == 0, F.lit(True), F.lit(True), F.lit(1), 0.97)
-    return rec.select(*ID, "status", "active", r("e", 8).alias("e"), r("g", 7).alias("g"),
+    return rec.select("dialect", *ID, "status", "active", r("e", 8).alias("e"), r("g", 7).alias("g"),
                       r("g_e", 7).alias("g_e"), r("h", 7).alias("h"), r(F.col("s") * 1e6, 5).alias("s"),
                       r("zpve", 7).alias("zpve"), r("b").alias("b"), r("m").alias("m"))
 
@@ -146,26 +151,23 @@ def spectrum_sink_roundtrip(spark, sf):
 
 
 def stream_records(spark, sf):
-    """Outputs arriving in two drops, the second with repeats; the table holds each once."""
-    base = _scratch(spark)
-    inbox, out, ckpt = f"{base}/in", f"{base}/records", f"{base}/ckpt"
-
-    def keys(df):
-        part = {k: F.regexp_extract("file", "record=([0-9]+)-([0-9]+)-([0-9]+)", i)
-                for i, k in enumerate((*ID, "protocol"), start=1)}
-        return df.withColumns({k: v.try_cast("int" if k == "protocol" else "long")
-                               for k, v in part.items()})
-    texts = log_text.corpus(spark, sf, "orca").select(
-        "conf_id", F.concat_ws("-", *ID, "protocol").alias("record"), F.col("text").alias("value"))
-    for drop, pick in enumerate((
-            F.col("conf_id") % 2 == 0, (F.col("conf_id") % 2 == 1) | (F.col("conf_id") % 10 == 0))):
-        (texts.where(pick).repartition("conf_id").drop("conf_id").write
-         .partitionBy("record").text(f"{inbox}/{drop}"))
-        query = start_stream(spark, inbox, out, ckpt, "orca", keys)
-        query.awaitTermination()
-    return spark.read.parquet(out).select(
-        *ID, F.col("protocol").cast("long").alias("protocol"), r("e", 8).alias("e"),
-        "terminated", "converged", F.size("freq").cast("long").alias("n_freq"))
+    """Outputs arriving in two drops, many to a file, the second with repeats; the table holds
+    each once."""
+    base, got = _scratch(spark), None
+    for d in ("orca", "gaussian"):
+        inbox, out, ckpt = (f"{base}/{d}/{x}" for x in ("in", "records", "ckpt"))
+        texts = log_text.corpus(spark, sf, d).select(*ID, "protocol", "text")
+        for drop, pick in enumerate((
+                F.col("conf_id") % 2 == 0, (F.col("conf_id") % 2 == 1) | (F.col("conf_id") % 10 == 0))):
+            texts.where(pick).write.parquet(f"{inbox}/{drop}")
+            query = start_stream(spark, inbox, out, ckpt, d, packed=texts.schema)
+            query.awaitTermination()
+        part = spark.read.parquet(out).select(
+            F.lit(d).alias("dialect"), *ID, F.col("protocol").cast("long").alias("protocol"),
+            r("e", 8).alias("e"), "terminated", "converged",
+            F.size("freq").cast("long").alias("n_freq"))
+        got = part if got is None else got.unionByName(part)
+    return got
 
 
 QUERIES = {f.__name__: f for f in (
@@ -226,9 +228,9 @@ ORACLES = {
   {7 * 1.008 + 14 * 12.011!r}e0 AS mass, 1 AS mult,
   sqrt(v[28]*v[28] + v[29]*v[29] + v[30]*v[30]) AS mn,
   CASE WHEN conf_id % 17 = 0 THEN 'crashed' WHEN conf_id % 2 = 0 AND conf_id % 5 = 0 THEN 'not_converged'
-  ELSE 'ok' END AS status FROM b), {_gibbs_cte('t', 'n')},
+  ELSE 'ok' END AS status FROM l), {_gibbs_cte('t', 'n')},
  k AS (SELECT *, status = 'ok' AS active FROM t)
- SELECT {_I}, status, active, CASE WHEN active THEN {rs('e', 8)} END AS e,
+ SELECT dialect, {_I}, status, active, CASE WHEN active THEN {rs('e', 8)} END AS e,
  CASE WHEN active THEN {rs('gg', 7)} END AS g, CASE WHEN active THEN {rs('gg - e', 7)} END AS g_e,
  CASE WHEN active THEN {rs('hh', 7)} END AS h, CASE WHEN active THEN {rs('ss*1e6', 5)} END AS s,
  CASE WHEN active THEN {rs('zz', 7)} END AS zpve, CASE WHEN active THEN
@@ -246,6 +248,6 @@ ORACLES = {
  {rs('e', 10)} AS e, {rs('g_e', 8)} AS g_e, {rs('b', 8)} AS b,
  {rs('elapsed_s + CASE WHEN protocol = 2 THEN 1 ELSE 0 END', 4)} AS elapsed_s, flag FROM c""",
     "spectrum_sink_roundtrip": SPECTRA_ORACLES["default_spectrum"] + " WHERE protocol IN (0, 2)",
-    "stream_records": f"""{_L} SELECT {_I}, 1 AS protocol, {rs('e', 8)} AS e, conf_id % 17 <> 0 AS terminated,
- conf_id % 5 <> 0 AS converged, 24 AS n_freq FROM b""",
+    "stream_records": f"""{_L} SELECT dialect, {_I}, 1 AS protocol, {rs('e', 8)} AS e, conf_id % 17 <> 0 AS terminated,
+ conf_id % 5 <> 0 AS converged, 24 AS n_freq FROM l""",
 }

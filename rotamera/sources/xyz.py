@@ -14,8 +14,10 @@ from rotamera.functions.energy import effective_energy
 from rotamera.operators import KEYS
 from rotamera.operators.grouping import attach
 from rotamera.session import cut_lineage
+from rotamera.sources.numbers import REAL
 
-COMMENT_ENERGY = r"([- ]\d*\.\d*)"
+# a minus sign counts wherever it stands; other numbers must not continue a word
+COMMENT_ENERGY = rf"((?:(?=-)|(?<![\w.+-])){REAL})"
 
 
 def _numbered_lines(lines: DataFrame) -> DataFrame:

@@ -45,18 +45,22 @@ def append_new(batch: DataFrame, out: str) -> None:
 def stream_records(spark: SparkSession, in_dir: str, out: str, checkpoint: str,
                    dialect: str = "orca",
                    name_files: Callable[[DataFrame], DataFrame] = named,
-                   available_now: bool = True) -> StreamingQuery:
+                   available_now: bool = True, packed: T.StructType | None = None
+                   ) -> StreamingQuery:
     """Parse output files as they land in ``in_dir`` and keep one record per (ensemble,
     conformer, step) under ``out``. Started again on the same checkpoint it resumes after
     the last finished batch; a batch that is replayed adds nothing, since its keys are
-    already there."""
-    schema = T.StructType([T.StructField("value", T.StringType())])
-    raw = (spark.readStream.schema(schema).option("wholetext", "true")
-           .option("recursiveFileLookup", "true").format("text").load(in_dir))
-    files = raw.select(F.col("_metadata.file_path").alias("file"),
-                       F.col("_metadata.file_modification_time").alias("modified"),
-                       F.col("value").alias("text"))
-    parsed = parse_logs(name_files(files), dialect).where(F.col("conf_id").isNotNull())
+    already there. One output is one file, unless ``packed`` gives the schema of Parquet files
+    that hold many, each a row with its key and ``text``: what to use beyond some thousands."""
+    read = spark.readStream.option("recursiveFileLookup", "true")
+    modified = F.col("_metadata.file_modification_time").alias("modified")
+    if packed is not None:
+        files = read.schema(packed).parquet(in_dir).select(*packed.names, modified)
+    else:
+        schema = T.StructType([T.StructField("value", T.StringType())])
+        files = name_files(read.schema(schema).option("wholetext", "true").text(in_dir).select(
+            F.col("_metadata.file_path").alias("file"), modified, F.col("value").alias("text")))
+    parsed = parse_logs(files, dialect).where(F.col("conf_id").isNotNull())
     writer = (parsed.writeStream.option("checkpointLocation", checkpoint)
               .foreachBatch(lambda batch, _: append_new(batch, out)))
     return (writer.trigger(availableNow=True) if available_now else writer).start()
