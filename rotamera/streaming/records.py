@@ -58,7 +58,7 @@ def stream_records(spark: SparkSession, in_dir: str, out: str, checkpoint: str,
         files = read.schema(packed).parquet(in_dir).select(*packed.names, modified)
     else:
         schema = T.StructType([T.StructField("value", T.StringType())])
-        files = name_files(read.schema(schema).option("wholetext", "true").text(in_dir).select(
+        files = name_files(read.schema(schema).text(in_dir, wholetext=True).select(
             F.col("_metadata.file_path").alias("file"), modified, F.col("value").alias("text")))
     parsed = parse_logs(files, dialect).where(F.col("conf_id").isNotNull())
     writer = (parsed.writeStream.option("checkpointLocation", checkpoint)
