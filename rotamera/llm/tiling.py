@@ -148,8 +148,9 @@ class Index:
         if len(ids) >= self.seed:
             at = np.flatnonzero(_free(ids < 0, self.seed))
             if len(at):
-                h = np.unique(_windows(ids, self.seed)[at])
-                h = h[np.isin(h, self.distinct)]
+                h = _windows(ids, self.seed)[at]
+                spot = np.minimum(np.searchsorted(self.distinct, h), len(self.distinct) - 1)
+                h = np.unique(h[self.distinct[spot] == h]) if len(self.distinct) else h[:0]
                 lo, hi = np.searchsorted(self.codes, h), np.searchsorted(self.codes, h, "right")
                 hits = defaultdict(list)
                 for a, b in zip(lo.tolist(), hi.tolist()):
