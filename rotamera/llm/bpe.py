@@ -23,7 +23,8 @@ from pyspark.sql import Column, SparkSession, functions as F
 
 LEAF_BYTES = 24          # shorter matches are merged directly
 LEAF_CHARS = 1 << 14     # shorter texts are scanned at once
-CACHE = 200_000          # distinct matches a task remembers
+CACHE = 200_000          # distinct matches of each of two generations a worker remembers
+NO_RANK = 1 << 32        # above every rank
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -36,7 +37,9 @@ class Codec:
         import regex
         self.ranks, self.scan = ranks, regex.compile(pattern).findall
         self.vocab = {r: t for t, r in ranks.items()}
+        self.packs = {t: r.to_bytes(4, "little") for t, r in ranks.items()}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
 
     # matches -> tokens -----------------------------------------------------------------
@@ -45,15 +48,16 @@ class Codec:
         vocabulary."""
         parts = [data[i:i + 1] for i in range(len(data))]
         rank = self.ranks.get
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = rank(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                break
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
+        pairs = [rank(data[i:i + 2], NO_RANK) for i in range(len(data) - 1)]
+        while pairs and (best := min(pairs)) != NO_RANK:
+            at = pairs.index(best)
+            both = parts[at] + parts[at + 1]
+            parts[at:at + 2] = [both]
+            del pairs[at]                     # only the pairs beside the merge change
+            if at:
+                pairs[at - 1] = rank(parts[at - 1] + both, NO_RANK)
+            if at < len(pairs):
+                pairs[at] = rank(both + parts[at + 1], NO_RANK)
         return parts
 
     def settled(self, a: bytes, b: bytes) -> bool:
@@ -117,10 +121,12 @@ class Codec:
 
     # whole texts -----------------------------------------------------------------------
     def packed(self, match: str) -> bytes:
-        ids = b"".join(self.ranks[t].to_bytes(4, "little") for t in self.tokens(match.encode()))
+        ids = self.older.get(match)
+        if ids is None:
+            ids = b"".join(map(self.packs.__getitem__, self.tokens(match.encode())))
         if len(match) < 64:
             if len(self.known) >= CACHE:
-                self.known.clear()
+                self.known, self.older = {}, self.known
             self.known[match] = ids
         return ids
 
@@ -128,11 +134,12 @@ class Codec:
         """The ids of a text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        known = self.known
-        out = []
-        for m in self.split(text):
-            ids = known.get(m)
-            out.append(self.packed(m) if ids is None else ids)
+        found = self.split(text)
+        out = list(map(self.known.get, found))
+        at = -1
+        for _ in range(out.count(None)):
+            at = out.index(None, at + 1)
+            out[at] = self.packed(found[at])
         return b"".join(out)
 
     def decode(self, ids: bytes | None) -> bytes:
@@ -153,7 +160,15 @@ class Codec:
 
 def _shared(spark: SparkSession, path: str):
     """A vocabulary file's ranks for all executors; its size is that of the vocabulary."""
-    return spark.sparkContext.broadcast(load_ranks(path))
+    return spark.sparkContext.broadcast({"ranks": load_ranks(path)})
+
+
+def _codec(held: dict, pattern: str) -> Codec:
+    """The codec of a Python worker: kept beside the broadcast ranks, so that the worker's next
+    task finds the matches it remembers. Nothing depends on whether it does."""
+    if "codec" not in held:
+        held["codec"] = Codec(held["ranks"], pattern)
+    return held["codec"]
 
 
 def encoder(spark: SparkSession, path: str, pattern: str):
@@ -162,7 +177,7 @@ def encoder(spark: SparkSession, path: str, pattern: str):
 
     @F.arrow_udf("binary")
     def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = Codec(ranks.value, pattern)
+        codec = _codec(ranks.value, pattern)
         for a in texts:
             yield pa.array([codec.encode(t) for t in a.to_pylist()], pa.binary())
     return encode
@@ -174,7 +189,7 @@ def decoder(spark: SparkSession, path: str, pattern: str):
 
     @F.arrow_udf("binary")
     def decode(ids: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = Codec(ranks.value, pattern)
+        codec = _codec(ranks.value, pattern)
         for a in ids:
             yield pa.array([codec.decode(x) for x in a.to_pylist()], pa.binary())
     return decode
