@@ -23,7 +23,7 @@ from pyspark.sql import Column, SparkSession, functions as F
 
 LEAF_BYTES = 24          # shorter matches are merged directly
 LEAF_CHARS = 1 << 14     # shorter texts are scanned at once
-CACHE = 200_000          # distinct matches of each of two generations a worker remembers
+CACHE = 60_000           # distinct matches of each of two generations a worker remembers
 NO_RANK = 1 << 32        # above every rank
 
 
