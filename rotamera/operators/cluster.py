@@ -6,7 +6,7 @@ take a distributed form of the same algorithm, so no task ever holds an unbounde
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,8 +23,9 @@ from rotamera.operators.grouping import (_join_on, attach, attach_stats, dealt_r
 from rotamera.session import cut_lineage
 
 GROUP_LIMIT = 20_000      # members of an ensemble that one task may cluster
-SCAN_LIMIT = 3_000        # members of an ensemble whose k scan one task may take
+SCAN_LIMIT = GROUP_LIMIT // 2   # members of an ensemble that the tasks of a k scan hold whole
 BLOCK = 2_000             # members per side of a distance block
+BLOCK_BYTES = 32 << 20    # of intermediate distances at a time
 SEED = 42
 
 
@@ -153,8 +154,14 @@ def top_loadings(loadings: DataFrame, n: int = 5, pcs: int = 3, keys: Sequence[s
 
 # --- k-means ------------------------------------------------------------------
 
-def _nearest(points: np.ndarray, centres: np.ndarray, block: int = 512) -> np.ndarray:
+def _block_rows(doubles: int) -> int:
+    """Rows of a block that needs so many doubles a row."""
+    return max(1, min(512, BLOCK_BYTES // (8 * max(1, doubles))))
+
+
+def _nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     out = np.empty(len(points), dtype=np.int32)
+    block = _block_rows(centres.size)
     for a in range(0, len(points), block):
         gap = points[a:a + block, None, :] - centres[None, :, :]
         out[a:a + block] = (gap * gap).sum(-1).argmin(axis=1)
@@ -166,10 +173,9 @@ def _lloyd(points: np.ndarray, order: np.ndarray, k: int, max_iter: int) -> np.n
     centres = points[np.argsort(order, kind="stable")[:k]].copy()
     labels = _nearest(points, centres)
     for _ in range(max_iter - 1):
-        for c in range(len(centres)):
-            mine = labels == c
-            if mine.any():
-                centres[c] = points[mine].mean(axis=0)
+        by = np.argsort(labels, kind="stable")
+        used, starts, sizes = np.unique(labels[by], return_index=True, return_counts=True)
+        centres[used] = np.add.reduceat(points[by], starts, axis=0) / sizes[:, None]
         new = _nearest(points, centres)
         if (new == labels).all():
             break
@@ -250,27 +256,37 @@ def kmeans(df: DataFrame, k: int | Column, keys: Sequence[str] = KEYS, points: s
 
 # --- silhouettes --------------------------------------------------------------
 
-def _silhouettes(distances: Callable[[slice], np.ndarray], labels: np.ndarray,
-                 block: int = 256) -> np.ndarray:
-    """``distances`` gives the rows of the distance matrix in a slice."""
-    ids, own = np.unique(labels, return_inverse=True)
-    if len(ids) < 2:
-        return np.full(len(labels), np.nan)
-    member = np.eye(len(ids))[own]
-    sizes = member.sum(axis=0)
-    sums = np.concatenate([distances(slice(a, a + block)) @ member
-                           for a in range(0, len(labels), block)])
-    at = np.arange(len(labels))
-    a = sums[at, own] / np.maximum(sizes[own] - 1, 1)
-    others = sums / sizes
-    others[at, own] = np.inf
-    b = others.min(axis=1)
-    top = np.maximum(a, b)
-    return np.where((sizes[own] > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1.0), 0.0)
-
-
-def _distances(x: np.ndarray, y: np.ndarray, block: int = 256) -> np.ndarray:
+def _silhouettes(points: np.ndarray, labellings: Sequence[np.ndarray]) -> np.ndarray:
+    """Silhouettes of the points (columns) under each labelling (rows). Each block of the
+    distance matrix is made once and summed by cluster for all labellings."""
+    out = np.full((len(labellings), len(points)), np.nan)
+    ready = []
+    for n, labels in enumerate(labellings):
+        ids, own = np.unique(labels, return_inverse=True)
+        if len(ids) > 1:
+            order = np.argsort(own, kind="stable")
+            starts = np.searchsorted(own[order], np.arange(len(ids)))
+            ready.append((n, own, order, starts, np.bincount(own)))
+    block = _block_rows(3 * len(points))
+    for lo in range(0, len(points) if ready else 0, block):
+        dist = _distances(points[lo:lo + block], points)
+        at = np.arange(len(dist))
+        for n, own, order, starts, sizes in ready:
+            sums = np.add.reduceat(dist[:, order], starts, axis=1)
+            mine = own[lo:lo + block]
+            a = sums[at, mine] / np.maximum(sizes[mine] - 1, 1)
+            others = sums / sizes
+            others[at, mine] = np.inf
+            b = others.min(axis=1)
+            top = np.maximum(a, b)
+            out[n, lo:lo + block] = np.where((sizes[mine] > 1) & (top > 0),
+                                             (b - a) / np.where(top > 0, top, 1.0), 0.0)
+    return out
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     out = np.empty((len(x), len(y)))
+    block = _block_rows(y.size)
     for a in range(0, len(x), block):
         gap = x[a:a + block, None, :] - y[None, :, :]
         out[a:a + block] = np.sqrt((gap * gap).sum(-1))
@@ -332,7 +348,7 @@ def silhouette(df: DataFrame, keys: Sequence[str] = KEYS, points: str = "scores"
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(list(pdf["_pts"]))
         out = pdf[[*keys, "conf_id"]].copy()
-        out["silhouette"] = _silhouettes(lambda s: _distances(x[s], x), pdf["cluster"].to_numpy())
+        out["silhouette"] = _silhouettes(x, [pdf["cluster"].to_numpy()])[0]
         return out
     res = spread(small, keys).groupBy(*keys).applyInPandas(whole, schema)
     res = res.withColumn("silhouette", F.nanvl("silhouette", F.lit(None).cast("double")))
@@ -346,48 +362,49 @@ def k_range(n: int) -> tuple[int, int]:
 
 
 def silhouette_curve(df: DataFrame, keys: Sequence[str] = KEYS, points: str = "scores",
-                     seed: int = SEED, max_iter: int = 50, group_limit: int = SCAN_LIMIT,
-                     chunks: int = 8) -> DataFrame:
+                     seed: int = SEED, max_iter: int = 50, group_limit: int = SCAN_LIMIT
+                     ) -> DataFrame:
     """(keys, k, score): mean silhouette for every number of clusters of the ensemble's
-    range. The range of one ensemble is dealt out over ``chunks`` tasks. A range with no
-    room (largest below smallest) yields its smallest k with a NULL score."""
+    range. A range is dealt out over tasks by the square of the ensemble's size; in an ensemble
+    too large for that, each k is a group of its own and all go through the distributed forms
+    at once. A range with no room (largest below smallest) yields its smallest k with a NULL
+    score."""
     keys = list(keys)
     rows = df.select(*keys, "conf_id", F.col(points).alias("_pts"),
                      F.xxhash64("conf_id", F.lit(seed)).cast("double").alias("_h"))
+    rows = attach_stats(rows, keys, _n=F.count(F.lit(1)))
     small, large = split_by_size(rows, keys, group_limit)
     schema = T.StructType([rows.schema[k] for k in keys] + [
         T.StructField("k", T.IntegerType()), T.StructField("score", T.DoubleType())])
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        chunk = int(pdf["_chunk"].iloc[0])
+        chunk, chunks = int(pdf["_chunk"].iloc[0]), int(pdf["_chunks"].iloc[0])
         pdf = pdf.sort_values("conf_id")
         x, h = np.stack(list(pdf["_pts"])), pdf["_h"].to_numpy()
         lo, hi = k_range(len(x))
         tried = [k for k in range(lo, hi + 1) if k % chunks == chunk]
-        out = []
-        dist = _distances(x, x) if tried else None
-        for k in tried:
-            if int(len(x) * 0.8) < lo:
-                score = np.nan
-            else:
-                score = _silhouettes(lambda s: dist[s], _lloyd(x, h, k, max_iter)).mean()
-            out.append([*[pdf[c].iloc[0] for c in keys], k, score])
-        return pd.DataFrame(out, columns=[*keys, "k", "score"])
-    dealt = small.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+        room = int(len(x) * 0.8) >= lo
+        scores = (_silhouettes(x, [_lloyd(x, h, k, max_iter) for k in tried]).mean(axis=1)
+                  if room else [np.nan] * len(tried))
+        return pd.DataFrame([[*[pdf[c].iloc[0] for c in keys], k, s]
+                             for k, s in zip(tried, scores)], columns=[*keys, "k", "score"])
+    # a third of a thousand members a side is about a second's work, whatever the range
+    sides = F.ceil(F.col("_n") / F.lit(333)).cast("int")
+    small = small.withColumn("_chunks", F.greatest(F.lit(8), sides * sides))
+    dealt = small.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
     curve = spread(dealt, [*keys, "_chunk"]).groupBy(*keys, "_chunk").applyInPandas(scan, schema)
     curve = curve.withColumn("score", F.nanvl("score", F.lit(None).cast("double")))
     if large is not None:
-        large = attach_stats(large.withColumnRenamed("_pts", points), keys, _n=F.count(F.lit(1)))
-        sizes = large.agg(F.min("_n").alias("a"), F.max("_n").alias("b")).first()
-        done = None
-        for k in range(k_range(sizes["a"])[0], k_range(sizes["b"])[1] + 1):
-            fits = large.where((F.greatest(F.floor(F.col("_n") * 0.1), F.lit(2)) <= k)
-                               & (F.floor(F.col("_n") * 0.8) >= k))
-            labelled = kmeans(fits, k, keys, points, seed, max_iter)
-            part = silhouette(labelled, keys, points).groupBy(*keys).agg(
-                F.lit(k).alias("k"), F.avg("silhouette").alias("score"))
-            done = cut_lineage(part if done is None else done.unionByName(part))
-        curve = curve.unionByName(done)
+        lo = F.greatest(F.floor(F.col("_n") * 0.1), F.lit(2)).cast("int")
+        hi = F.floor(F.col("_n") * 0.8).cast("int")
+        each = (large.where(lo <= hi).withColumnRenamed("_pts", points)
+                .withColumn("k", F.explode(F.sequence(lo, hi))))
+        by_k = [*keys, "k"]
+        labelled = kmeans(each, F.col("k"), by_k, points, seed, max_iter)
+        curve = curve.unionByName(silhouette(labelled, by_k, points).groupBy(*by_k).agg(
+            F.avg("silhouette").alias("score")))
+        curve = curve.unionByName(large.where(lo > hi).select(
+            *keys, lo.alias("k"), F.lit(None).cast("double").alias("score")).distinct())
     return curve
 
 
