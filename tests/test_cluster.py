@@ -86,6 +86,13 @@ def test_scan_finds_the_blobs_on_both_paths(spark):
     two = {(r.ensemble_id, r.k): round(r.score, 9)
            for r in C.silhouette_curve(tiny, points="features", group_limit=0).collect()}
     assert one == two and {k for e, k in one if e == "a"} == {2, 3, 4}
+    three = {(r.ensemble_id, r.k): round(r.score, 9)
+             for r in C.silhouette_curve(df, points="features", group_limit=0).collect()}
+    assert three == got
+    alone = blobs(spark, (("a", 2),))        # no room: the smallest k without a score
+    for limit in (0, 10):
+        assert [(r.k, r.score) for r in C.silhouette_curve(
+            alone, points="features", group_limit=limit).collect()] == [(2, None)]
 
 
 def test_eligibility(spark):
