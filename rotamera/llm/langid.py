@@ -5,6 +5,10 @@ A text's vector is the mean of the embeddings of the hashed n-grams of all its w
 the classifier above it is linear, embedding and classifier fold into one table of class
 scores per bucket once training is over, so a prediction is one sum over a text's buckets.
 
+A softmax is sure of letters it has never met, so a text is rejected by two scores: its
+confidence, and its mean log share of n-grams in the training texts of the language it is given.
+Both cuts are quantiles over right validation rows, which together lose 1 - ``KEEP`` of them.
+
 Defined results: a null text or one without a letter gets ``und``, score 0, rejected. Ties go
 to the language first in order. Equal texts get equal results. With no labelled row there is
 no language to predict and every row is ``und``. Only the text is an input of a prediction.
@@ -91,6 +95,8 @@ class Model:
     bias: np.ndarray
     temperature: float
     threshold: float         # calibrated confidence below which a text is rejected
+    shares: np.ndarray       # BUCKETS x labels: log share of a bucket in a language's n-grams
+    usual: float             # calibrated mean log share below which a text is rejected
 
 
 def train(bags: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 6, rate: float = 4.0,
@@ -98,7 +104,8 @@ def train(bags: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 6, rate:
     """``bags``: (label, buckets, counts) in a fixed order. A fifth calibrates."""
     labels = sorted({b[0] for b in bags})
     if not labels:
-        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
+        none = np.zeros((BUCKETS, 0), np.float32)
+        return Model([], none, np.zeros(0), 1.0, 0.0, none, 0.0)
     number = {x: i for i, x in enumerate(labels)}
     rng = np.random.default_rng(seed)
     emb = (rng.standard_normal((BUCKETS, DIMS)) / DIMS).astype(np.float32)
@@ -148,10 +155,17 @@ def train(bags: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 6, rate:
     fits = [sure(t).max(1).mean() <= (right.sum() + 1) / (len(want) + 2) for t in scales]
     t = float(scales[int(np.argmin(np.where(fits, loss, np.inf)))])
     p = sure(t)
-    cut = float(np.quantile(p.max(1)[right], 1 - KEEP)) if right.any() else 0.0
-    # no more than an even guess may be asked for
-    return Model(labels, (emb @ out).astype(np.float32), bias, t,
-                 min(cut * 0.9, 1.2 / max(1, len(labels))))
+    # n-grams of the rows that are fitted only, so that validation rows are as new as any other
+    seen = np.full((BUCKETS, len(labels)), 0.5, np.float32)
+    for b in fit:
+        seen[b[1], number[b[0]]] += b[2]
+    shares = np.log(seen / seen.sum(0, dtype=np.float64)).astype(np.float32)
+    best = z.argmax(1)
+    known = np.array([b[2] @ shares[b[1], k] / b[2].sum() for b, k in zip(held, best)])
+
+    def cut(x):              # rounding must not reject the rows that the cut is taken from
+        return float(np.quantile(x[right], (1 - KEEP) / 2)) - 1e-6 if right.any() else -np.inf
+    return Model(labels, (emb @ out).astype(np.float32), bias, t, cut(p.max(1)), shares, cut(known))
 
 
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id",
@@ -183,11 +197,11 @@ def predictor(df: DataFrame, model: Model):
     """A Column function: text -> struct(lang_pred, score, rejected)."""
     shared = df.sparkSession.sparkContext.broadcast(
         (model.labels, model.table.astype(np.float64), model.bias, model.temperature,
-         model.threshold, letter_table()))
+         model.threshold, model.shares, model.usual, letter_table()))
 
     @F.arrow_udf(SCHEMA)
     def predict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        labels, table, bias, temperature, threshold, letters = shared.value
+        labels, table, bias, temperature, threshold, shares, usual, letters = shared.value
 
         def one(text):
             at, n = bag(text, letters)
@@ -197,7 +211,8 @@ def predictor(df: DataFrame, model: Model):
             p = np.exp(z - z.max())
             p /= p.sum()
             best = int(p.argmax())
-            return labels[best], float(p[best]), bool(p[best] < threshold)
+            known = n @ shares[at, best] / n.sum()
+            return labels[best], float(p[best]), bool(p[best] < threshold or known < usual)
         for a in texts:
             rows = [one(t) for t in a.to_pylist()]
             yield pa.StructArray.from_arrays(

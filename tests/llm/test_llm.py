@@ -209,6 +209,26 @@ def test_langid(spark):
     assert df.select(langid.predict(df, none).alias("p")).where("p.lang_pred <> 'und'").count() == 0
 
 
+def test_langid_rejects_what_it_has_not_learned(spark):
+    syllables = {k: ["".join(rnd.choice(c) + rnd.choice("aeiou") for _ in range(2)) for _ in range(25)]
+                 for k, c in {"xx": "bcdflmt", "yy": "ghjkrsn", "zz": "lmnpstv", "new": "bgkvwxq"}.items()}
+
+    def text(k):
+        return " ".join("".join(rnd.choice(syllables[k]) for _ in range(rnd.randint(1, 2))) for _ in range(40))
+    rows = [(i, text(k), k) for i in range(1500) for k in [("xx", "yy", "zz")[i % 3]]]
+    rows += [(2000 + i, text("new"), "new") for i in range(100)]
+    rows += [(3000 + i, " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 9)))
+                                 for _ in range(40)), None) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df.where("doc_id < 2000 and doc_id % 5 <> 0"))
+    got = {r.doc_id: r.p.rejected for r in df.select("doc_id", langid.predict(df, model).alias("p")).collect()}
+
+    def share(ids):
+        return np.mean([got[i] for i in ids])
+    assert share(range(0, 1500, 5)) <= 0.03
+    assert share(range(2000, 2100)) >= 0.95 and share(range(3000, 3100)) >= 0.95
+
+
 def test_secrets_and_ledger(spark):
     key = "AKIA" + "Q" * 16
     rows = [(1, f"é🙂 api_key = 'abcdef' {key}"), (2, f"é🙂 api_key = 'abcdef' {key}"), (3, None), (None, "f" * 24),
