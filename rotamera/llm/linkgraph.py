@@ -4,7 +4,9 @@ Rules decide the urls they fit, the longest first. For the others the host decid
 rule allows are trusted seeds of their host, pages that a rule blocks distrusted ones. Trust
 follows links (personalised PageRank from the trusted seeds), distrust goes against them, from
 a blocked host to those that link to it. A host is blocked if its distrust is more than
-``THRESHOLD`` of both together; a host that neither reaches is allowed.
+``THRESHOLD`` of both together; a host that neither reaches is allowed. Since a ratio decides,
+however little mass there is, both walks go on until a step adds to no host more than
+``TOLERANCE`` of what it has: then every host in reach is reached.
 
 An edge is a pair of hosts with its number of links; hubs' edges are only joined to one row of the
 hub, which Spark can split, and sums are aggregated before they shuffle. Both walks take each step in
@@ -23,7 +25,8 @@ from rotamera.operators.grouping import lookup
 from rotamera.session import cut_lineage
 
 DAMPING = 0.85
-STEPS = 12
+TOLERANCE = 1e-9
+STEPS = 12               # of the walk in OP10_SQL only
 THRESHOLD = 0.75
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)\bhref\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s<>]+)"""
@@ -60,8 +63,8 @@ def host_links(pages: DataFrame, host: str, html: str) -> DataFrame:
             .where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("links")))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, steps: int = STEPS
-              ) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING,
+              tolerance: float = TOLERANCE) -> DataFrame:
     """(host, trust, distrust) from seeds (host, trust, distrust) and edges (src, dst,
     links). Hosts that nothing reaches are left out."""
     both = edges.select(F.lit(True).alias("good"), "src", "dst", "links").unionByName(
@@ -74,21 +77,28 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, step
         F.struct(F.lit(True).alias("good"), F.col("trust").alias("x")),
         F.struct(F.lit(False).alias("good"), F.col("distrust").alias("x")))).alias("_s"))
         .select("host", "_s.good", "_s.x").where("x > 0"))
-    state = start
-    for n in range(steps if moves.count() else 0):
-        sent = (state.withColumnRenamed("host", "src").join(moves, ["good", "src"])
-                .select(F.col("dst").alias("host"), "good", (F.col("x") * F.col("p") * damping)
+    # what the last step has added goes on, and a host's mass is the sum of all that came
+    state = start.withColumn("new", F.col("x"))
+    going, n = moves.count() > 0, 0
+    while going:
+        sent = (state.where("new > 0").withColumnRenamed("host", "src").join(moves, ["good", "src"])
+                .select(F.col("dst").alias("host"), "good", (F.col("new") * F.col("p") * damping)
                         .alias("x")))
-        state = sent.unionByName(start).groupBy("host", "good").agg(F.sum("x").alias("x"))
-        if n % 4 == 3:
+        state = (state.select("host", "good", "x", F.lit(0.0).alias("new"))
+                 .unionByName(sent.withColumn("new", F.col("x")))
+                 .groupBy("host", "good").agg(F.sum("x").alias("x"), F.sum("new").alias("new")))
+        n += 1
+        if n % 4 == 0:
             state = cut_lineage(state)
+            going = not state.where(F.col("new") > F.col("x") * tolerance).isEmpty()
     return state.groupBy("host").agg(
         F.coalesce(F.sum(F.when(F.col("good"), F.col("x"))), F.lit(0.0)).alias("trust"),
         F.coalesce(F.sum(F.when(~F.col("good"), F.col("x"))), F.lit(0.0)).alias("distrust"))
 
 
 def judge(pages: DataFrame, rules, url: str = "url", html: str = "html",
-          damping: float = DAMPING, steps: int = STEPS, threshold: float = THRESHOLD) -> DataFrame:
+          damping: float = DAMPING, threshold: float = THRESHOLD,
+          tolerance: float = TOLERANCE) -> DataFrame:
     """``pages`` without ``html`` but with host, path, rule and verdict (``allow`` or ``block``)."""
     host, path = host_path(url)
     rule, verdict = matched(rules, F.col("host"), F.col("path"))
@@ -98,7 +108,7 @@ def judge(pages: DataFrame, rules, url: str = "url", html: str = "html",
     seeds = rows.groupBy("host").agg(
         F.sum(F.when(F.col("verdict") == "allow", 1.0).otherwise(0.0)).alias("trust"),
         F.sum(F.when(F.col("verdict") == "block", 1.0).otherwise(0.0)).alias("distrust"))
-    scores = propagate(seeds, host_links(rows, "host", html), damping, steps)
+    scores = propagate(seeds, host_links(rows, "host", html), damping, tolerance)
     bad = scores.where(F.col("distrust") > threshold * (F.col("trust") + F.col("distrust")))
     # few hosts are bad, and one host may have a third of all pages: those go to the pages if
     # their number and width allow

@@ -299,3 +299,27 @@ def test_links_between_hosts(spark):
                                                          6: "allow", 7: "block", 9: "block"}
     assert (got[9].host, got[9].path, got[9].rule) == ("es.example.org", "/es/1", "example.org/es/")
     assert got[7].host == got[7].path == "" and got[7].rule is None
+
+
+def test_links_reach_any_depth(spark):
+    """A chain of hosts towards a blocked one, and the fixed point of a graph with cycles."""
+    rows = [(i, f"http://h{i}.net/", f"<a href=//h{i - 1}.net>") for i in range(1, 31)]
+    rows += [(0, "http://h0.net/", "<a href=//x.net>"), (99, "http://x.net/", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in linkgraph.judge(pages, [("block", "x.net", "/")]).collect()}
+    assert set(got.values()) == {"block"} and len(got) == 32
+
+    gen, n = np.random.default_rng(8), 25
+    links = gen.integers(1, 4, (n, n)) * (gen.random((n, n)) < 0.08) * ~np.eye(n, dtype=bool)
+    trust, distrust = gen.integers(0, 2, (2, n)).astype(float)
+    edges = spark.createDataFrame([(f"h{a}", f"h{b}", int(links[a, b])) for a, b in zip(*np.nonzero(links))],
+                                  "src string, dst string, links long")
+    seeds = spark.createDataFrame([(f"h{i}", float(trust[i]), float(distrust[i])) for i in range(n)],
+                                  "host string, trust double, distrust double")
+    want = []
+    for m, start in ((links, trust), (links.T, distrust)):
+        p = m / np.maximum(m.sum(1, keepdims=True), 1)
+        want.append(np.linalg.solve(np.eye(n) - linkgraph.DAMPING * p.T, start))
+    found = {r.host: (r.trust, r.distrust) for r in linkgraph.propagate(seeds, edges).collect()}
+    for i in range(n):
+        assert np.allclose(found.get(f"h{i}", (0, 0)), (want[0][i], want[1][i]), rtol=1e-6, atol=0)
