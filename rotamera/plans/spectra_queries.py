@@ -1,5 +1,6 @@
 """Registered queries over line lists, spectra and measured curves. The line lists are whole; grids
-have 1,000 points, of which every one is compared."""
+have 1,000 points, of which every one is compared. ``fit_shift_fwhm`` has 100 points and a shorter search,
+as its SQL does; ``fit_shift_fwhm_full`` is the fit with the operator's own grid and search."""
 
 from __future__ import annotations
 
@@ -141,6 +142,14 @@ def fit_shift_fwhm(spark, sf):
                       r("diversity", 6).alias("diversity"))
 
 
+def fit_shift_fwhm_full(spark, sf):
+    """The fit with the defaults of the operator: 10,000 points, 7 x 7 pairs, 6 passes."""
+    out = S.fit_shift_fwhm(_lines(spark, sf), _reference(spark, sf, S.GRID))
+    return out.select("ensemble_id", F.col("protocol").cast("long").alias("protocol"), "graph_type",
+                      r("shift", 5).alias("shift"), r("fwhm", 5).alias("fwhm"),
+                      r("diversity", 6).alias("diversity"))
+
+
 def respectra(spark, sf):
     rec = view(spark, sf, "peak_records")
     return _out(S.respectra(view(spark, sf, "peaks"), rec, [0, 2], temperature=350.0, n=N))
@@ -166,7 +175,7 @@ QUERIES = {f.__name__: f for f in (
     weighted_peaks, population_from_other_step, has_peaks, pooled_peaks, ir_lorentz, uv_gauss,
     default_spectrum, max_abs_normalise, spectrum_grid, nm_to_ev, measured_curve,
     reference_on_grid, spectrum_bounds, weight_function, weight_function_flat, similarity,
-    fit_shift_fwhm, respectra, spectrum_convergence, overlay)}
+    fit_shift_fwhm, fit_shift_fwhm_full, respectra, spectrum_convergence, overlay)}
 
 # --- oracles ------------------------------------------------------------------
 

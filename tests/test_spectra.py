@@ -200,3 +200,32 @@ def test_lines_without_weight_count_for_the_place(spark):
     rows = [("a", 1, "IR", 0.0, 1.0), ("a", 1, "IR", 900.0, 0.0), ("b", 1, "IR", 0.0, 1.0)]
     out = S.convolve(spark.createDataFrame(rows, LINES), 50)
     assert {r.ensemble_id for r in out.select("ensemble_id").distinct().collect()} == {"a"}
+
+
+def test_registered_full_fit_against_brute_force(spark):
+    """Every point of the default grid is scored, and no pair of the first pass is better."""
+    from rotamera.plans import spectra_queries as Q
+    sf = "/root/testdata/sf0.001"
+    got = Q.QUERIES["fit_shift_fwhm_full"](spark, sf).where("diversity is not null").collect()
+    lines = Q._lines(spark, sf).where("w <> 0").toPandas()
+    ref = Q._reference(spark, sf, 10_000).toPandas()
+    assert {r.graph_type for r in got} and len(got) > 1
+    for r in {r.graph_type: r for r in got}.values():
+        d, vib = K.GRAPH_DEFAULTS[r.graph_type], r.graph_type in ("IR", "VCD")
+        g = np.linspace(d["x_start"], d["x_end"], 10_000)
+        c = ref[ref.graph_type == r.graph_type].sort_values("i")
+        m = lines[(lines.ensemble_id == r.ensemble_id) & (lines.protocol == r.protocol)
+                  & (lines.graph_type == r.graph_type)]
+        seen = (c.i >= c.lo) & (c.i < c.hi)
+
+        def score(s, f):
+            y = np.zeros(len(g))
+            for x, w in zip(m.x, m.w):
+                y += w * (f * f / (f * f + 4 * (g - x * s) ** 2) if vib
+                          else np.exp(-.5 * ((g - x - s) / (f * K.FWHM_TO_SIGMA)) ** 2) / f)
+            top = np.abs(y[seen.to_numpy()]).max()
+            return np.sqrt((c.weight.to_numpy() * (y / top - c.y.to_numpy()) ** 2).sum() / len(g)) / (
+                2 if r.graph_type in ("VCD", "ECD") else 1)
+        assert r.diversity == pytest.approx(score(r.shift, r.fwhm), abs=2e-5)
+        best = min(score(s, f) for s in np.linspace(*d["shift_range"], 7) for f in np.linspace(*d["fwhm_range"], 7))
+        assert r.diversity <= best + 2e-6
