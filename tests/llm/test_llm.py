@@ -287,6 +287,24 @@ def test_vectors(spark, monkeypatch, cell):
     assert itq.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("case", ["common part", "near copies"])
+def test_vectors_off_centre(spark, case):
+    gen = np.random.default_rng(4)
+    if case == "common part":                 # mean cosine about 0.9
+        v = gen.standard_normal((600, 64)) + 3 * np.sqrt(64) * np.eye(64)[0]
+        v = np.concatenate([v, v[:200] + gen.standard_normal((200, 64)) * 0.8])
+    else:                                     # nine rows of ten
+        v = gen.standard_normal((400, 64))
+        v[:360] = v[0] + gen.standard_normal((360, 64)) * 0.2
+    df = spark.createDataFrame([(i, [float(x) for x in r], i % 2) for i, r in enumerate(v)],
+                               "vec_id long, embedding array<double>, label int")
+    found = sum(r.n_links for r in itq.near_duplicates(df).collect())
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    n = len(v)
+    link = (u @ u.T >= 0.93) & (np.arange(n)[:, None] % 2 == np.arange(n) % 2) & ~np.eye(n, dtype=bool)
+    assert 100 < link.sum() and 0.9 * link.sum() <= found <= link.sum()
+
+
 def test_links_between_hosts(spark):
     def page(i, url, *to):
         return i, url, "".join(f'<a href="{t}">x</a>' for t in to)
