@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rotamera.llm import (
-    bpe, chat, itq, langid, lattice, lines, linkgraph, secrets, simhash, tiling)
+    bpe, chat, itq, langid, lattice, lines, linkgraph, repair, secrets, simhash, tiling)
 from rotamera.llm.common import crc_mod, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -101,9 +101,21 @@ def op10_linkgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkgraph.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    got = repair.repair(repair.damaged(turns)).withColumnRenamed("conv_id", "_conv")
+    rows = turns.select("conv_id").distinct().join(
+        got, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    return rows.select(
+        "conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in (
+            "gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chat, op2_lattice, op3_byte_bpe, op4_simhash, op5_lines, op6_tiling, op7_langid,
-    op8_secrets, op9_itq, op10_linkgraph)}
+    op8_secrets, op9_itq, op10_linkgraph, op13_repair)}
 
 # Line deduplication: each window is the text of its lines.
 OP5_SQL = """
