@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rotamera.llm import (
-    bpe, chat, itq, langid, lattice, lines, linkgraph, repair, secrets, simhash, tiling)
+    bpe, chat, itq, langid, lattice, lines, linkgraph, pii, repair, secrets, simhash, tiling)
 from rotamera.llm.common import crc_mod, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -101,6 +101,22 @@ def op10_linkgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkgraph.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = docs.select("doc_id", pii.find("text").alias("found"))
+
+    def told(found):
+        return F.array_join(F.transform(found, lambda x: F.concat_ws(
+            ":", x["kind"], x["start"], x["end"])), ",")
+
+    def many(kind):
+        return F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
+    return rows.select(
+        "doc_id", *[many(k).alias(f"n_{k}") for k in pii.BASE],
+        F.sha2(told(F.filter("found", lambda x: x["kind"].isin(*pii.BASE))), 256).alias("base_sha256"),
+        told(F.col("found")).alias("spans"))
+
+
 def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     got = repair.repair(repair.damaged(turns)).withColumnRenamed("conv_id", "_conv")
@@ -115,7 +131,7 @@ def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_chat, op2_lattice, op3_byte_bpe, op4_simhash, op5_lines, op6_tiling, op7_langid,
-    op8_secrets, op9_itq, op10_linkgraph, op13_repair)}
+    op8_secrets, op9_itq, op10_linkgraph, op12_pii, op13_repair)}
 
 # Line deduplication: each window is the text of its lines.
 OP5_SQL = """
@@ -195,6 +211,50 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM documents d LEFT JOIN told ON d.doc_id = told.doc_id
 """
 
+def _spans_sql(rank: int, kind: str, pattern: str, group: int, valid: str) -> str:
+    """Matches of one kind; ``v`` is the match or its group, which ends where the match does."""
+    return f"""
+    SELECT doc_id, rank, kind, stop - length(v) AS start, stop FROM (
+        SELECT doc_id, {rank} AS rank, '{kind}' AS kind, value[i] AS v, list_sum([length(x) for x in gaps[1:i]])
+            + list_sum([length(x) for x in found[1:i]]) AS stop
+        FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM (
+            SELECT doc_id, string_split_regex(t, $${pattern}$$) AS gaps, regexp_extract_all(t, $${pattern}$$, 0) AS found,
+                regexp_extract_all(t, $${pattern}$$, {group}) AS value FROM texts)))
+    WHERE {valid}"""
+
+
+_PLAIN = "regexp_replace(v, '[^0-9A-Z]', '', 'g')"
+_DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
+_LUHN = f"""list_sum([CASE WHEN (length({_DIGITS}) - i) % 2 = 0 THEN substr({_DIGITS}, i::INT, 1)::INT
+    ELSE (2 * substr({_DIGITS}, i::INT, 1)::INT) // 10 + (2 * substr({_DIGITS}, i::INT, 1)::INT) % 10 END
+    for i in range(1, length({_DIGITS}) + 1)]) % 10 = 0"""
+_TURNED = f"(substr({_PLAIN}, 5) || substr({_PLAIN}, 1, 4))"
+_MOD97 = f"""list_reduce([0] || [strpos('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', substr({_TURNED}, i::INT, 1)) - 1
+    for i in range(1, length({_TURNED}) + 1)], lambda a, b: (a * CASE WHEN b < 10 THEN 10 ELSE 100 END + b) % 97) = 1"""
+_CUE = r"(?i:\b{}\b(?:\x20(?:no|number))?)\\x20?[.:#=]?\x20?"
+_KINDS_SQL = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", 0, "true"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", 0,
+     "len([x for x in string_split(v, '.') if length(ltrim(x, '0')) > 3 OR TRY_CAST(ltrim(x, '0') AS INT) > 255]) = 0"),
+    ("card", r"[0-9]([\x20-]?[0-9])+", 0, f"length({_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN}"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0, f"length({_DIGITS}) BETWEEN 10 AND 15"),
+    ("login", r"""[A-Za-z][A-Za-z0-9+.-]*://[^\x00-\x20/?#@"'<>]+@[A-Za-z0-9.-]+""", 0, "true"),
+    ("iban", _CUE.format("iban") + r"([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})", 1, _MOD97),
+    ("account", _CUE.format("(?:account|acct|passport|ssn)") + r"([A-Z]{0,3}[0-9](?:[\x20-]?[0-9]){5,})", 1, "true"))
+OP12_SQL = f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+spans AS ({" UNION ALL ".join(_spans_sql(n, *k) for n, k in enumerate(_KINDS_SQL))}),
+told AS (
+    SELECT doc_id, {", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in pii.BASE)},
+        string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, rank)
+            FILTER (WHERE rank < 4) AS base,
+        string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, rank) AS spans
+    FROM spans GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in pii.BASE)},
+    sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN told ON d.doc_id = told.doc_id
+"""
+
 # All pairs of a label, and reachability.
 OP9_SQL = """
 WITH RECURSIVE good AS (
@@ -260,4 +320,4 @@ FROM ruled
 """
 
 ORACLES: dict[str, str] = {"op1_chat": OP1_SQL, "op5_lines": OP5_SQL, "op8_secrets": OP8_SQL,
-                           "op9_itq": OP9_SQL, "op10_linkgraph": OP10_SQL}
+                           "op9_itq": OP9_SQL, "op10_linkgraph": OP10_SQL, "op12_pii": OP12_SQL}
