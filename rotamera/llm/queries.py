@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rotamera.llm import (
-    bpe, chat, itq, langid, lattice, lines, linkgraph, pii, repair, secrets, simhash, tiling)
+    bpe, chat, itq, langid, lattice, lines, linkgraph, phrases, pii, repair,
+    secrets, simhash, tiling)
 from rotamera.llm.common import crc_mod, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -101,6 +102,10 @@ def op10_linkgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkgraph.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mined(table(spark, sf_dir, "documents"))
+
+
 def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = docs.select("doc_id", pii.find("text").alias("found"))
@@ -131,7 +136,8 @@ def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_chat, op2_lattice, op3_byte_bpe, op4_simhash, op5_lines, op6_tiling, op7_langid,
-    op8_secrets, op9_itq, op10_linkgraph, op12_pii, op13_repair)}
+    op8_secrets, op9_itq, op10_linkgraph, op11_phrases, op12_pii,
+    op13_repair)}
 
 # Line deduplication: each window is the text of its lines.
 OP5_SQL = """
@@ -211,6 +217,38 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM documents d LEFT JOIN told ON d.doc_id = told.doc_id
 """
 
+OP11_SQL = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+split AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+grams AS (
+    SELECT lang, k, unnest([w[i:i + k - 1] for i in range(1, len(w) - k + 2)]) AS g
+    FROM split, (VALUES (1), (2), (3)) AS sizes(k)),
+f AS (SELECT lang, k, g, count(*) AS n FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+parts AS (
+    SELECT lang, g, n, cut, g[1:cut] AS head, g[cut + 1:] AS rest
+    FROM (SELECT *, unnest(range(1, k)) AS cut FROM f WHERE k > 1 AND n >= 10)),
+cuts AS (
+    SELECT p.lang, p.g, p.n AS a, p.cut, l.n AS l, r.n AS r,
+        (1000000::HUGEINT * p.n * p.n // (l.n::HUGEINT * r.n))::BIGINT AS score
+    FROM parts p JOIN f l ON l.lang = p.lang AND l.g = p.head JOIN f r ON r.lang = p.lang AND r.g = p.rest),
+scored AS (
+    SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+longer AS (
+    SELECT lang, unnest([g[1:2], g[2:3]]) AS g, a FROM scored WHERE len(g) = 3),
+around AS (SELECT lang, g, max(a) AS a FROM longer GROUP BY ALL),
+kept AS (
+    SELECT s.*, array_to_string(s.g, ' ') AS phrase FROM scored s LEFT JOIN around o ON o.lang = s.lang AND o.g = s.g
+    WHERE o.a IS NULL OR 100 * o.a < 50 * s.a),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT k.lang, k.rank, k.phrase, k.a, k.l, k.r, t.n, k.score
+FROM ranked k JOIN totals t ON t.lang = k.lang WHERE k.rank <= 2000
+"""
+
+
 def _spans_sql(rank: int, kind: str, pattern: str, group: int, valid: str) -> str:
     """Matches of one kind; ``v`` is the match or its group, which ends where the match does."""
     return f"""
@@ -231,7 +269,7 @@ _LUHN = f"""list_sum([CASE WHEN (length({_DIGITS}) - i) % 2 = 0 THEN substr({_DI
 _TURNED = f"(substr({_PLAIN}, 5) || substr({_PLAIN}, 1, 4))"
 _MOD97 = f"""list_reduce([0] || [strpos('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', substr({_TURNED}, i::INT, 1)) - 1
     for i in range(1, length({_TURNED}) + 1)], lambda a, b: (a * CASE WHEN b < 10 THEN 10 ELSE 100 END + b) % 97) = 1"""
-_CUE = r"(?i:\b{}\b(?:\x20(?:no|number))?)\\x20?[.:#=]?\x20?"
+_CUE = r"(?i:\b{}\b(?:\x20(?:no|number))?)\x20?[.:#=]?\x20?"
 _KINDS_SQL = (
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", 0, "true"),
     ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", 0,
@@ -320,4 +358,5 @@ FROM ruled
 """
 
 ORACLES: dict[str, str] = {"op1_chat": OP1_SQL, "op5_lines": OP5_SQL, "op8_secrets": OP8_SQL,
-                           "op9_itq": OP9_SQL, "op10_linkgraph": OP10_SQL, "op12_pii": OP12_SQL}
+                           "op9_itq": OP9_SQL, "op10_linkgraph": OP10_SQL,
+                           "op11_phrases": OP11_SQL, "op12_pii": OP12_SQL}
