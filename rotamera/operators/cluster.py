@@ -427,22 +427,27 @@ def cluster_representatives(df: DataFrame, keys: Sequence[str] = KEYS,
     return df.withColumn("active", F.coalesce(stays, F.lit(False))).drop("_best")
 
 
-def cluster_reduce(df: DataFrame, k: int | None = None, keys: Sequence[str] = KEYS,
+def cluster_reduce(df: DataFrame, k: int | Column | None = None, keys: Sequence[str] = KEYS,
                    include_h: bool = True, minimum: int = MIN_PCA_MEMBERS,
-                   energy: Column | None = None) -> DataFrame:
+                   energy: Column | None = None, only: Column | None = None) -> DataFrame:
     """Cluster the active members of every ensemble that is large enough and keep one member
     per cluster; other ensembles are returned unchanged. Without ``k`` it is chosen per
-    ensemble by silhouette."""
+    ensemble by silhouette; a column gives each ensemble its own, null where it is to be chosen.
+    ``only`` names the ensembles to cluster."""
     keys = list(keys)
-    df = attach_stats(df, keys, _active=F.count_if(F.col("active")))
-    enough = (F.col("_active") >= max(minimum, k or 0)) & F.col("active")
+    asked = k if isinstance(k, Column) else F.lit(k).cast("int")
+    df = attach_stats(df.withColumn("_asked", asked), keys, _active=F.count_if(F.col("active")))
+    enough = ((F.col("_active") >= F.greatest(F.lit(minimum), F.coalesce("_asked", F.lit(0))))
+              & F.col("active") & (F.lit(True) if only is None else only))
     work = with_features(df.where(enough).select(*keys, "conf_id", "atoms", "geom"), include_h)
     scores = cut_lineage(pca(work.select(*keys, "conf_id", "features"), keys).scores)
-    if k is None:
-        chosen = cut_lineage(best_k(silhouette_curve(scores, keys), keys).select(
+    if k is None or isinstance(k, Column):
+        given = cut_lineage(df.where(enough).groupBy(*keys).agg(F.max("_asked").alias("_given")))
+        scores = attach(scores, given, keys, given.count())
+        chosen = cut_lineage(best_k(silhouette_curve(scores.where("_given IS NULL"), keys), keys).select(
             *keys, F.col("k").alias("_best_k")))
         scores = attach(scores, chosen, keys, chosen.count())
-        labels = kmeans(scores, F.col("_best_k"), keys)
+        labels = kmeans(scores, F.coalesce("_given", "_best_k"), keys)
     else:
         labels = kmeans(scores, k, keys)
     labels = cut_lineage(labels.select(*keys, "conf_id", F.col("cluster").alias("_now")))
@@ -452,4 +457,4 @@ def cluster_reduce(df: DataFrame, k: int | None = None, keys: Sequence[str] = KE
     out = out.withColumn("cluster", F.coalesce("_now", *earlier))
     clustered, rest = out.where("_now IS NOT NULL"), out.where("_now IS NULL")
     return (cluster_representatives(clustered, keys, energy).unionByName(rest)
-            .drop("_active", "_now"))
+            .drop("_active", "_now", "_asked"))

@@ -5,6 +5,10 @@ answer depends on the order and a plain anti-join is wrong. The thresholds cut t
 rotational constant) plane into cells one threshold wide. Similar rows lie in the same or
 adjacent cells, and survivors are so sparse that a cell holds about one: comparing against
 survivors costs at most nine partners a row however dense the ensemble is.
+
+Thresholds may be columns, one pair for each ensemble: a row carries its own, cells are as wide
+as they say, and both belong to the key of every group and cell. Rows of an ensemble that differ in
+them are never compared; a threshold that is null, zero or negative makes a row similar to nothing.
 """
 
 from __future__ import annotations
@@ -27,15 +31,21 @@ SALTS = 64                # pieces a crowded cell is compared in
 _SLACK = 1.0 + 1e-9       # cells a hair wider than the threshold, so rounding loses no pair
 
 
-def _similar(x: str, y: str, thr_e: float, thr_b: float) -> Column:
-    return ((kcal(F.abs(F.col(f"{x}e") - F.col(f"{y}e"))) < thr_e)
-            & (F.abs(F.col(f"{x}b") - F.col(f"{y}b")) < thr_b))
+def _similar(x: str, y: str) -> Column:
+    return ((kcal(F.abs(F.col(f"{x}e") - F.col(f"{y}e"))) < F.col("_te"))
+            & (F.abs(F.col(f"{x}b") - F.col(f"{y}b")) < F.col("_tb")))
+
+
+def _changes(names: pd.DataFrame) -> np.ndarray:
+    """Where a row differs from the one before; missing keys are equal."""
+    before = names.shift()
+    return ((names != before) & ~(names.isna() & before.isna())).any(axis=1).to_numpy().copy()
 
 
-def _greedy_pass(keys: Sequence[str], thr_e: float, thr_b: float):
-    """Sequential first-wins pass over partitions sorted by ensemble and order. Held in
-    memory are the survivors of one ensemble, by cell; rows stream through in batches."""
-    width_e, width_b = thr_e * _SLACK, thr_b * _SLACK
+def _greedy_pass(keys: Sequence[str]):
+    """Sequential first-wins pass over partitions sorted by ensemble, thresholds and order. Held
+    in memory are the survivors of one ensemble, by cell; rows stream through in batches."""
+    group = [*keys, "_te", "_tb"]
     stride = 1 << 40      # one integer per cell: stride * energy cell + constant cell
     near = [stride * i + j for i in (-1, 0, 1) for j in (-1, 0, 1)]
 
@@ -43,23 +53,26 @@ def _greedy_pass(keys: Sequence[str], thr_e: float, thr_b: float):
         kept: dict[int, list[tuple[float, float, int]]] = {}
         last: tuple | None = None
         for pdf in batches:
-            names = pdf[list(keys)]
-            change = (names != names.shift()).any(axis=1).to_numpy().copy()
-            first = tuple(names.iloc[0])
+            names = pdf[group]
+            change = _changes(names)
+            first = tuple(None if pd.isna(x) else x for x in names.iloc[0])
             change[0] = first != last
-            last = tuple(names.iloc[-1])
+            last = tuple(None if pd.isna(x) else x for x in names.iloc[-1])
             energy, const = pdf["_e"].to_numpy(), pdf["_b"].to_numpy()
-            cell = (np.floor(energy * HARTREE_TO_KCAL / width_e).astype(np.int64).astype(object)
-                    * stride + np.floor(const / width_b).astype(np.int64)).tolist()
+            thr_e, thr_b = pdf["_te"].to_numpy(), pdf["_tb"].to_numpy()
+            cell = (np.floor(energy * HARTREE_TO_KCAL / (thr_e * _SLACK)).astype(np.int64).astype(object)
+                    * stride + np.floor(const / (thr_b * _SLACK)).astype(np.int64)).tolist()
+            limits = list(zip(thr_e.tolist(), thr_b.tolist()))
             order, is_ref = pdf["_o"].tolist(), pdf["_ref"].tolist()
             hits: list[int | None] = []
             for i, (e, b) in enumerate(zip(energy.tolist(), const.tolist())):
                 if change[i]:
                     kept = {}
                 hit = None
+                te, tb = limits[i]
                 for d in near:
                     for ke, kb, ko in kept.get(cell[i] + d, ()):
-                        if (abs(e - ke) * HARTREE_TO_KCAL < thr_e and abs(b - kb) < thr_b
+                        if (abs(e - ke) * HARTREE_TO_KCAL < te and abs(b - kb) < tb
                                 and (hit is None or ko < hit)):
                             hit = ko
                 hits.append(hit)
@@ -80,8 +93,7 @@ def _neighbourhood(df: DataFrame, prefix: str) -> DataFrame:
             .drop("_de", "_db", f"{prefix}ce", f"{prefix}cb"))
 
 
-def _against(rows: DataFrame, few: DataFrame, keys: list[str], thr_e: float, thr_b: float
-             ) -> DataFrame:
+def _against(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
     """Similar (row, survivor or candidate) pairs. ``few`` has about one row a cell; its
     copies are sent to the occupied pieces of each cell, so a cell holding most of the
     ensemble is still compared in ``SALTS`` tasks."""
@@ -89,11 +101,18 @@ def _against(rows: DataFrame, few: DataFrame, keys: list[str], thr_e: float, thr
     pieces = rows.select(*cell, "_salt").distinct()
     targets = _neighbourhood(few, "_c_").join(pieces, cell)
     return (rows.join(targets, [*cell, "_salt"])
-            .where(_similar("_", "_c_", thr_e, thr_b) & (F.col("_o") != F.col("_c_o"))))
+            .where(_similar("_", "_c_") & (F.col("_o") != F.col("_c_o"))))
 
 
-def _survivors_by_rounds(refs: DataFrame, keys: list[str], thr_e: float, thr_b: float
-                         ) -> DataFrame:
+def _celled(rows: DataFrame) -> DataFrame:
+    """Rows with the cell that their thresholds put them in, and a salt."""
+    return rows.withColumns({
+        "_ce": F.floor(kcal(F.col("_e")) / (F.col("_te") * F.lit(_SLACK))),
+        "_cb": F.floor(F.col("_b") / (F.col("_tb") * F.lit(_SLACK))),
+        "_salt": F.pmod(F.xxhash64("_o"), F.lit(SALTS))})
+
+
+def _survivors_by_rounds(refs: DataFrame, keys: list[str]) -> DataFrame:
     """Surviving references of ensembles too large for one task. Each round takes the first
     undecided row of every cell, keeps those no earlier undecided similar row stands against,
     and drops what the kept ones cover. Every round decides at least each ensemble's first
@@ -108,11 +127,11 @@ def _survivors_by_rounds(refs: DataFrame, keys: list[str], thr_e: float, thr_b:
                         F.col("_m._o").alias("_c_o"), F.col("_m._e").alias("_c_e"),
                         F.col("_m._b").alias("_c_b")))
         cand = cut_lineage(cand)
-        blocked = (_against(undecided, cand, keys, thr_e, thr_b)
+        blocked = (_against(undecided, cand, keys)
                    .where("_o < _c_o").select(*keys, "_c_o").distinct())
         kept = cut_lineage(cand.join(blocked, [*keys, "_c_o"], "left_anti"))
         kept_parts.append(kept)
-        covered = (_against(undecided, kept, keys, thr_e, thr_b).where("_o > _c_o")
+        covered = (_against(undecided, kept, keys).where("_o > _c_o")
                    .select(*keys, "_o").distinct())
         decided = covered.unionByName(kept.select(*keys, F.col("_c_o").alias("_o")))
         undecided = cut_lineage(undecided.join(decided, [*keys, "_o"], "left_anti"))
@@ -122,7 +141,19 @@ def _survivors_by_rounds(refs: DataFrame, keys: list[str], thr_e: float, thr_b:
     return out
 
 
-def duplicate_links(df: DataFrame, thr_e: float, thr_b: float, keys: Sequence[str] = KEYS,
+def _rows(df: DataFrame, keys: list[str], order: str, e: Column, b: Column, thr_e: Column | float,
+          thr_b: Column | float, ref_ok: Column | None, *more: Column) -> DataFrame:
+    """What can be compared: order, energy, constant, thresholds and whether it may remove others."""
+    limits = [(t if isinstance(t, Column) else F.lit(float(t))).cast("double") for t in (thr_e, thr_b)]
+    rows = df.select(*keys, F.col(order).cast("long").alias("_o"), e.alias("_e"), b.alias("_b"),
+                     (F.lit(True) if ref_ok is None else F.coalesce(ref_ok, F.lit(False))).alias("_ref"),
+                     limits[0].alias("_te"), limits[1].alias("_tb"), *more)
+    return rows.where(F.col("_e").isNotNull() & F.col("_b").isNotNull() & ~F.isnan("_e") & ~F.isnan("_b")
+                      & (F.col("_te") > 0) & (F.col("_tb") > 0))
+
+
+def duplicate_links(df: DataFrame, thr_e: Column | float, thr_b: Column | float,
+                    keys: Sequence[str] = KEYS,
                     order: str = "conf_id", e: Column | str = "e", b: Column | str = "b",
                     ref_ok: Column | None = None, active: Column | None = None,
                     group_limit: int = GROUP_LIMIT) -> DataFrame:
@@ -133,28 +164,19 @@ def duplicate_links(df: DataFrame, thr_e: float, thr_b: float, keys: Sequence[st
     keys = list(keys)
     e = F.col(e) if isinstance(e, str) else e
     b = F.col(b) if isinstance(b, str) else b
-    rows = df if active is None else df.where(active)
-    rows = rows.select(*keys, F.col(order).cast("long").alias("_o"), e.alias("_e"),
-                       b.alias("_b"), (F.lit(True) if ref_ok is None
-                                       else F.coalesce(ref_ok, F.lit(False))).alias("_ref"))
-    rows = rows.where(F.col("_e").isNotNull() & F.col("_b").isNotNull()
-                      & ~F.isnan("_e") & ~F.isnan("_b"))
+    rows = _rows(df if active is None else df.where(active), keys, order, e, b, thr_e, thr_b, ref_ok)
     schema = T.StructType([rows.schema[k] for k in keys]
                           + [T.StructField("_o", T.LongType()), T.StructField("_by", T.LongType())])
     named = [*keys, F.col("_o").alias(order), F.col("_by").alias("deactivated_by")]
-    if thr_e <= 0 or thr_b <= 0:
-        return rows.where(F.lit(False)).withColumn("_by", F.col("_o")).select(*named)
     small, large = split_by_size(rows, keys, group_limit)
-    links = (spread(small, keys).sortWithinPartitions(*keys, "_o")
-             .mapInPandas(_greedy_pass(keys, thr_e, thr_b), schema))
+    group = [*keys, "_te", "_tb"]
+    links = (spread(small, keys).sortWithinPartitions(*group, "_o")
+             .mapInPandas(_greedy_pass(keys), schema))
     if large is not None:
-        celled = large.withColumns({
-            "_ce": F.floor(kcal(F.col("_e")) / F.lit(thr_e * _SLACK)),
-            "_cb": F.floor(F.col("_b") / F.lit(thr_b * _SLACK)),
-            "_salt": F.pmod(F.xxhash64("_o"), F.lit(SALTS))})
-        kept = _survivors_by_rounds(celled.where("_ref").drop("_ref"), keys, thr_e, thr_b)
+        celled = _celled(large)
+        kept = _survivors_by_rounds(celled.where("_ref").drop("_ref"), group)
         links = links.unionByName(
-            _against(celled, kept, keys, thr_e, thr_b).where("_c_o < _o")
+            _against(celled, kept, group).where("_c_o < _o")
             .groupBy(*keys, "_o").agg(F.min("_c_o").alias("_by")))
     return links.select(*named)
 
@@ -167,32 +189,26 @@ def apply_links(df: DataFrame, links: DataFrame, keys: Sequence[str] = KEYS,
     return out.withColumn("active", F.col("active") & F.col("deactivated_by").isNull())
 
 
-def greedy_dedup(df: DataFrame, thr_e: float, thr_b: float, keys: Sequence[str] = KEYS,
+def greedy_dedup(df: DataFrame, thr_e: Column | float, thr_b: Column | float, keys: Sequence[str] = KEYS,
                  order: str = "conf_id", **kw) -> DataFrame:
     """``df`` with ``active`` and ``deactivated_by`` after duplicate removal."""
     kw.setdefault("active", F.col("active"))
     return apply_links(df, duplicate_links(df, thr_e, thr_b, keys, order, **kw), keys, order)
 
 
-def survivor_pairs(df: DataFrame, links: DataFrame, thr_e: float, thr_b: float,
+def survivor_pairs(df: DataFrame, links: DataFrame, thr_e: Column | float, thr_b: Column | float,
                    keys: Sequence[str] = KEYS, order: str = "conf_id", e: str = "e",
                    b: str = "b", m: str | None = "m", ref_ok: Column | None = None) -> DataFrame:
     """Every (ref, check) with the ref surviving, earlier and similar: the comparisons that
     can remove a row, with their differences. At most about nine refs a check."""
     keys = list(keys)
+    group = [*keys, "_te", "_tb"]
     m_col = F.col(m) if m else F.lit(None).cast("double")
-    rows = df.select(
-        *keys, F.col(order).cast("long").alias("_o"), F.col(e).alias("_e"),
-        F.col(b).alias("_b"), m_col.alias("_m"),
-        (F.lit(True) if ref_ok is None else F.coalesce(ref_ok, F.lit(False))).alias("_ref"))
-    rows = rows.where(F.col("_e").isNotNull() & F.col("_b").isNotNull()).withColumns({
-        "_ce": F.floor(kcal(F.col("_e")) / F.lit(thr_e * _SLACK)),
-        "_cb": F.floor(F.col("_b") / F.lit(thr_b * _SLACK)),
-        "_salt": F.pmod(F.xxhash64("_o"), F.lit(SALTS))})
+    rows = _celled(_rows(df, keys, order, F.col(e), F.col(b), thr_e, thr_b, ref_ok, m_col.alias("_m")))
     dropped = links.select(*keys, F.col(order).alias("_o"))
     kept = (rows.where("_ref").join(dropped, [*keys, "_o"], "left_anti")
-            .select(*keys, *[F.col(f"_{c}").alias(f"_c_{c}") for c in ("ce", "cb", "o", "e", "b", "m")]))
-    pairs = _against(rows, kept, keys, thr_e, thr_b).where("_c_o < _o")
+            .select(*group, *[F.col(f"_{c}").alias(f"_c_{c}") for c in ("ce", "cb", "o", "e", "b", "m")]))
+    pairs = _against(rows, kept, group).where("_c_o < _o")
     return pairs.select(
         *keys, F.col("_c_o").alias("ref_id"), F.col("_o").alias("check_id"),
         kcal(F.abs(F.col("_e") - F.col("_c_e"))).alias("delta_e"),

@@ -8,9 +8,10 @@ from rotamera.constants import LEVEL_THRESHOLDS
 from rotamera.functions.energy import effective_energy
 from rotamera.operators import energy as E, records as R
 from rotamera.operators.prune import duplicate_links, survivor_pairs
-from rotamera.plans.refine import Step, refine_step
+from rotamera.plans.refine import Step, refine, refine_step
 from rotamera.plans.tools import K, above, above_sql, r, rs, weight_sql
 from rotamera.plans.views import EVENTS, RECORDS, view
+from rotamera.sources.protocols import parse_protocols
 
 PROT = ["ensemble_id", "protocol"]
 WINDOW = 0.5
@@ -230,13 +231,40 @@ def refined_populations(spark, sf):
                                r("pop").alias("pop"))
 
 
+# one protocol file per ensemble: thresholds of its own, some without pruning, some without step 1
+_FILES = """SELECT ensemble_id, to_json(map_from_entries(filter(array(
+  struct('0' AS key, named_struct('functional', 'a', 'thrG', 0.02D + ensemble_id % 4 / 100, 'thrB',
+   1D + ensemble_id % 3, 'thrGMAX', 0.3D + ensemble_id % 5 / 10, 'no_prune', ensemble_id % 7 = 0) AS value),
+  CASE WHEN ensemble_id % 3 <> 0 THEN struct('1' AS key, named_struct('functional', 'b', 'thrG',
+   0.1D + ensemble_id % 5 / 50, 'thrB', 2D + ensemble_id % 4, 'thrGMAX', 0.2D + ensemble_id % 2 / 10,
+   'no_prune', ensemble_id % 11 = 0) AS value) END), x -> x IS NOT NULL))) AS value
+ FROM (SELECT DISTINCT ensemble_id FROM {c})"""
+# a second calculation of most conformers
+_SECOND = """SELECT ensemble_id, conf_id, e + conf_id * 37 % 101 * 1e-6D AS e,
+ CASE WHEN conf_id % 4 <> 0 THEN e + conf_id * 53 % 97 * 1e-6D END AS g,
+ CASE WHEN conf_id % 9 = 0 THEN 1D ELSE b + conf_id % 5 * 0.3D END AS b FROM {c} WHERE conf_id % 6 <> 0"""
+
+
+def refined_by_protocol(spark, sf):
+    """Two steps of one protocol per ensemble, all ensembles together."""
+    c = view(spark, sf, "events")
+    protocols = parse_protocols(spark.sql(_FILES, c=c))
+    records = c.select("ensemble_id", "conf_id", F.lit(0).alias("protocol"), "e", "g", "b").unionByName(
+        spark.sql(_SECOND, c=c).withColumn("protocol", F.lit(1)))
+    done = refine(c.select("ensemble_id", "conf_id", "active"), records, protocols)
+    pops = done.records.groupBy("ensemble_id", "conf_id").agg(*[
+        F.max(F.when(F.col("protocol") == p, F.col("pop"))).alias(f"pop_{p}") for p in (0, 1)])
+    return done.conformers.join(pops, ["ensemble_id", "conf_id"], "left").select(
+        "ensemble_id", "conf_id", "active", "deactivated_by", r("pop_0").alias("pop_0"), r("pop_1").alias("pop_1"))
+
+
 QUERIES = {f.__name__: f for f in (
     energy_window_populations, relative_energy, energy_window, prune_gate, effective_energies,
     energy_rank, retention_by_ensemble, boltzmann_strict, boltzmann_skip_missing,
     weighted_average, normalised_records, vector_norms, latest_record, pending_records,
     step_summary, record_status, thresholds_by_level, energy_report, ensemble_averages,
     protocol_arithmetic, carry_thermal_correction, lookback_vectors, greedy_dedup,
-    dedup_lineage, similar_pairs, refined_populations)}
+    dedup_lineage, similar_pairs, refined_populations, refined_by_protocol)}
 
 # --- oracles ------------------------------------------------------------------
 
@@ -388,3 +416,46 @@ ORACLES["refined_populations"] = f"""{_GREEDY.replace('FROM c WHERE active)', f"
  s AS (SELECT o.ensemble_id, o.conf_id, o.e FROM o JOIN links l USING (ensemble_id, conf_id)
   WHERE l.by_id IS NULL)
  SELECT ensemble_id, conf_id, {rs('erel')} AS erel, {rs('pop')} AS pop FROM {_boltz('s', 'e', 'ensemble_id')}"""
+
+
+def _greedy_sql(n: int, source: str) -> str:
+    """Recursive removal as ``links{n}`` (ensemble_id, conf_id, by_id) from the rows of ``source``
+    (ensemble_id, conf_id, e, b, ref, te, tb), one conformer of every ensemble per step."""
+    return f"""o{n} AS (SELECT *, row_number() OVER (PARTITION BY ensemble_id ORDER BY conf_id) AS rn FROM {source}),
+ step{n} AS (
+  SELECT ensemble_id, 0::BIGINT AS rn, CAST(NULL AS BIGINT) AS conf_id, CAST(NULL AS BIGINT) AS by_id,
+   CAST([] AS STRUCT(id BIGINT, e DOUBLE, b DOUBLE)[]) AS kept FROM (SELECT DISTINCT ensemble_id FROM o{n})
+  UNION ALL
+  SELECT q.ensemble_id, q.rn, q.conf_id, q.hit, CASE WHEN q.hit IS NULL AND q.ref
+   THEN list_append(q.kept, {{'id': q.conf_id, 'e': q.e, 'b': q.b}}) ELSE q.kept END
+  FROM (SELECT o.ensemble_id, o.rn, o.conf_id, o.e, o.b, o.ref, s.kept,
+    list_min(list_transform(list_filter(s.kept, lambda z: abs(z.e - o.e)*{K} < o.te AND abs(z.b - o.b) < o.tb),
+     lambda z: z.id)) AS hit
+   FROM step{n} s JOIN o{n} o ON o.ensemble_id = s.ensemble_id AND o.rn = s.rn + 1) q),
+ links{n} AS (SELECT ensemble_id, conf_id, by_id FROM step{n} WHERE by_id IS NOT NULL)"""
+
+
+def _window_sql(n: int, source: str, energy: str, ref: str, te: str, tb: str, tmax: str, skip: str) -> str:
+    return f"""w{n} AS (SELECT *, {energy} AS eff, ({energy} - min(CASE WHEN active THEN {energy} END)
+  OVER (PARTITION BY ensemble_id))*{K} AS rel, {te} AS te, {tb} AS tb, {skip} AS skip FROM {source}),
+ in{n} AS (SELECT *, active AND (skip OR rel <= {tmax}) AS inside FROM w{n}),
+ cand{n} AS (SELECT ensemble_id, conf_id, eff AS e, b, {ref} AS ref, te, tb FROM in{n} WHERE inside AND NOT skip),
+ {_greedy_sql(n, f'cand{n}')},
+ after{n} AS (SELECT i.* EXCLUDE (active), i.inside AND l.by_id IS NULL AS active, l.by_id AS by_{n}
+  FROM in{n} i LEFT JOIN links{n} l USING (ensemble_id, conf_id))"""
+
+
+ORACLES["refined_by_protocol"] = f"""WITH RECURSIVE c AS ({EVENTS}),
+ {_window_sql(0, 'c', 'coalesce(g, e)', 'b <> 1', '0.02e0 + ensemble_id % 4 / 100e0', '1e0 + ensemble_id % 3',
+              '0.3e0 + ensemble_id % 5 / 10e0', 'ensemble_id % 7 = 0')},
+ second AS ({_SECOND.replace('{c}', 'c').replace('1e-6D', '1e-6').replace('1D', '1e0').replace('0.3D', '0.3e0')}),
+ met AS (SELECT a.ensemble_id, a.conf_id, a.active, a.by_0, coalesce(s.g, s.e, a.eff) AS eff1,
+  coalesce(s.b, a.b) AS b, s.b AS b_now, s.conf_id IS NOT NULL AS has FROM after0 a
+  LEFT JOIN second s USING (ensemble_id, conf_id)),
+ {_window_sql(1, "met", 'eff1', 'coalesce(b_now <> 1, true)', '0.1e0 + ensemble_id % 5 / 50e0', '2e0 + ensemble_id % 4',
+              '0.2e0 + ensemble_id % 2 / 10e0', 'ensemble_id % 11 = 0 OR ensemble_id % 3 = 0')},
+ p0 AS (SELECT ensemble_id, conf_id, pop FROM {_boltz('(SELECT ensemble_id, conf_id, eff AS x FROM after0 WHERE active)', 'x', 'ensemble_id')}),
+ p1 AS (SELECT ensemble_id, conf_id, pop FROM {_boltz('(SELECT ensemble_id, conf_id, eff AS x FROM after1 WHERE active AND has AND ensemble_id % 3 <> 0)', 'x', 'ensemble_id')})
+ SELECT a.ensemble_id, a.conf_id, a.active, coalesce(a.by_1, a.by_0) AS deactivated_by,
+ {rs('p0.pop')} AS pop_0, {rs('p1.pop')} AS pop_1 FROM after1 a
+ LEFT JOIN p0 USING (ensemble_id, conf_id) LEFT JOIN p1 USING (ensemble_id, conf_id)"""
