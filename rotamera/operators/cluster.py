@@ -23,7 +23,8 @@ from rotamera.operators.grouping import (_join_on, attach, attach_stats, dealt_r
 from rotamera.session import cut_lineage
 
 GROUP_LIMIT = 20_000      # members of an ensemble that one task may cluster
-SCAN_LIMIT = GROUP_LIMIT // 2   # members of an ensemble that the tasks of a k scan hold whole
+SCAN_BYTES = 32 << 20     # coordinates of an ensemble that the tasks of a k scan hold whole
+LABEL_BYTES = 64 << 20    # of a label matrix at a time
 BLOCK = 2_000             # members per side of a distance block
 BLOCK_BYTES = 32 << 20    # of intermediate distances at a time
 SEED = 42
@@ -355,56 +356,84 @@ def silhouette(df: DataFrame, keys: Sequence[str] = KEYS, points: str = "scores"
     return res if large is None else res.unionByName(_silhouette_by_blocks(large, keys, block))
 
 
-def k_range(n: int) -> tuple[int, int]:
-    """Smallest and largest number of clusters tried for ``n`` members."""
-    lo = max(int(n * 0.1), 2)
-    return lo, max(int(n * 0.8), lo)
+def _whole(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per ensemble: its points and start order as packed numbers, members by id."""
+    schema = T.StructType([rows.schema[k] for k in keys] + [
+        T.StructField("_x", T.BinaryType()), T.StructField("_h", T.BinaryType()),
+        T.StructField("_ks", T.ArrayType(T.IntegerType())), T.StructField("_n", T.IntegerType())])
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("conf_id")
+        return pd.DataFrame([[*[pdf[k].iloc[0] for k in keys], np.stack(list(pdf["_pts"])).tobytes(),
+                              pdf["_h"].to_numpy().tobytes(), pdf["_ks"].iloc[0], len(pdf)]],
+                            columns=schema.names)
+    return spread(rows, keys).groupBy(*keys).applyInPandas(pack, schema)
+
+
+def _scans(keys: list[str], max_iter: int):
+    """Packed ensembles with some of their numbers of clusters -> (keys, k, score). Labels of as many k
+    as fit form the columns of a matrix, whose silhouettes take one pass over the distances."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                x = np.frombuffer(row["_x"]).reshape(row["_n"], -1)
+                h, ks, out = np.frombuffer(row["_h"]), list(row["_tried"]), []
+                columns = max(1, LABEL_BYTES // (24 * len(x)))
+                for lo in range(0, len(ks), columns):
+                    part = ks[lo:lo + columns]
+                    labels = [_lloyd(x, h, k, max_iter) for k in part]
+                    out += zip(part, _silhouettes(x, labels).mean(axis=1))
+                yield pd.DataFrame([[*[row[c] for c in keys], k, s] for k, s in out],
+                                   columns=[*keys, "k", "score"])
+    return run
 
 
 def silhouette_curve(df: DataFrame, keys: Sequence[str] = KEYS, points: str = "scores",
-                     seed: int = SEED, max_iter: int = 50, group_limit: int = SCAN_LIMIT
-                     ) -> DataFrame:
+                     seed: int = SEED, max_iter: int = 50, group_limit: int | None = None,
+                     ks: Sequence[int] | None = None) -> DataFrame:
     """(keys, k, score): mean silhouette for every number of clusters of the ensemble's
-    range. A range is dealt out over tasks by the square of the ensemble's size; in an ensemble
-    too large for that, each k is a group of its own and all go through the distributed forms
-    at once. A range with no room (largest below smallest) yields its smallest k with a NULL
-    score."""
+    range, or for those of ``ks`` that are at least 2 and fewer than its members.
+
+    An ensemble whose coordinates fit a task (``SCAN_BYTES``, or ``group_limit`` members) is packed into
+    one row, of which each task gets a copy with a share of the range: copies are as many as tasks,
+    whatever the range. In a larger ensemble each k is a group of its own and all go through the
+    distributed forms at once. A range with no room (largest below smallest) yields its smallest k with a
+    NULL score."""
     keys = list(keys)
     rows = df.select(*keys, "conf_id", F.col(points).alias("_pts"),
                      F.xxhash64("conf_id", F.lit(seed)).cast("double").alias("_h"))
     rows = attach_stats(rows, keys, _n=F.count(F.lit(1)))
-    small, large = split_by_size(rows, keys, group_limit)
+    lo = F.greatest(F.floor(F.col("_n") * 0.1), F.lit(2)).cast("int")
+    hi = F.floor(F.col("_n") * 0.8).cast("int")
+    if ks is None:
+        tried = F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
+    else:
+        asked = F.array(*[F.lit(int(k)) for k in sorted(set(ks))]).cast("array<int>")
+        tried = F.filter(asked, lambda k: (k >= 2) & (k < F.col("_n")))
+    if group_limit is None:
+        group_limit = SCAN_BYTES // (8 * (rows.agg(F.max(F.size("_pts"))).first()[0] or 1))
+    small, large = split_by_size(rows.withColumn("_ks", tried), keys, group_limit)
     schema = T.StructType([rows.schema[k] for k in keys] + [
         T.StructField("k", T.IntegerType()), T.StructField("score", T.DoubleType())])
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        chunk, chunks = int(pdf["_chunk"].iloc[0]), int(pdf["_chunks"].iloc[0])
-        pdf = pdf.sort_values("conf_id")
-        x, h = np.stack(list(pdf["_pts"])), pdf["_h"].to_numpy()
-        lo, hi = k_range(len(x))
-        tried = [k for k in range(lo, hi + 1) if k % chunks == chunk]
-        room = int(len(x) * 0.8) >= lo
-        scores = (_silhouettes(x, [_lloyd(x, h, k, max_iter) for k in tried]).mean(axis=1)
-                  if room else [np.nan] * len(tried))
-        return pd.DataFrame([[*[pdf[c].iloc[0] for c in keys], k, s]
-                             for k, s in zip(tried, scores)], columns=[*keys, "k", "score"])
+    packed = cut_lineage(_whole(small, keys))
     # a third of a thousand members a side is about a second's work, whatever the range
+    tasks = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sides = F.ceil(F.col("_n") / F.lit(333)).cast("int")
-    small = small.withColumn("_chunks", F.greatest(F.lit(8), sides * sides))
-    dealt = small.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
-    curve = spread(dealt, [*keys, "_chunk"]).groupBy(*keys, "_chunk").applyInPandas(scan, schema)
-    curve = curve.withColumn("score", F.nanvl("score", F.lit(None).cast("double")))
+    shares = F.least(F.greatest(F.lit(8), sides * sides), F.lit(max(8, tasks)), F.size("_ks"))
+    dealt = (packed.where("size(_ks) > 0").withColumn("_share", shares)
+             .withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_share") - 1)))
+             .withColumn("_tried", F.expr("filter(_ks, k -> k % _share = _chunk)")).where("size(_tried) > 0"))
+    curve = (spread(dealt.drop("_ks"), [*keys, "_chunk"]).mapInPandas(_scans(keys, max_iter), schema)
+             .withColumn("score", F.nanvl("score", F.lit(None).cast("double"))))
     if large is not None:
-        lo = F.greatest(F.floor(F.col("_n") * 0.1), F.lit(2)).cast("int")
-        hi = F.floor(F.col("_n") * 0.8).cast("int")
-        each = (large.where(lo <= hi).withColumnRenamed("_pts", points)
-                .withColumn("k", F.explode(F.sequence(lo, hi))))
+        each = large.withColumnRenamed("_pts", points).withColumn("k", F.explode("_ks"))
         by_k = [*keys, "k"]
         labelled = kmeans(each, F.col("k"), by_k, points, seed, max_iter)
         curve = curve.unionByName(silhouette(labelled, by_k, points).groupBy(*by_k).agg(
             F.avg("silhouette").alias("score")))
-        curve = curve.unionByName(large.where(lo > hi).select(
-            *keys, lo.alias("k"), F.lit(None).cast("double").alias("score")).distinct())
+    if ks is None:
+        none = rows.where(lo > hi).select(*keys, lo.alias("k"), F.lit(None).cast("double").alias("score"))
+        curve = curve.unionByName(none.distinct())
     return curve
 
 

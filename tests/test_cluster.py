@@ -132,3 +132,33 @@ def test_top_loadings_and_cumulative(spark):
     load = spark.createDataFrame([("m", 1, f, x) for f, x in enumerate([.1, -.9, .5])],
                                  "ensemble_id string, pc int, feature int, loading double")
     assert [r.feature for r in C.top_loadings(load, 2).orderBy("place").collect()] == [1, 2]
+
+
+def test_scan_of_given_numbers(spark):
+    df = blobs(spark, (("a", 20), ("b", 14)))
+    full = {(r.ensemble_id, r.k): round(r.score, 9) for r in C.silhouette_curve(df, points="features").collect()}
+    want = {(e, k): s for (e, k), s in full.items() if k in (2, 3, 11)}
+    for limit in (None, 0):
+        got = {(r.ensemble_id, r.k): round(r.score, 9) for r in C.silhouette_curve(
+            df, points="features", ks=[3, 2, 11, 1, 99], group_limit=limit).collect()}
+        assert got == want
+
+
+def test_scan_in_narrow_label_matrices(spark, monkeypatch):
+    df = blobs(spark, (("a", 20),))
+    one = {(r.k, r.score) for r in C.silhouette_curve(df, points="features").collect()}
+    monkeypatch.setattr(C, "LABEL_BYTES", 1)
+    assert {(r.k, r.score) for r in C.silhouette_curve(df, points="features").collect()} == one
+
+
+def test_reduction_with_a_number_for_each_ensemble(spark):
+    rng = np.random.default_rng(5)
+    rows = [(e, i, ["C"] * 4, rng.normal(size=(4, 3)).tolist(), float(i), None, True)
+            for e, n in (("four", 12), ("own", 10), ("none", 11)) for i in range(n)]
+    df = spark.createDataFrame(rows, "ensemble_id string, conf_id long, atoms array<string>, "
+                                     "geom array<array<double>>, e double, g double, active boolean")
+    k = F.when(F.col("ensemble_id") == "four", 4)
+    out = C.cluster_reduce(df, k, minimum=5, only=F.col("ensemble_id") != "none")
+    n = {r.ensemble_id: r.a for r in out.groupBy("ensemble_id").agg(F.count_if("active").alias("a")).collect()}
+    whole = C.cluster_reduce(df.where("ensemble_id = 'own'"), minimum=5).where("active").count()
+    assert n == {"four": 4, "own": whole, "none": 11}
