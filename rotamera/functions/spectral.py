@@ -54,25 +54,66 @@ def shifted_lines(x: np.ndarray, graph_type: str, shift) -> np.ndarray:
     return x * shift if graph_type in VIBRATIONAL else x + shift
 
 
+NODES = 22               # of the interpolation in a tile
+TILES = 128              # of the grid, for Lorentzians
+PLAIN = 1 << 20          # line shapes at single points below which tiles do not pay
+
+
 def broadened(points: np.ndarray, lines: np.ndarray, weight: np.ndarray, graph_type: str,
-              widths, block: tuple[int, int] = (32, 1024)) -> np.ndarray:
+              widths, cutoff: float = 10.0) -> np.ndarray:
     """Sum of all line shapes at ascending ``points``, one row for each of ``widths``.
 
     Vibrational lines are Lorentzians of unit height, electronic ones Gaussians of unit area.
-    The work goes in blocks that fit the processor cache, and the squared distances are
-    shared by all widths. Gaussians are left out beyond ten standard deviations, where they
-    are below 1e-21 of their height."""
+    Gaussians are left out beyond ``cutoff`` standard deviations (at 10 they are below 1e-21 of their
+    height). Many lines on many points are summed by tiles, see ``_tiled``; its result is within
+    1e-11 of the sum of absolute line heights."""
     order = np.argsort(lines, kind="stable")
     x, w = lines[order], weight[order]
-    vibrational = graph_type in VIBRATIONAL
-    if vibrational:
-        scales = [(4.0 / (f * f), 1.0) for f in widths]
-        reach = math.inf
-    else:
-        sigmas = [f * FWHM_TO_SIGMA for f in widths]
-        scales = [(-0.5 / (s * s), 1.0 / (s * math.sqrt(2.0 * math.pi))) for s in sigmas]
-        reach = 10.0 * max(sigmas)
-    total = np.zeros((len(scales), len(points)))
+    total = np.zeros((len(widths), len(points)))
+    known = w != 0
+    x, w = x[known], w[known]
+    for k, f in enumerate(widths):
+        if graph_type in VIBRATIONAL:
+            kernel, reach = _lorentz(4.0 / (f * f)), math.inf
+        else:
+            sigma = f * FWHM_TO_SIGMA
+            kernel, reach = _gauss(sigma), cutoff * sigma
+        if len(x) * len(points) <= PLAIN:
+            total[k] = _plain(points, x, w, kernel, reach)
+            continue
+        if graph_type in VIBRATIONAL:
+            total[k] = _tiled(points, x, w, kernel, (points[-1] - points[0]) / TILES, math.inf, near=1)
+        elif sigma * len(points) > 2 * NODES * (points[-1] - points[0]):
+            # a Gaussian is smooth over a tile as wide as its deviation, so no line is near
+            total[k] = _tiled(points, x, w, kernel, sigma, reach, near=-1)
+        else:
+            total[k] = _plain(points, x, w, kernel, reach)
+    return total
+
+
+def _lorentz(scale: float):
+    def shape(gap: np.ndarray) -> np.ndarray:
+        out = gap * gap
+        out *= scale
+        out += 1.0
+        return np.reciprocal(out, out=out)
+    return shape
+
+
+def _gauss(sigma: float):
+    def shape(gap: np.ndarray) -> np.ndarray:
+        out = gap * gap
+        out *= -0.5 / (sigma * sigma)
+        np.exp(out, out=out)
+        out *= 1.0 / (sigma * math.sqrt(2.0 * math.pi))
+        return out
+    return shape
+
+
+def _plain(points: np.ndarray, x: np.ndarray, w: np.ndarray, kernel, reach: float,
+           block: tuple[int, int] = (32, 1024)) -> np.ndarray:
+    """Every shape at every point within reach, in blocks that fit the processor cache."""
+    total = np.zeros(len(points))
     n_lines, n_points = block
     for a in range(0, len(points), n_points):
         p = points[a:a + n_points]
@@ -80,15 +121,66 @@ def broadened(points: np.ndarray, lines: np.ndarray, weight: np.ndarray, graph_t
         hi = np.searchsorted(x, p[-1] + reach, side="right")
         for b in range(lo, hi, n_lines):
             end = min(b + n_lines, hi)
-            square = p[None, :] - x[b:end, None]
-            square *= square
-            shape = np.empty_like(square)
-            for k, (scale, height) in enumerate(scales):
-                np.multiply(square, scale, out=shape)
-                if vibrational:
-                    shape += 1.0
-                    np.reciprocal(shape, out=shape)
-                else:
-                    np.exp(shape, out=shape)
-                total[k, a:a + n_points] += (w[b:end] * height) @ shape
+            total[a:a + n_points] += w[b:end] @ kernel(p[None, :] - x[b:end, None])
+    return total
+
+
+def _polynomials(t: np.ndarray) -> np.ndarray:
+    """Chebyshev polynomials up to ``NODES`` - 1 at ``t``, one column each."""
+    out = np.empty((len(t), NODES))
+    out[:, 0], out[:, 1] = 1.0, t
+    for q in range(2, NODES):
+        out[:, q] = 2.0 * t * out[:, q - 1] - out[:, q - 2]
+    return out
+
+
+def _tiled(points: np.ndarray, x: np.ndarray, w: np.ndarray, kernel, width: float, reach: float,
+           near: int) -> np.ndarray:
+    """The sum by tiles of ``width``. Lines of a tile act through ``NODES`` Chebyshev nodes of it, and what
+    they add to another tile is a polynomial through its nodes, so work is in proportion to lines plus
+    points plus pairs of tiles. Tiles up to ``near`` apart are summed point by point.
+
+    Error: a line at least three half-widths h from a tile's centre leaves a Lorentzian analytic
+    inside the ellipse of parameter 3 + sqrt(8) about it, so the interpolation in either variable
+    errs by less than 4 (3 + sqrt(8))**-22 / (2 + sqrt(8)), 1e-17, times the largest value there; a
+    Gaussian over h = sigma / 2 by 2 (h / 2 sigma)**22 21!! / 22!, below 1e-20. What is left is rounding."""
+    node = np.cos((np.arange(NODES) + 0.5) * (np.pi / NODES))
+    basis = _polynomials(node).T * (2.0 / NODES)       # values at nodes -> coefficients
+    basis[0] *= 0.5
+    h, start = 0.5 * width, points[0]
+    tile = np.minimum(((points - start) / width).astype(np.int64), int((points[-1] - start) / width))
+    tiles = int(tile[-1]) + 1
+    most = tiles if math.isinf(reach) else int(reach / width) + 2
+    at = np.floor((x - start) / width)
+    inside = (at >= -most) & (at < tiles + most)
+    local = np.zeros((tiles, NODES))                   # values at the nodes of each tile
+    centres = start + (np.arange(tiles) + 0.5) * width
+    if not inside.all() and math.isinf(reach):         # far off the grid: straight to the nodes
+        far = ~inside
+        local += _plain(centres.repeat(NODES) + h * np.tile(node, tiles), x[far], w[far], kernel,
+                        reach).reshape(tiles, NODES)
+    sx, sw, at = x[inside], w[inside], at[inside].astype(np.int64) + most
+    sources = np.zeros((tiles + 2 * most, NODES))
+    if len(sx):
+        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        t = (sx - start - (at - most + 0.5) * width) / h
+        sources[at[first]] = np.add.reduceat(_polynomials(t) * sw[:, None], first, axis=0) @ basis
+    for apart in range(-(tiles + most) + 1, tiles + most):
+        if abs(apart) <= near or abs(apart) > most and not math.isinf(reach):
+            continue
+        lo, hi = max(0, apart - most), min(tiles, apart + tiles + most)     # target i, source i - apart
+        if lo >= hi:
+            continue
+        part = sources[lo - apart + most:hi - apart + most]
+        if part.any():
+            local[lo:hi] += part @ kernel(apart * width + h * (node[None, :] - node[:, None]))
+    t = (points - centres[tile]) / h
+    total = (_polynomials(t) * (local @ basis.T)[tile]).sum(1)
+    if near >= 0:
+        edge = np.searchsorted(tile, np.arange(tiles + 1))
+        for i in range(tiles):
+            lo, hi = np.searchsorted(at, [i - near + most, i + near + most + 1])
+            if lo < hi and edge[i] < edge[i + 1]:
+                p = slice(edge[i], edge[i + 1])
+                total[p] += _plain(points[p], sx[lo:hi], sw[lo:hi], kernel, math.inf)
     return total

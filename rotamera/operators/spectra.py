@@ -66,7 +66,7 @@ def has_peaks(peaks: DataFrame, records: DataFrame, keys: Sequence[str] = KEYS)
 
 # --- convolution --------------------------------------------------------------
 
-def _partial_spectra(keys: Sequence[str], n: int):
+def _partial_spectra(keys: Sequence[str], n: int, cutoff: float):
     """Sum each run of equal keys in a sorted partition onto the grid. State is one run."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, total, nonzero, weighted = None, None, False, False
@@ -93,7 +93,7 @@ def _partial_spectra(keys: Sequence[str], n: int):
                 weighted = weighted or bool((weight != 0).any())
                 for f in np.unique(width):
                     pick = width == f
-                    total += broadened(grids[kind], lines[pick], weight[pick], kind, [f])[0]
+                    total += broadened(grids[kind], lines[pick], weight[pick], kind, [f], cutoff)[0]
             if out:
                 yield pd.DataFrame(out)
         if current is not None:
@@ -103,9 +103,10 @@ def _partial_spectra(keys: Sequence[str], n: int):
 
 def convolve(lines: DataFrame, n: int = GRID, keys: Sequence[str] = SPECTRUM,
              shift: Column | str | None = None, fwhm: Column | str | None = None,
-             limit: int = LINE_LIMIT) -> DataFrame:
+             limit: int = LINE_LIMIT, cutoff: float = 10.0) -> DataFrame:
     """Broaden weighted lines (x, w) onto the type's grid: (keys, i, x, y). A type whose
-    lines are all at x = 0 gives nothing.
+    lines are all at x = 0 gives nothing. Gaussians end ``cutoff`` standard deviations from
+    their centre.
 
     A task sums the lines of its spectra with NumPy. The lines of a spectrum with more than
     ``limit`` are dealt out over all tasks. Either way a task emits one partial spectrum for
@@ -121,7 +122,7 @@ def convolve(lines: DataFrame, n: int = GRID, keys: Sequence[str] = SPECTRUM,
         T.StructField("ys", T.ArrayType(T.DoubleType())),
         T.StructField("nonzero", T.BooleanType()), T.StructField("weighted", T.BooleanType())])
     parts = dealt_runs(rows, keys, limit, F.xxhash64("x", "w")).mapInPandas(
-        _partial_spectra(keys, n), schema)
+        _partial_spectra(keys, n, cutoff), schema)
     # the compact parts are shuffled, by spectrum; the sums per point and any later window
     # over a spectrum then need no shuffle of their own
     return (spread(parts, keys)

@@ -1,5 +1,5 @@
-"""Registered queries over line lists, spectra and measured curves. The line lists are whole; grids
-have 1,000 points, of which every one is compared. ``fit_shift_fwhm`` has 100 points and a shorter search,
+"""Registered queries over line lists, spectra and measured curves. The line lists and the grids of
+10,000 points are whole, and every point is compared. ``fit_shift_fwhm`` has 100 points and a shorter search,
 as its SQL does; ``fit_shift_fwhm_full`` is the fit with the operator's own grid and search."""
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from rotamera.operators.grouping import attach_stats, lookup
 from rotamera.plans.tools import K, r, rs, weight_sql
 from rotamera.plans.views import CURVES, PEAK_RECORDS, PEAKS, view
 
-N = 1000
+N = S.GRID
 SPEC = S.SPECTRUM
 
 
