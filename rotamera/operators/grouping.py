@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, Observation, functions as F, Window as W
 
 from rotamera.session import cut_lineage
 
@@ -30,6 +30,13 @@ def _join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -
     return out.drop(*[f"_key{i}" for i in range(len(keys))])
 
 
+def sized(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+    """``df`` materialised, and aggregates of it taken by the same job."""
+    seen = Observation()
+    out = cut_lineage(df.observe(seen, *[c.alias(n) for n, c in measures.items()]))
+    return out, seen.get
+
+
 def attach(df: DataFrame, table: DataFrame, keys: Sequence[str], rows: int,
            row_bytes: int = 100, size_col: str | None = None, total: int | None = None
            ) -> DataFrame:
@@ -57,20 +64,28 @@ def lookup(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inn
     """Join with a table that has few distinct keys, such as one curve per spectrum type, so
     that a shuffle by key would put most of ``df`` into a few tasks. The table is computed
     and counted first and broadcast if it fits. (``ready``: it is materialised already.)"""
-    table = table if ready else cut_lineage(table)
-    fits = table.count() <= min(BROADCAST_ROWS, BROADCAST_BYTES // row_bytes)
+    if ready:
+        rows = table.count()
+    else:
+        table, size = sized(table, n=F.count(F.lit(1)))
+        rows = size["n"]
+    fits = rows <= min(BROADCAST_ROWS, BROADCAST_BYTES // row_bytes)
     return df.join(F.broadcast(table) if fits else table, list(keys), how)
 
 
 def attach_stats(df: DataFrame, keys: Sequence[str], **stats: Column) -> DataFrame:
     """Add per-group aggregates as columns. The statistics are computed once (partial
-    aggregation, one small shuffle) and kept in the checkpoint folder, which also tells
-    their exact size."""
+    aggregation, one small shuffle) and kept in the checkpoint folder."""
     keys = list(keys)
-    table = cut_lineage(df.groupBy(*keys).agg(
-        *[c.alias(n) for n, c in stats.items()], F.count(F.lit(1)).alias("_group_rows")))
-    size = table.agg(F.count(F.lit(1)).alias("n"), F.sum("_group_rows").alias("t")).first()
-    width = 100 + 16 * (len(keys) + len(stats))
+    return attach_table(df, df.groupBy(*keys).agg(
+        *[c.alias(n) for n, c in stats.items()], F.count(F.lit(1)).alias("_group_rows")), keys)
+
+
+def attach_table(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Hand a one-row-per-group aggregate of ``df`` back to its rows. ``table`` has the number of
+    the group's rows as ``_group_rows``; its size is counted by the job that makes it."""
+    table, size = sized(table, n=F.count(F.lit(1)), t=F.sum("_group_rows"))
+    width = 100 + 16 * len(table.columns)
     return attach(df, table, keys, size["n"], width, "_group_rows", size["t"]).drop("_group_rows")
 
 
@@ -78,9 +93,9 @@ def split_by_size(df: DataFrame, keys: Sequence[str], limit: int
                   ) -> tuple[DataFrame, DataFrame | None]:
     """(rows of groups with at most ``limit`` rows, rows of the larger ones or None)."""
     keys = list(keys)
-    large = cut_lineage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-                        .where(F.col("_n") > limit).select(*keys))
-    n = large.count()
+    large, size = sized(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+                        .where(F.col("_n") > limit).select(*keys), n=F.count(F.lit(1)))
+    n = size["n"]
     if n == 0:
         return df, None
     names = F.broadcast(large) if n <= BROADCAST_ROWS else large
@@ -120,10 +135,10 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: st
                                              F.count(F.lit(1)).alias("_n"))
     # one row per (group, range partition): at most groups + partitions rows
     before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = cut_lineage(parts.select(
+    offsets, size = sized(parts.select(
         *keys, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0))
-                         - F.col("_first")).alias("_shift")))
-    out = attach(done, offsets, [*keys, "_part"], offsets.count())
+                         - F.col("_first")).alias("_shift")), n=F.count(F.lit(1)))
+    out = attach(done, offsets, [*keys, "_part"], size["n"])
     return (out.withColumn(name, F.col("_seq") + F.col("_shift") + F.lit(1))
             .drop("_seq", "_part", "_shift"))
 

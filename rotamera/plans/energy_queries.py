@@ -25,11 +25,7 @@ def _levels(df):
 
 def energy_window_populations(spark, sf):
     """Per ensemble: the conformers within the window, their populations, the average."""
-    df = E.energy_window(view(spark, sf, "events"), WINDOW).where("active")
-    df = E.boltzmann(df, effective_energy("e", "g"))
-    df = df.withColumn("eff", effective_energy("e", "g"))
-    return E.weighted_average(df, {"e_av": ("eff", "pop")}, top_pop=F.max("pop"),
-                              max_erel=F.max("erel")).select(
+    return E.window_summary(view(spark, sf, "events"), WINDOW).select(
         "ensemble_id", "n_conf", r("e_av", 8).alias("e_av"), r("top_pop").alias("top_pop"),
         r("max_erel").alias("max_erel"))
 

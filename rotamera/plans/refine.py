@@ -20,7 +20,6 @@ from rotamera.operators.cluster import cluster_reduce
 from rotamera.operators.grouping import _join_on, attach
 from rotamera.operators.prune import duplicate_links
 from rotamera.operators.records import (carry_thermal_correction, complete_thermochemistry,
-                                        latest_record,
                                         normalise_records, record_status, with_norms)
 from rotamera.operators.thermo import retemper
 from rotamera.session import cut_lineage
@@ -108,15 +107,17 @@ def _advance(state: DataFrame, conformers: DataFrame, records: DataFrame, step:
              protocol: int, temperature: float, keys: list[str], include_h: bool) -> Refined:
     """One step on the narrow ``state`` (keys, conf_id, active, deactivated_by, cluster)."""
     ids = [*keys, "conf_id"]
-    seen = records.where(F.col("protocol") <= protocol)
-    latest = latest_record(seen.select(*ids, "protocol", "e", "g", "b"), ids)
     own = records.where(F.col("protocol") == protocol)
-    df = _join_on(state, latest.drop("protocol"), ids, "left")
-    df = _join_on(df, own.select(*ids, F.col("b").alias("_b_now")), ids, "left")
+    now = F.when(F.col("protocol") == protocol, F.struct("e", "g", "b"))
+    # one aggregate gives the latest record and the step's own
+    seen = records.where(F.col("protocol") <= protocol).groupBy(*ids).agg(
+        F.max_by(F.struct("e", "g", "b"), "protocol").alias("_r"), F.first(now, ignorenulls=True).alias("_own"))
+    df = cut_lineage(_join_on(state, seen, ids, "left").select(
+        *state.columns, "_r.e", "_r.g", "_r.b", "_own", F.col("_own.b").alias("_b_now")))
     df = _with_settings(df, step, keys).withColumn("_was", F.col("active"))
     prunes = F.col("_in") & ~F.col("_graph") & ~F.col("_no_prune")
     if not isinstance(step, Step) or not (step.graph or step.no_prune):
-        df = cut_lineage(E.energy_window(df, F.col("_thr_gmax"), keys, skip=~prunes).drop("rel_kcal"))
+        df = E.energy_window(df, F.col("_thr_gmax"), keys, skip=~prunes).drop("rel_kcal")
         links = cut_lineage(duplicate_links(
             df, F.col("_thr_g"), F.col("_thr_b"), keys, e=effective_energy("e", "g"),
             ref_ok=F.coalesce(F.col("_b_now") != 1, F.lit(True)),
@@ -125,9 +126,9 @@ def _advance(state: DataFrame, conformers: DataFrame, records: DataFrame, step:
         # what an earlier step removed stays on record
         df = df.withColumn("deactivated_by", F.coalesce("_by", "deactivated_by")).drop("_by")
     pruned = cut_lineage(df.drop("_b_now"))
-    survivors = pruned.where(F.col("active") & F.col("_in")).select(*ids)
-    rows = own.drop("erel", "pop").join(survivors, ids, "left_semi")
-    populated = E.boltzmann(rows, effective_energy("e", "g"), temperature, keys)
+    left = pruned.where(F.col("active") & F.col("_in") & F.col("_own").isNotNull()).select(*ids, "_own.e", "_own.g")
+    pops = E.boltzmann(left, effective_energy("e", "g"), temperature, keys).select(*ids, "erel", "pop")
+    populated = _join_on(own.drop("erel", "pop"), pops, ids, "inner")
     report = E.retention(pruned.where("_in"), F.col("_was"), F.col("active"),
                          [*keys, "_n_clusters", "_block_on_retention_rate"])
     report = report.withColumn("alert", F.col("alert") & F.col("_n_clusters").isNull())

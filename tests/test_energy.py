@@ -1,9 +1,12 @@
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rotamera.constants import HARTREE_TO_KCAL
+from rotamera.functions.energy import effective_energy
 from rotamera.operators import energy as E, records as R
 
 # energies printed for one ensemble of eleven, six of them inside the window
@@ -119,3 +122,37 @@ def test_rank_puts_inactive_last(six):
     got = [r.conf_id for r in E.energy_rank(df).orderBy("energy_rank").collect()]
     assert got == [1, 3, 4, 5, 6, 2]
     assert math.isclose(E.relative_energy(df).where("conf_id = 1").first().erel, 0.0)
+
+
+def test_summary_of_a_window_is_the_composition(spark):
+    rows = [(e, i, i % 5 != 4, -100.0 + (i * 37 % 101) * s, None if e == "hole" and i == 0 else -99.9 + (i * 53 % 97) * s)
+            for e, s in (("a", 1e-4), ("far", 5.0), ("hole", 1e-4)) for i in range(60)]
+    df = spark.createDataFrame([(e, i, a, None if g is None else x, g) for e, i, a, x, g in rows],
+                               "ensemble_id string, conf_id long, active boolean, e double, g double")
+    inside = E.boltzmann(E.energy_window(df, 4.0).where("active"), effective_energy("e", "g"))
+    inside = inside.withColumn("eff", effective_energy("e", "g"))
+    want = E.weighted_average(inside, {"e_av": ("eff", "pop")}, top_pop=F.max("pop"), max_erel=F.max("erel"))
+    got, want = ({r.ensemble_id: (r.n_conf, r.e_av, r.top_pop, r.max_erel) for r in d.collect()}
+                 for d in (E.window_summary(df, 4.0), want))
+    assert got.keys() == want.keys() and got["hole"][1:] == (None, None, None)
+    for e in got:
+        assert got[e] == pytest.approx(want[e], rel=1e-12)
+
+
+def test_partition_function_over_a_wide_range(spark):
+    """Energies thousands of kcal/mol apart, with bins far from the smallest."""
+    rnd = random.Random(3)
+    energies = [-1000 + rnd.choice([0, 0.01, 1.0, 30.0]) + rnd.random() * 1e-3 for _ in range(500)]
+    df = spark.createDataFrame([("m", i, x, float(300 + 1000 * (i % 2))) for i, x in enumerate(energies)],
+                               "ensemble_id string, conf_id long, e double, t double")
+    low = min(energies)
+    rel = np.array([(x - low) * 627.5096080305927 for x in energies])
+    w = np.exp(-rel * 4186 / (8.31446261815324 * 298.15))
+    got = [r["pop"] for r in E.boltzmann(df, "e").orderBy("conf_id").collect()]
+    assert np.allclose(got, w / w.sum() * 100, rtol=1e-11, atol=0)
+    state = E.partition_functions(df, {"": F.col("e")}, F.col("t")).first()
+    w = np.exp(-rel * 4186 / (8.31446261815324 * np.array([300.0, 1300.0] * 250)))
+    assert state["_z"] == pytest.approx(w.sum(), rel=1e-11) and state["_c"] == 500
+    none = spark.createDataFrame([("m", 1, None)], "ensemble_id string, conf_id long, e double")
+    assert [r["pop"] for r in E.boltzmann(none, "e").collect()] == [None]
+    assert E.boltzmann(none.where("false"), "e").count() == 0

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from rotamera.constants import HARTREE_TO_KCAL as K
-from rotamera.operators import prune as P
-from rotamera.plans.refine import Step, refine_step
+from rotamera.operators import energy as E, prune as P
+from rotamera.plans.refine import Step, refine, refine_step
 
 SCHEMA = "ensemble_id string, conf_id long, e double, b double, active boolean, ok boolean"
 
@@ -120,3 +120,79 @@ def test_step_with_clustering(spark):
         best[r.cluster] = min(best.get(r.cluster, 99), r.conf_id)
     assert {r.conf_id for r in rows if r.active} == set(best.values())
     assert done.records.count() == 60 and done.retention.first().retention == 1.0
+
+
+def test_thresholds_of_each_row(spark):
+    """Ensembles with thresholds of their own, on both paths, are what each gives alone."""
+    rows = sample(7, 120, 5.0, False)
+    df = spark.createDataFrame(rows, SCHEMA)
+    names = sorted({r[0] for r in rows})
+    limits = {n: (0.2 + 0.3 * i, 0.4 + 0.1 * i) for i, n in enumerate(names)} | {"none": (0.0, 1.0)}
+    extra = [("none", *r[1:]) for r in rows if r[0] == names[0]]
+    both = df.unionByName(spark.createDataFrame(extra, SCHEMA))
+    te, tb = (F.element_at(F.create_map(*[F.lit(x) for n, v in limits.items() for x in (n, v[i])]),
+                           F.col("ensemble_id")) for i in (0, 1))
+    want = set()
+    for n in names:
+        own = P.duplicate_links(df.where(F.col("ensemble_id") == n), *limits[n], ref_ok=F.col("ok"))
+        want |= {tuple(r) for r in own.collect()}
+    for limit in (10**6, 0):
+        got = P.duplicate_links(both, te, tb, ref_ok=F.col("ok"), group_limit=limit)
+        assert {tuple(r) for r in got.collect()} == want and want
+    links = P.duplicate_links(both, te, tb, ref_ok=F.col("ok"))
+    pairs = P.survivor_pairs(both, links, te, tb, m=None, ref_ok=F.col("ok"))
+    assert {(r.ensemble_id, r.check_id) for r in pairs.collect()} == {w[:2] for w in want}
+
+
+def test_protocols_of_each_ensemble_advance_together(spark):
+    """All ensembles at once are what each gives alone, step by step."""
+    rnd = random.Random(8)
+    rows, steps = [], []
+    for n, e in enumerate("abc"):
+        rows += [(e, i, p, -100 + rnd.random() * 4e-3, None if i % 3 else -100 + rnd.random() * 4e-3,
+                  1.0 if i % 7 == 0 else rnd.random() * 8) for i in range(50) for p in (0, 1, 2) if (i + p) % 5]
+        steps += [(e, p, 0.1 + 0.1 * n, 0.5 + p, 1.5 + n, False, e == "b" and p == 1, False, None, False)
+                  for p in (0, 1, 2) if e != "c" or p != 1]
+    recs = spark.createDataFrame(rows, "ensemble_id string, conf_id long, protocol int, e double, g double, b double")
+    confs = recs.select("ensemble_id", "conf_id", F.lit(True).alias("active")).distinct()
+    protocols = spark.createDataFrame(steps, "ensemble_id string, protocol int, thr_g double, thr_b double, "
+                                             "thr_gmax double, graph boolean, no_prune boolean, clustering boolean, "
+                                             "n_clusters int, block_on_retention_rate boolean")
+    done = refine(confs, recs, protocols)
+    state = {(r.ensemble_id, r.conf_id): (r.active, r.deactivated_by) for r in done.conformers.collect()}
+    pops = {(r.ensemble_id, r.conf_id, r.protocol): r["pop"] for r in done.records.collect()}
+    kept = {(r.ensemble_id, r.protocol): (r.n_before, r.n_after) for r in done.retention.collect()}
+    assert set(kept) == {s[:2] for s in steps}
+    for e in "abc":
+        alone = confs.where(F.col("ensemble_id") == e)
+        for s in protocols.where(F.col("ensemble_id") == e).orderBy("protocol").collect():
+            one = refine_step(alone, recs.where(F.col("ensemble_id") == e), Step.of(s))
+            alone = one.conformers
+            assert {r.conf_id: r["pop"] for r in one.records.collect()} == pytest.approx(
+                {c: v for (a, c, p), v in pops.items() if (a, p) == (e, s.protocol)})
+        got = {r.conf_id: (r.active, r.deactivated_by) for r in alone.collect()}
+        assert got == {c: v for (a, c), v in state.items() if a == e}
+    assert any(v[1] is not None for v in state.values()) and any(v[0] for v in state.values())
+    blocked = protocols.withColumn("block_on_retention_rate", F.lit(True)).withColumn("thr_gmax", F.lit(1e-9))
+    with pytest.raises(E.RetentionError):
+        refine(confs, recs, blocked)
+    with pytest.raises(ValueError):
+        refine(confs, recs, protocols, keys=["ensemble_id", "site"])
+
+
+def test_one_protocol_for_all(spark):
+    confs = spark.createDataFrame([("m", i, True) for i in (1, 2, 3)],
+                                  "ensemble_id string, conf_id long, active boolean")
+    recs = spark.createDataFrame(
+        [("m", 1, 0, -100.0, 0.1, 10.0), ("m", 2, 0, -100.0001, 0.2, 10.01), ("m", 3, 0, -99.999, 0.3, 20.0),
+         ("m", 1, 1, -100.0, None, 10.0), ("m", 3, 1, -100.0, None, 30.0)],
+        "ensemble_id string, conf_id long, protocol int, e double, g_e double, b double")
+    recs = recs.withColumns({c: F.col("g_e") for c in ("zpve", "h", "s")}).withColumn("g", F.col("e") + F.col("g_e"))
+    steps = spark.createDataFrame(
+        [(p, p == 0, 100.0, 5.0, 1e6, False, False, False, None, False) for p in (0, 1)],
+        "protocol int, freq boolean, thr_g double, thr_b double, thr_gmax double, graph boolean, "
+        "no_prune boolean, clustering boolean, n_clusters int, block_on_retention_rate boolean")
+    done = refine(confs, recs, steps, inherit=True)
+    got = {(r.conf_id, r.protocol): r.g for r in done.records.collect()}
+    assert got == pytest.approx({(1, 0): -99.9, (3, 0): -99.699, (1, 1): -99.9, (3, 1): -99.7})
+    assert {r.conf_id: r.deactivated_by for r in done.conformers.collect()} == {1: None, 2: 1, 3: None}
