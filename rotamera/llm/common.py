@@ -23,6 +23,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def private(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as no column of ``df`` has (Spark's
+    names do not tell cases apart)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def crc_mod(key: Column | str, n: int) -> Column:
     """crc32 of a key's text, modulo ``n``. A null key counts as the empty text."""
     c = F.col(key) if isinstance(key, str) else key

@@ -19,6 +19,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from rotamera.llm.common import private
+
 WINDOW = 3
 
 
@@ -57,18 +59,18 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
           out: str = "text", removed: str | None = None, total: str | None = None) -> DataFrame:
     """``docs`` with the cleaned text in column ``out``, and if asked for the number of lines
     removed and of lines there were."""
-    cut = repeats(docs, key, text, window)
-    d = docs.withColumn("_text_hash", F.xxhash64(text))
-    met = d.join(cut, F.col(key).eqNullSafe(cut["_key"])
-                 & (F.col("_text_hash") == cut["_th"]), "left")
+    own, at, cut, hashed = private(docs, "_text_hash", "_cut_key", "_cut", "_cut_hash")
+    gone = repeats(docs, key, text, window).toDF(at, hashed, cut)
+    met = docs.withColumn(own, F.xxhash64(text)).join(
+        gone, F.col(key).eqNullSafe(F.col(at)) & (F.col(own) == F.col(hashed)), "left")
     lines = F.split(F.col(text), "\n")
-    keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("cut"))
-    cleaned = F.when(F.col("cut").isNull(), F.col(text)).otherwise(
+    keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(cut))
+    cleaned = F.when(F.col(cut).isNull(), F.col(text)).otherwise(
         F.array_join(F.transform(keep, lambda i: F.element_at(lines, i + 1)), "\n"))
     add = {out: cleaned}
     if removed:
-        add[removed] = F.coalesce(F.size("cut"), F.lit(0)).cast("long")
+        add[removed] = F.coalesce(F.size(cut), F.lit(0)).cast("long")
     if total:
         add[total] = F.coalesce(F.size(lines), F.lit(0)).cast("long")
     names = list(dict.fromkeys([*docs.columns, *add]))
-    return met.select(*[add[c].alias(c) if c in add else d[c] for c in names])
+    return met.select(*[add[c].alias(c) if c in add else F.col(c) for c in names])

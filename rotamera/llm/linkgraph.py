@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rotamera.llm.common import private
 from rotamera.operators.grouping import lookup
 from rotamera.session import cut_lineage
 
@@ -112,8 +113,9 @@ def judge(pages: DataFrame, rules, url: str = "url", html: str = "html",
     bad = scores.where(F.col("distrust") > threshold * (F.col("trust") + F.col("distrust")))
     # few hosts are bad, and one host may have a third of all pages: those go to the pages if
     # their number and width allow
-    bad = cut_lineage(bad.select("host", F.lit("block").alias("_bad")))
+    mark, = private(pages, "_bad")
+    bad = cut_lineage(bad.select("host", F.lit("block").alias(mark)))
     width = 100 + (bad.agg(F.max(F.octet_length("host")).alias("w")).first()["w"] or 0)
     out = lookup(rows.drop(html), bad, ["host"], "left", width, ready=True)
     return out.select(*[c for c in rest if c != html], "host", "path", "rule",
-                      F.coalesce("verdict", "_bad", F.lit("allow")).alias("verdict"))
+                      F.coalesce("verdict", mark, F.lit("allow")).alias("verdict"))

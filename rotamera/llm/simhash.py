@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType
 
-from rotamera.llm.common import components, runs, star, words
+from rotamera.llm.common import components, private, runs, star, words
 from rotamera.operators.grouping import lookup
 from rotamera.session import cut_lineage
 
@@ -158,10 +158,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` less all but one of each component: that with the smallest key, of
     equal keys the smallest text hash, of rows repeated as a whole any."""
+    own, k, h = private(docs, "_text_hash", "_keep_key", "_keep_hash")
     best = (classes(docs, key, text).groupBy("class_fp")
             .agg(F.min(F.struct(F.col(key).alias("k"), F.col("text_hash").alias("h"))).alias("b"))
-            .select(F.col("b.k").alias("_keep_key"), F.col("b.h").alias("_keep_hash")))
-    d = docs.withColumn("_hash", F.xxhash64(text))
-    return (d.join(best, d[key].eqNullSafe(F.col("_keep_key"))
-                   & (F.col("_hash") == F.col("_keep_hash")), "left_semi")
-            .dropDuplicates([key, "_hash"]).drop("_hash"))
+            .select(F.col("b.k").alias(k), F.col("b.h").alias(h)))
+    return (docs.withColumn(own, F.xxhash64(text))
+            .join(best, F.col(key).eqNullSafe(F.col(k)) & (F.col(own) == F.col(h)), "left_semi")
+            .dropDuplicates([key, own]).drop(own))
