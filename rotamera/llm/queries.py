@@ -67,8 +67,12 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs with one ledger: over the documents of even id, then over all. The second scans
+    only what the first has not seen and reports all paths."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    findings, _ = secrets.scan(docs)
+    earlier = F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False))
+    findings, ledger = secrets.advance(docs.where(earlier))
+    findings, _ = secrets.advance(docs, ledger=ledger, stored=findings)
     base = ("assign", "access", "hex")
 
     def told(found):

@@ -3,7 +3,8 @@
 Every version of every path is addressed by the SHA-256 of its text. A ledger holds the (blob,
 rule, version) triples already scanned; a run scans each blob it has not seen, once, under the
 rules it has not had, and joins findings back to all paths with that content. A new version of
-a rule makes all its pairs unseen again.
+a rule makes all its pairs unseen again. Findings are kept beside the ledger, so a known blob at a
+new path shows what was found in it before.
 
 Offsets come from what a pattern splits a text into: the lengths of the gaps and matches before
 a match add up to its start, by a running sum over the matches of one blob and rule.
@@ -19,6 +20,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from rotamera.llm.common import private, written
+from rotamera.operators.grouping import lookup
+from rotamera.session import cut_lineage
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -106,10 +111,29 @@ def scan(docs: DataFrame, text: str = "text", ledger: DataFrame | None = None,
     return findings, entries
 
 
+def advance(docs: DataFrame, text: str = "text", ledger: DataFrame | None = None,
+            stored: DataFrame | None = None, rules=RULES) -> tuple[DataFrame, DataFrame]:
+    """(findings, ledger) after a run over ``docs``: what was ``stored`` under rule versions that still
+    hold, with what the unseen pairs give, and the ledger with their entries. Both are written, so a
+    blob is scanned once however often they are read, and serve as the next run's arguments. A known blob
+    at a new path needs no scan: ``at_paths`` finds its stored findings."""
+    found, entries = scan(docs, text, ledger, rules)
+    found, entries = written(found, "findings"), written(entries, "ledger")
+    if stored is not None:
+        valid = F.concat_ws(":", "kind", "version").isin(*[f"{r.kind}:{r.version}" for r in rules])
+        found = stored.where(valid).unionByName(found)
+    return found, entries if ledger is None else ledger.unionByName(entries)
+
+
 def at_paths(docs: DataFrame, per_blob: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the columns of a table that has one row per blob; nulls for the others."""
-    return docs.withColumn("_blob", blob(text)).join(
-        per_blob.withColumnRenamed("blob", "_blob"), "_blob", "left").drop("_blob")
+    """``docs`` with the columns of a table that has one row per blob; nulls for the others. The table
+    goes to the rows if it is small, for one blob may stand at a third of all paths."""
+    at, = private(docs, "_blob")
+    table = cut_lineage(per_blob.withColumnRenamed("blob", at))
+    width = 200 + (table.agg(F.max(sum(
+        (F.coalesce(F.octet_length(c), F.lit(0)) for c, t in table.dtypes if t in ("string", "binary")),
+        F.lit(0))).alias("w")).first()["w"] or 0)
+    return lookup(docs.withColumn(at, blob(text)), table, [at], "left", width, ready=True).drop(at)
 
 
 def spans(findings: DataFrame, rules=RULES) -> DataFrame:
