@@ -17,11 +17,13 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession, functions as F
 
 LEAF_BYTES = 24          # shorter matches are merged directly
+HEAP_BYTES = 256         # longer ones through a heap
 LEAF_CHARS = 1 << 14     # shorter texts are scanned at once
 CACHE = 60_000           # distinct matches of each of two generations a worker remembers
 NO_RANK = 1 << 32        # above every rank
@@ -46,6 +48,8 @@ class Codec:
     def merge(self, data: bytes) -> list[bytes]:
         """Merge the neighbours of lowest rank, leftmost first, until none is in the
         vocabulary."""
+        if len(data) > HEAP_BYTES:
+            return self.merge_long(data)
         parts = [data[i:i + 1] for i in range(len(data))]
         rank = self.ranks.get
         pairs = [rank(data[i:i + 2], NO_RANK) for i in range(len(data) - 1)]
@@ -60,6 +64,36 @@ class Codec:
                 pairs[at] = rank(both + parts[at + 1], NO_RANK)
         return parts
 
+    def merge_long(self, data: bytes) -> list[bytes]:
+        """The same over a linked list with a heap of (rank, place), in n log n: a run of one
+        character settles only at its ends, so its windows are as long as it is."""
+        n, rank = len(data), self.ranks.get
+        parts: list = [data[i:i + 1] for i in range(n)]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        now = [rank(data[i:i + 2]) for i in range(n - 1)] + [None]     # rank of a part and the next
+        heap = [(r, i) for i, r in enumerate(now) if r is not None]
+        heapify(heap)
+        while heap:
+            r, i = heappop(heap)
+            if now[i] != r:                   # one of the two has been merged otherwise
+                continue
+            j = after[i]
+            parts[i] += parts[j]
+            parts[j] = now[j] = None
+            after[i] = k = after[j]
+            now[i] = None
+            if k < n:
+                before[k] = i
+                now[i] = rank(parts[i] + parts[k])
+                if now[i] is not None:
+                    heappush(heap, (now[i], i))
+            h = before[i]
+            if h >= 0:
+                now[h] = rank(parts[h] + parts[i])
+                if now[h] is not None:
+                    heappush(heap, (now[h], h))
+        return [x for x in parts if x is not None]
+
     def settled(self, a: bytes, b: bytes) -> bool:
         """Whether a, b is the encoding of their bytes."""
         key = (a, b)
@@ -85,7 +119,8 @@ class Codec:
         if len(data) <= LEAF_BYTES:
             whole = data in self.ranks
             return [data] if whole and data else self.merge(data)
-        half = len(data) // 2
+        # runs of one character pair up by powers of two, so cut there their seams settle at once
+        half = 1 << (len(data) - 1).bit_length() - 1
         return self.join(self.tokens(data[:half]), self.tokens(data[half:]))
 
     # text -> matches -------------------------------------------------------------------
