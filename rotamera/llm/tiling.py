@@ -171,8 +171,8 @@ class Index:
 
 
 def blocks(benchmark: DataFrame, item: str, text: str, block_words: int) -> Iterator[list]:
-    """The benchmark's rows in bounded lists of (item, text)."""
-    rows = benchmark.select(F.col(item).alias("item"), F.col(text).alias("text"))
+    """The benchmark's rows in bounded lists of (item as text, text)."""
+    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text"))
     size = F.octet_length(F.coalesce("text", F.lit(""))) / 4 + 1
     total = rows.agg(F.sum(size).alias("s")).first()["s"] or 0
     n = int(total // block_words) + 1
@@ -183,19 +183,20 @@ def blocks(benchmark: DataFrame, item: str, text: str, block_words: int) -> Iter
         yield got
 
 
-def finder(docs: DataFrame, items: list, item_type: str, seed: int, cover: float):
-    """A Column function: text -> array of matches with a list of (item, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-    kind = (f"array<struct<item:{item_type},covered:int,words:int,"
-            "tiles:array<struct<doc_at:int,item_at:int,length:int>>>>")
-    item_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_type]
+def finder(docs: DataFrame, items: list, seed: int, cover: float):
+    """A Column function: text -> array of matches with a list of (item as text, text)."""
+    shared = docs.sparkSession.sparkContext.broadcast({"items": items})
 
-    @F.arrow_udf(kind)
+    @F.arrow_udf("array<struct<item:string,covered:int,words:int,"
+                 "tiles:array<struct<doc_at:int,item_at:int,length:int>>>>")
     def find(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        names = [i for i, _ in shared.value]
-        index = Index([t for _, t in shared.value], seed, cover)
+        held = shared.value
+        names = [i for i, _ in held["items"]]
+        if "index" not in held:      # kept beside the broadcast list for a worker's next task
+            held["index"] = Index([t for _, t in held["items"]], seed, cover)
+        index = held["index"]
         arrow = pa.list_(pa.struct([
-            ("item", item_arrow), ("covered", pa.int32()), ("words", pa.int32()),
+            ("item", pa.string()), ("covered", pa.int32()), ("words", pa.int32()),
             ("tiles", pa.list_(pa.struct([("doc_at", pa.int32()), ("item_at", pa.int32()),
                                           ("length", pa.int32())])))]))
         for a in texts:
@@ -213,10 +214,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     kind = dict(benchmark.dtypes)[item]
     out = None
     for items in blocks(benchmark, item, item_text, block_words):
-        find = finder(docs, items, kind, seed, cover)
+        find = finder(docs, items, seed, cover)
         part = (docs.select(F.col(key).alias(key), find(F.col(text)).alias("_m"))
                 .select(key, F.explode("_m").alias("_m"))
-                .select(key, F.col("_m.item").alias(item), "_m.covered", "_m.words", "_m.tiles"))
+                .select(key, F.col("_m.item").cast(kind).alias(item), "_m.covered", "_m.words", "_m.tiles"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -225,8 +226,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
           item_text: str = "text", seed: int = SEED, cover: float = COVER,
           block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``docs`` that match no item, columns as they were."""
-    kind = dict(benchmark.dtypes)[item]
     for items in blocks(benchmark, item, item_text, block_words):
-        find = finder(docs, items, kind, seed, cover)
+        find = finder(docs, items, seed, cover)
         docs = docs.where(F.size(find(F.col(text))) == 0)
     return docs
