@@ -9,21 +9,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rotamera.llm import bpe, langid, lines, queries, simhash, tiling
-from rotamera.llm.common import table, written
+from rotamera.llm.common import private, table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter and those below the calibrated confidence go."""
     model = langid.fit(docs)
-    marked = docs.withColumn("_language", langid.predict(docs, model))
-    return marked.where(~F.col("_language.rejected")).select(*docs.columns)
+    name, = private(docs, "_language")
+    marked = docs.withColumn(name, langid.predict(docs, model))
+    return marked.where(~F.col(name)["rejected"]).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of repeated passages go, and documents of which nothing is left."""
-    out = lines.dedup(docs, removed="_gone")
-    left = out.where((F.col("_gone") == 0) | (F.trim("text") != ""))
-    size = F.when(F.col("_gone") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    gone, = private(docs, "_gone")
+    out = lines.dedup(docs, removed=gone)
+    left = out.where((F.col(gone) == 0) | (F.trim("text") != ""))
+    size = F.when(F.col(gone) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return left.withColumn("n_chars", size).select(*docs.columns)
 
 
