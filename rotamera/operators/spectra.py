@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from rotamera.constants import MIN_WEIGHT, NM_EV, NM_THRESHOLD, TEMPERATURE
 from rotamera.functions.energy import col, effective_energy
-from rotamera.functions.spectral import (as_nanometres, broadened, default_of, grid_points,
+from rotamera.functions.spectral import (CUTOFF, as_nanometres, broadened, default_of, grid_points,
                                          grid_x, is_chiral, is_vibrational, max_scale,
                                          shifted_lines)
 from rotamera.operators import KEYS
@@ -103,7 +103,7 @@ def _partial_spectra(keys: Sequence[str], n: int, cutoff: float):
 
 def convolve(lines: DataFrame, n: int = GRID, keys: Sequence[str] = SPECTRUM,
              shift: Column | str | None = None, fwhm: Column | str | None = None,
-             limit: int = LINE_LIMIT, cutoff: float = 10.0) -> DataFrame:
+             limit: int = LINE_LIMIT, cutoff: float = CUTOFF) -> DataFrame:
     """Broaden weighted lines (x, w) onto the type's grid: (keys, i, x, y). A type whose
     lines are all at x = 0 gives nothing. Gaussians end ``cutoff`` standard deviations from
     their centre.

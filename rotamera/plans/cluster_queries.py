@@ -11,7 +11,10 @@ from rotamera.operators.prune import duplicate_links
 from rotamera.plans.tools import K, r, rs
 from rotamera.plans.views import GEOMETRIES, geometries, table
 
-KM_K, KM_ITER, DIMS = 4, 6, 64
+KM_K, KM_ROUNDS, DIMS = 4, 40, 64     # rounds that the SQL goes, by when labels have settled
+
+
+THIRDS, LABELLINGS = ((1, 21), (22, 21), (43, 22)), (2, 3, 4, 5, 6)
 
 
 def _points(spark, sf):
@@ -118,8 +121,7 @@ def assign_clusters(spark, sf):
 
 def kmeans(spark, sf):
     """Lloyd iterations from the ensemble's first members."""
-    out = C.kmeans(_points(spark, sf), KM_K, points="points", max_iter=KM_ITER,
-                   order=F.col("conf_id"))
+    out = C.kmeans(_points(spark, sf), KM_K, points="points", order=F.col("conf_id"))
     return out.select("ensemble_id", "conf_id", F.col("cluster").cast("long").alias("cluster"))
 
 
@@ -161,33 +163,32 @@ def pca_variance(spark, sf):
         "reached")
 
 
-def _ratios(spark, sf):
-    """A table of ratios and one of loadings to run the report operators on."""
-    rows = _points(spark, sf).select("ensemble_id", "conf_id",
-                                     F.posexplode("points").alias("feature", "v"))
-    load = rows.groupBy("ensemble_id", (F.col("conf_id") % 6 + 1).alias("pc"), "feature").agg(
-        F.avg("v").alias("loading"))
-    per = load.groupBy("ensemble_id", "pc").agg(F.sum(F.abs("loading")).alias("s"))
-    tot = per.groupBy("ensemble_id").agg(F.sum("s").alias("t"))
-    return per.join(tot, "ensemble_id").withColumn("ratio", F.col("s") / F.col("t")), load
+def _thirds_pca(spark, sf):
+    """PCA of three features, the sums over the vector's thirds, whose eigenvalues SQL can solve."""
+    v = F.transform(F.col("points"), lambda x: x)
+    sums = [F.aggregate(F.slice(v, lo, n), F.lit(0.0), lambda a, x: a + x) for lo, n in THIRDS]
+    return C.pca(_points(spark, sf).select("ensemble_id", "conf_id", F.array(*sums).alias("features")))
 
 
 def cumulative_variance(spark, sf):
-    return C.cumulative_variance(_ratios(spark, sf)[0]).select(
-        "ensemble_id", "pc", r("percent").alias("percent"), r("cumulative").alias("cumulative"),
-        "reached")
+    return C.cumulative_variance(_thirds_pca(spark, sf).variance).select(
+        "ensemble_id", F.col("pc").cast("long").alias("pc"), r("percent").alias("percent"),
+        r("cumulative").alias("cumulative"), "reached")
 
 
 def top_loadings(spark, sf):
-    return C.top_loadings(_ratios(spark, sf)[1]).select(
-        "ensemble_id", "pc", F.col("feature").cast("long").alias("feature"),
+    return C.top_loadings(_thirds_pca(spark, sf).loadings).select(
+        "ensemble_id", F.col("pc").cast("long").alias("pc"), F.col("feature").cast("long").alias("feature"),
         F.col("place").cast("long").alias("place"), r("loading").alias("loading"))
 
 
 def best_k(spark, sf):
-    rows = _points(spark, sf).groupBy("ensemble_id", (F.col("conf_id") % 9 + 2).alias("k")).agg(
-        F.round(F.avg(F.col("points")[0]), 2).alias("score"))
-    return C.best_k(rows).select("ensemble_id", "k", r("score").alias("score"))
+    """The best of five labellings by their silhouettes."""
+    each = _points(spark, sf).withColumn("k", F.explode(F.array(*map(F.lit, LABELLINGS))))
+    each = each.withColumn("cluster", (F.col("conf_id") % F.col("k")).cast("int"))
+    scores = C.silhouette(each, ["ensemble_id", "k"], "points").groupBy("ensemble_id", "k").agg(
+        F.avg("silhouette").alias("score"))
+    return C.best_k(scores).select("ensemble_id", F.col("k").cast("long").alias("k"), r("score").alias("score"))
 
 
 def _scores(spark, sf):
@@ -260,18 +261,26 @@ def _lloyd_sql() -> str:
     parts = [f"{_P}, c0 AS (SELECT ensemble_id, row_number() OVER (PARTITION BY ensemble_id "
              f"ORDER BY conf_id) - 1 AS cluster, points AS centre FROM p "
              f"QUALIFY row_number() OVER (PARTITION BY ensemble_id ORDER BY conf_id) <= {KM_K}), a0 AS ({_assign('p', 'c0')})"]
-    for i in range(1, KM_ITER):
-        parts.append(f"m{i} AS ({_mean(f'a{i - 1}')}), c{i} AS (SELECT c.ensemble_id, c.cluster, "
+    for i in range(1, KM_ROUNDS):
+        parts.append(f"m{i} AS MATERIALIZED ({_mean(f'a{i - 1}')}), c{i} AS MATERIALIZED (SELECT c.ensemble_id, c.cluster, "
                      f"coalesce(m.centre, c.centre) AS centre FROM c{i - 1} c LEFT JOIN m{i} m "
-                     f"USING (ensemble_id, cluster)), a{i} AS ({_assign('p', f'c{i}')})")
-    return (", ".join(parts) + f" SELECT ensemble_id, conf_id, cluster FROM a{KM_ITER - 1}")
-
-
-_RATIO = f"""{_P}, q AS (SELECT ensemble_id, conf_id, i - 1 AS feature, points[i] AS v
- FROM p, (SELECT unnest(range(1, {DIMS + 1})) AS i)),
- ld AS (SELECT ensemble_id, conf_id % 6 + 1 AS pc, feature, avg(v) AS loading FROM q GROUP BY ALL),
- pr AS (SELECT ensemble_id, pc, sum(abs(loading)) AS s FROM ld GROUP BY ALL),
- rt AS (SELECT *, s / sum(s) OVER (PARTITION BY ensemble_id) * 100 AS percent FROM pr)"""
+                     f"USING (ensemble_id, cluster)), a{i} AS MATERIALIZED ({_assign('p', f'c{i}')})")
+    return (", ".join(parts) + f" SELECT ensemble_id, conf_id, cluster FROM a{KM_ROUNDS - 1}")
+
+
+# eigenvalues of the symmetric 3 x 3 covariance by the trigonometric solution, vectors as cross products
+_X = [f"list_sum(points[{lo}:{lo + n - 1}])" for lo, n in THIRDS]
+_EIGEN = f"""{_P}, f AS (SELECT ensemble_id, {', '.join(f'{x} AS x{i}' for i, x in enumerate(_X))} FROM p),
+ cv AS (SELECT ensemble_id, {', '.join(f'covar_samp(x{i}, x{j}) AS a{i}{j}' for i in range(3) for j in range(i, 3))}
+  FROM f GROUP BY 1),
+ q AS (SELECT *, (a00 + a11 + a22)/3 AS q FROM cv),
+ pq AS (SELECT *, sqrt((pow(a00 - q, 2) + pow(a11 - q, 2) + pow(a22 - q, 2)
+  + 2*(a01*a01 + a02*a02 + a12*a12))/6) AS s FROM q),
+ rq AS (SELECT *, greatest(-1e0, least(1e0, ((a00 - q)*((a11 - q)*(a22 - q) - a12*a12) - a01*(a01*(a22 - q) - a12*a02)
+  + a02*(a01*a12 - (a11 - q)*a02))/(2*s*s*s))) AS hd FROM pq),
+ ph AS (SELECT *, acos(hd)/3 AS phi FROM rq),
+ ev AS (SELECT *, unnest([1, 2, 3]) AS pc, unnest([q + 2*s*cos(phi), q - 2*s*cos(phi) - 2*s*cos(phi + 2*pi()/3),
+  q + 2*s*cos(phi + 2*pi()/3)]) AS ew FROM ph)"""
 
 ORACLES = {
     "atom_pairs": f"""{_ATOMS} SELECT ensemble_id, conf_id, i, j, {rs('dist')} AS distance FROM d WHERE i < j""",
@@ -317,14 +326,27 @@ ORACLES = {
     "pca_score_norms": f"""{_P}, m AS (SELECT ensemble_id, [{', '.join(f'avg(points[{i}])' for i in range(1, DIMS + 1))}] AS mn
  FROM p GROUP BY 1) SELECT ensemble_id, conf_id, {rs(f"sqrt({_d2('points', 'mn')})", 8)} AS norm
  FROM p JOIN m USING (ensemble_id)""",
-    "cumulative_variance": f"""{_RATIO}, cm AS (SELECT *, sum(percent) OVER (PARTITION BY ensemble_id ORDER BY pc) AS cu FROM rt)
- SELECT ensemble_id, pc, {rs('percent')} AS percent, {rs('cu')} AS cumulative, cu >= 90 AS reached FROM cm""",
-    "top_loadings": f"""{_RATIO} SELECT ensemble_id, pc, feature,
- row_number() OVER (PARTITION BY ensemble_id, pc ORDER BY abs(loading) DESC, feature) AS place,
- {rs('loading')} AS loading FROM ld WHERE pc <= 3 QUALIFY place <= 5""",
-    "best_k": f"""{_P}, s AS (SELECT ensemble_id, conf_id % 9 + 2 AS k, round(avg(points[1]), 2) AS score FROM p GROUP BY ALL)
- SELECT ensemble_id, k, {rs('score')} AS score FROM s
- QUALIFY row_number() OVER (PARTITION BY ensemble_id ORDER BY score DESC, k) = 1""",
+    "cumulative_variance": f"""{_EIGEN}, rt AS (SELECT ensemble_id, pc, ew / (3*q) * 100 AS percent FROM ev),
+ cm AS (SELECT *, sum(percent) OVER (PARTITION BY ensemble_id ORDER BY pc) AS cu FROM rt)
+ SELECT ensemble_id, pc::BIGINT AS pc, {rs('percent')} AS percent, {rs('cu')} AS cumulative, cu >= 90 AS reached FROM cm""",
+    "top_loadings": f"""{_EIGEN}, cr AS (SELECT ensemble_id, pc, [a01*a12 - a02*(a11 - ew), a02*a01 - (a00 - ew)*a12,
+  (a00 - ew)*(a11 - ew) - a01*a01] AS v FROM ev),
+ un AS (SELECT ensemble_id, pc, v, list_max(list_transform(v, lambda x: abs(x))) AS m,
+  sqrt(list_sum(list_transform(v, lambda x: x*x))) AS norm FROM cr),
+ ld AS (SELECT ensemble_id, pc, unnest([0, 1, 2]) AS feature, unnest(list_transform(v, lambda x: x / norm
+  * CASE WHEN list_contains(v, m) THEN 1 ELSE -1 END)) AS loading FROM un)
+ SELECT ensemble_id, pc::BIGINT AS pc, feature::BIGINT AS feature,
+ row_number() OVER (PARTITION BY ensemble_id, pc ORDER BY abs(loading) DESC, feature) AS place, {rs('loading')} AS loading FROM ld""",
+    "best_k": f"""{_P}, d AS (SELECT a.ensemble_id, a.conf_id, b.conf_id AS other, sqrt({_d2('a.points', 'b.points')}) AS d
+  FROM p a JOIN p b ON a.ensemble_id = b.ensemble_id),
+ t AS (SELECT ensemble_id, k, conf_id, conf_id % k AS own, other % k AS cluster, sum(d) AS t, count(*) AS n
+  FROM d, (SELECT unnest([{', '.join(map(str, LABELLINGS))}]) AS k) GROUP BY ALL),
+ m AS (SELECT ensemble_id, k, conf_id, max(CASE WHEN own = cluster THEN t/nullif(n - 1, 0) END) AS a,
+  max(CASE WHEN own = cluster THEN n END) AS n, min(CASE WHEN own <> cluster THEN t/n END) AS b FROM t GROUP BY ALL),
+ s AS (SELECT ensemble_id, k, avg(CASE WHEN b IS NULL THEN NULL WHEN n = 1 THEN 0e0 ELSE (b - a)/greatest(a, b) END) AS score
+  FROM m GROUP BY ALL)
+ SELECT ensemble_id, k::BIGINT AS k, {rs('score')} AS score FROM s
+ QUALIFY row_number() OVER (PARTITION BY ensemble_id ORDER BY score DESC NULLS LAST, k) = 1""",
 }
 # the duplicate removal again, here over the geometries, one member per recursion step
 ORACLES["removal_report"] = f"""WITH RECURSIVE g AS ({GEOMETRIES}),

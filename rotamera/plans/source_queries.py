@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from rotamera.constants import LEVEL_THRESHOLDS
+from rotamera.constants import GRAPH_DEFAULTS, LEVEL_THRESHOLDS
 from rotamera.operators import spectra as S
 from rotamera.operators.geometry import with_mass
 from rotamera.operators.records import record_status
@@ -16,7 +16,7 @@ from rotamera.plans.refine import records_from_logs
 from rotamera.plans.spectra_queries import ORACLES as SPECTRA_ORACLES, N, _lines, _out
 from rotamera.plans.thermo_queries import _gibbs_cte
 from rotamera.plans.tools import r, rs
-from rotamera.plans.views import GEOMETRIES, RECORDS, geometries, view
+from rotamera.plans.views import CURVES, GEOMETRIES, RECORDS, geometries, view
 from rotamera.session import ensure_checkpoint_dir
 from rotamera.sources import logs, reference, state, xyz
 from rotamera.sources.protocols import parse_protocols
@@ -60,6 +60,33 @@ def log_energy(spark, sf):
     return _parsed(spark, sf, "version", "e").select("dialect", *ID, "version", r("e", 8).alias("e"))
 
 
+def log_files(spark, sf):
+    """Outputs written one to a file, in both dialects, and read back as files."""
+    got = None
+    for d in ("orca", "gaussian"):
+        path = f"{_scratch(spark)}/{d}"
+        # a task writes the files of whole conformers, as many tasks as there are partitions
+        (log_text.corpus(spark, sf, d).select(*ID, F.col("text").alias("value"))
+         .write.partitionBy(*ID).text(path))
+        part = logs.parse_logs(logs.read_logs(spark, path, d), d, only=("version", "e", "b_vec", "terminated"))
+        part = part.withColumn("dialect", F.lit(d))
+        got = part if got is None else got.unionByName(part)
+    return got.select("dialect", *[F.col(c).cast("long").alias(c) for c in ID], "version", r("e", 8).alias("e"),
+                      *[r(F.col("b_vec")[k]).alias(f"b{k}") for k in range(3)], "terminated")
+
+
+def reference_files(spark, sf):
+    """Measured curves written as text, one folder per type, with comments and blank lines, and read back."""
+    base = _scratch(spark)
+    curves = view(spark, sf, "curves")
+    for t in GRAPH_DEFAULTS:
+        line = F.concat(F.lit("  "), F.col("x").cast("string"), F.lit("\t"), F.col("y").cast("string"),
+                        F.lit("   # measured\n# a comment\n"))
+        (curves.where(F.col("graph_type") == t).select(line.alias("value"))
+         .write.text(f"{base}/{t.lower()}_ref.dat"))
+    return reference.read_reference(spark, f"{base}/*_ref.dat").select("graph_type", r("x", 8).alias("x"), r("y", 8).alias("y"))
+
+
 def log_geometry(spark, sf):
     rows = _parsed(spark, sf, "geom").select("dialect", *ID, F.posexplode("geom").alias("i", "p"))
     return rows.select("dialect", *ID, F.col("i").cast("long").alias("i"),
@@ -171,7 +198,7 @@ def stream_records(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    xyz_roundtrip, xyz_text, log_energy, log_geometry, log_b_dipole, log_frequencies,
+    xyz_roundtrip, xyz_text, log_files, reference_files, log_energy, log_geometry, log_b_dipole, log_frequencies,
     log_vibrational_lines, log_excitations, log_status, log_records, protocol_table, state_roundtrip,
     spectrum_sink_roundtrip, stream_records)}
 
@@ -202,6 +229,10 @@ ORACLES = {
     "xyz_text": f"""WITH g AS ({GEOMETRIES}) SELECT {_I}, '21' || chr(10) || 'CONFORMER ' || conf_id || ' '
  || printf('%10.6f', e) || chr(10) || array_to_string(list_transform(range(1, 22),
  lambda i: printf('%s  %14.6f  %14.6f  %14.6f', atoms[i], geom[i][1], geom[i][2], geom[i][3])), chr(10)) AS frame FROM g""",
+    "log_files": f"""{_L} SELECT dialect, {_I}, CASE WHEN dialect = 'gaussian' THEN ''
+ WHEN conf_id % 4 = 0 THEN '5' ELSE '6' END AS version, {rs('e', 8)} AS e,
+ {', '.join(f"{rs(f'abs(v[{25 + k}]) + 0.01e0')} AS b{k}" for k in range(3))}, conf_id % 17 <> 0 AS terminated FROM l""",
+    "reference_files": f"""SELECT graph_type, {rs('x', 8)} AS x, {rs('y', 8)} AS y FROM ({CURVES})""",
     "log_energy": f"""{_L} SELECT dialect, {_I}, CASE WHEN dialect = 'gaussian' THEN ''
  WHEN conf_id % 4 = 0 THEN '5' ELSE '6' END AS version, {rs('e', 8)} AS e FROM l""",
     "log_geometry": f"""{_L} SELECT dialect, {_I}, i,

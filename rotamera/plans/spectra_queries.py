@@ -150,6 +150,42 @@ def fit_shift_fwhm_full(spark, sf):
                       r("diversity", 6).alias("diversity"))
 
 
+def _scored(spectrum, ref):
+    out = S.similarity(spectrum, ref)
+    return out.select("ensemble_id", F.col("protocol").cast("long").alias("protocol"), "graph_type",
+                      r("similarity", 5).alias("similarity"),
+                      r("similarity_unweighted", 5).alias("similarity_unweighted"))
+
+
+def fitted_spectra(spark, sf):
+    """Shift and width of every spectrum fitted to its measured curve, and how alike the two then are."""
+    ref = _reference(spark, sf, interest=True)
+    params, spectrum = S.fitted_spectrum(_lines(spark, sf), ref)
+    score = S.similarity(spectrum, ref).select(*SPEC, "similarity", "similarity_unweighted")
+    out = params.join(score, SPEC, "left")
+    return out.select("ensemble_id", F.col("protocol").cast("long").alias("protocol"), "graph_type",
+                      r("shift", 5).alias("shift"), r("fwhm", 5).alias("fwhm"), r("diversity", 6).alias("diversity"),
+                      "converged", r("similarity", 5).alias("similarity"),
+                      r("similarity_unweighted", 5).alias("similarity_unweighted"))
+
+
+# given numbers, outside the defaults: nothing is left to search
+GIVEN = {"shift": {"vibro": 0.97, "electro": 0.12}, "fwhm": {"vibro": 14.0, "electro": 0.31}}
+
+
+def spectra_with_curves(spark, sf):
+    """Spectra of all steps under a given shift and width, against the measured curves."""
+    ref = _reference(spark, sf, interest=True)
+    return _scored(S.spectra(view(spark, sf, "peaks"), _records(spark, sf), ref, **GIVEN), ref)
+
+
+def respectra_with_curves(spark, sf):
+    """Two steps anew at another temperature, against the measured curves."""
+    ref = _reference(spark, sf, interest=True)
+    rec = view(spark, sf, "peak_records")
+    return _scored(S.respectra(view(spark, sf, "peaks"), rec, [0, 2], temperature=350.0, reference=ref, **GIVEN), ref)
+
+
 def respectra(spark, sf):
     rec = view(spark, sf, "peak_records")
     return _out(S.respectra(view(spark, sf, "peaks"), rec, [0, 2], temperature=350.0, n=N))
@@ -175,7 +211,8 @@ QUERIES = {f.__name__: f for f in (
     weighted_peaks, population_from_other_step, has_peaks, pooled_peaks, ir_lorentz, uv_gauss,
     default_spectrum, max_abs_normalise, spectrum_grid, nm_to_ev, measured_curve,
     reference_on_grid, spectrum_bounds, weight_function, weight_function_flat, similarity,
-    fit_shift_fwhm, fit_shift_fwhm_full, respectra, spectrum_convergence, overlay)}
+    fit_shift_fwhm, fit_shift_fwhm_full, fitted_spectra, spectra_with_curves, respectra,
+    respectra_with_curves, spectrum_convergence, overlay)}
 
 # --- oracles ------------------------------------------------------------------
 
@@ -289,7 +326,21 @@ _FIT = f"""{_base()}, {_grid(FIT_N)}, {_ref(FIT_N)}, {_FLAT},
  SELECT ensemble_id, protocol, graph_type, {rs('cs', 5)} AS shift, {rs('cf', 5)} AS fwhm,
  {rs('dv', 6)} AS diversity FROM al QUALIFY {_first('round(dv, 12), cs, cf')}"""
 
+_SIMILAR = f"""sp AS (SELECT cv.*, rw.y AS ry, weight, lo, hi, top FROM cv JOIN rw USING (graph_type, i)
+  WHERE i >= lo AND i < hi),
+ sn AS (SELECT *, y / max(abs(y)) OVER (PARTITION BY ensemble_id, protocol, graph_type) AS yn FROM sp),
+ dv AS (SELECT ensemble_id, protocol, graph_type, any_value(top) AS top,
+  sqrt(sum(weight*pow(yn - ry, 2))/count(*))/any_value(top) AS a,
+  sqrt(sum(pow(yn - ry, 2))/count(*))/any_value(top) AS b FROM sn GROUP BY ALL)
+ SELECT ensemble_id, protocol, graph_type, {rs('(top - a)/top*100', 5)} AS similarity,
+ {rs('(top - b)/top*100', 5)} AS similarity_unweighted FROM dv"""
+_GIVEN_CONV = _CONV.replace(_shape('l.x', 'sh', 'fw'), _shape('l.x', *(
+    f"(CASE WHEN vib THEN {GIVEN[k]['vibro']!r}e0 ELSE {GIVEN[k]['electro']!r}e0 END)" for k in ("shift", "fwhm"))))
+
 ORACLES = {
+    "spectra_with_curves": f"{_base()}, {_GIVEN_CONV}, {_ref()}, {_weights('i0', 'i1')}, {_SIMILAR}",
+    "respectra_with_curves": f"""{_base('350e0')}, {_GIVEN_CONV}, {_ref()}, {_weights('i0', 'i1')}, {_SIMILAR}
+ WHERE protocol IN (0, 2)""",
     "weighted_peaks": f"""{_base()} SELECT ensemble_id, conf_id, protocol, graph_type, line_no, {rs('x')} AS x,
  {rs("w * CASE WHEN graph_type IN ('VCD', 'ECD') THEN -1 ELSE 1 END")} AS w FROM l""",
     "population_from_other_step": f"""{_base()} SELECT ensemble_id, conf_id, p.protocol, graph_type, line_no,
@@ -320,15 +371,7 @@ ORACLES = {
  SELECT graph_type, i, {rs('weight')} AS weight FROM rw""",
     "weight_function_flat": f"""WITH {_defaults()}, {_grid()}, {_ref()}, {_FLAT}
  SELECT graph_type, i, {rs('weight')} AS weight FROM fw""",
-    "similarity": f"""{_base()}, {_CONV}, {_ref()}, {_weights('i0', 'i1')},
- sp AS (SELECT cv.*, rw.y AS ry, weight, lo, hi, top FROM cv JOIN rw USING (graph_type, i)
-  WHERE i >= lo AND i < hi),
- sn AS (SELECT *, y / max(abs(y)) OVER (PARTITION BY ensemble_id, protocol, graph_type) AS yn FROM sp),
- dv AS (SELECT ensemble_id, protocol, graph_type, any_value(top) AS top,
-  sqrt(sum(weight*pow(yn - ry, 2))/count(*))/any_value(top) AS a,
-  sqrt(sum(pow(yn - ry, 2))/count(*))/any_value(top) AS b FROM sn GROUP BY ALL)
- SELECT ensemble_id, protocol, graph_type, {rs('(top - a)/top*100', 5)} AS similarity,
- {rs('(top - b)/top*100', 5)} AS similarity_unweighted FROM dv""",
+    "similarity": f"{_base()}, {_CONV}, {_ref()}, {_weights('i0', 'i1')}, {_SIMILAR}",
     "fit_shift_fwhm": _FIT,
     "respectra": f"""{_base('350e0')}, {_CONV}, {_NORM} SELECT {_SPEC_OUT}, {rs('y')} AS y FROM nm
  WHERE protocol IN (0, 2)""",

@@ -11,10 +11,10 @@ from rotamera.operators.spectra import load_spectra
 
 def read_reference(spark: SparkSession, path: str) -> DataFrame:
     """(partition columns, graph_type, x, y) of two-column text files named like
-    ``ir_ref.dat``; text after # is a comment."""
+    ``ir_ref.dat``, or folders of parts so named; text after # is a comment."""
     raw = spark.read.text(path)
     extra = [c for c in raw.columns if c != "value"]
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"(?i)(ir|vcd|uv|ecd)_ref[^/]*$", 1)
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"(?i)(ir|vcd|uv|ecd)_ref[^/]*(?:/part-[^/]*)?$", 1)
     text = F.trim(F.regexp_replace(F.regexp_replace("value", "#.*$", ""), r"\s+", " "))
     words = F.split(text, " ")
     rows = raw.select(*extra, F.upper(name).alias("graph_type"),
