@@ -41,17 +41,22 @@ def load_spectra(table: DataFrame, protocols: Sequence[int] | None = None) -> Da
 
 
 def weighted_peaks(peaks: DataFrame, records: DataFrame, keys: Sequence[str] = KEYS,
-                   population_from: int | None = None, invert: bool = False) -> DataFrame:
+                   population_from: int | DataFrame | None = None, invert: bool = False) -> DataFrame:
     """Lines of active conformers with weight ``w`` = y·population. Populations come from
-    the lines' own step or from ``population_from``; ``invert`` flips chiral types only."""
+    the lines' own step, from step ``population_from``, or, where that is a protocol table, from the step
+    that each step's ``read_population`` names (its own where there is none); a table with ensemble
+    keys says so for each ensemble. ``invert`` flips chiral types only."""
     conf = [*keys, "conf_id"]
-    pops = records.where("active")
-    if population_from is None:
-        pops = pops.select(*conf, "protocol", "pop")
-        joined = peaks.join(pops, [*conf, "protocol"])
-    else:
-        pops = pops.where(F.col("protocol") == population_from).select(*conf, "pop")
-        joined = peaks.join(pops, conf)
+    pops = records.where("active").select(*conf, F.col("protocol").alias("_from"), "pop")
+    source = F.col("protocol")
+    if isinstance(population_from, DataFrame):
+        by = [*[k for k in keys if k in population_from.columns], "protocol"]
+        named = population_from.select(*by, F.col("read_population").try_cast("int").alias("_named"))
+        peaks = lookup(peaks, named.where(F.col("_named").isNotNull()), by, "left")
+        source = F.coalesce("_named", source)
+    elif population_from is not None:
+        source = F.lit(int(population_from))
+    joined = peaks.withColumn("_from", source.cast("int")).join(pops, [*conf, "_from"]).drop("_from", "_named")
     sign = F.when(is_chiral("graph_type") & F.lit(invert), -1.0).otherwise(1.0)
     return joined.withColumn("w", F.col("y") * F.col("pop") * sign)
 
@@ -567,7 +572,7 @@ def fitted_spectrum(lines: DataFrame, reference: DataFrame, n: int = GRID,
 def spectra(peaks: DataFrame, records: DataFrame, reference: DataFrame | None = None,
             n: int = GRID, keys: Sequence[str] = SPECTRUM,
             ref_keys: Sequence[str] = ("graph_type",), invert: bool = False,
-            population_from: int | None = None, shift=None, fwhm=None) -> DataFrame:
+            population_from: int | DataFrame | None = None, shift=None, fwhm=None) -> DataFrame:
     """Spectra of every (ensemble, step, type) at once. Types with a measured curve are
     fitted to it, the others use the defaults."""
     group = [k for k in keys if k not in ("protocol", "graph_type")]
@@ -584,7 +589,7 @@ def spectra(peaks: DataFrame, records: DataFrame, reference: DataFrame | None =
 
 
 def respectra(peaks: DataFrame, records: DataFrame, protocols: Sequence[int],
-              population_from: int | None = None, temperature: float = TEMPERATURE,
+              population_from: int | DataFrame | None = None, temperature: float = TEMPERATURE,
               **kw) -> DataFrame:
     """Spectra of the listed steps anew, with populations recomputed at ``temperature`` or
     borrowed from one step (0 is a step like any other)."""

@@ -16,7 +16,7 @@ from rotamera.plans.refine import records_from_logs
 from rotamera.plans.spectra_queries import ORACLES as SPECTRA_ORACLES, N, _lines, _out
 from rotamera.plans.thermo_queries import _gibbs_cte
 from rotamera.plans.tools import r, rs
-from rotamera.plans.views import CURVES, GEOMETRIES, RECORDS, geometries, view
+from rotamera.plans.views import CURVES, GEOMETRIES, PEAKS, RECORDS, geometries, view
 from rotamera.session import ensure_checkpoint_dir
 from rotamera.sources import logs, reference, state, xyz
 from rotamera.sources.protocols import parse_protocols
@@ -171,6 +171,27 @@ def state_roundtrip(spark, sf):
         r("g_e", 8).alias("g_e"), r("b", 8).alias("b"), r("elapsed_s", 4).alias("elapsed_s"), "flag")
 
 
+def state_document_roundtrip(spark, sf):
+    """State documents with line lists, written one file per ensemble and read back."""
+    path = f"{_scratch(spark)}/documents"
+    peaks = view(spark, sf, "peaks")
+    confs = peaks.select(*ID).distinct().select(
+        *ID, F.array(F.lit("C")).alias("atoms"), F.array(F.array(*[F.lit(0.0)] * 3)).alias("geom"),
+        F.lit(True).alias("active"), F.lit(None).cast("int").alias("cluster"))
+    missing = {c: F.lit(None).cast("double") for c in ("h", "s", "g_e", "zpve", "b", "m", "pop", "erel", "elapsed_s")}
+    missing |= {c: F.lit(None).cast("array<double>") for c in ("b_vec", "m_vec", "freq")}
+    records = view(spark, sf, "peak_records").withColumns(missing)
+    docs = state.state_json(confs, records, peaks=peaks)
+    named = F.concat(F.lit('"'), F.col("conf_id").cast("string"), F.lit('": '), F.col("value"))
+    (docs.groupBy("ensemble_id").agg(F.concat(F.lit("{"), F.array_join(F.collect_list(named), ", "), F.lit("}"))
+                                     .alias("value"))
+     .write.partitionBy("ensemble_id").text(path))
+    back = state.read_state_peaks(spark, path)
+    return back.select(F.col("ensemble_id").cast("long").alias("ensemble_id"), "conf_id",
+                       F.col("protocol").cast("long").alias("protocol"), "graph_type", r("x", 8).alias("x"),
+                       r("y", 8).alias("y"))
+
+
 def spectrum_sink_roundtrip(spark, sf):
     path = f"{_scratch(spark)}/spectra"
     reference.write_spectrum(S.default_spectrum(_lines(spark, sf), N), path)
@@ -200,6 +221,7 @@ def stream_records(spark, sf):
 QUERIES = {f.__name__: f for f in (
     xyz_roundtrip, xyz_text, log_files, reference_files, log_energy, log_geometry, log_b_dipole, log_frequencies,
     log_vibrational_lines, log_excitations, log_status, log_records, protocol_table, state_roundtrip,
+    state_document_roundtrip,
     spectrum_sink_roundtrip, stream_records)}
 
 # --- oracles ------------------------------------------------------------------
@@ -232,6 +254,8 @@ ORACLES = {
     "log_files": f"""{_L} SELECT dialect, {_I}, CASE WHEN dialect = 'gaussian' THEN ''
  WHEN conf_id % 4 = 0 THEN '5' ELSE '6' END AS version, {rs('e', 8)} AS e,
  {', '.join(f"{rs(f'abs(v[{25 + k}]) + 0.01e0')} AS b{k}" for k in range(3))}, conf_id % 17 <> 0 AS terminated FROM l""",
+    "state_document_roundtrip": f"""SELECT ensemble_id, conf_id, protocol, graph_type, {rs('x', 8)} AS x, {rs('y', 8)} AS y
+ FROM ({PEAKS})""",
     "reference_files": f"""SELECT graph_type, {rs('x', 8)} AS x, {rs('y', 8)} AS y FROM ({CURVES})""",
     "log_energy": f"""{_L} SELECT dialect, {_I}, CASE WHEN dialect = 'gaussian' THEN ''
  WHEN conf_id % 4 = 0 THEN '5' ELSE '6' END AS version, {rs('e', 8)} AS e FROM l""",

@@ -11,6 +11,7 @@ from rotamera.operators import energy as E, spectra as S
 from rotamera.operators.grouping import attach_stats, lookup
 from rotamera.plans.tools import K, r, rs, weight_sql
 from rotamera.plans.views import CURVES, PEAK_RECORDS, PEAKS, view
+from rotamera.sources.protocols import parse_protocols
 
 N = S.GRID
 SPEC = S.SPECTRUM
@@ -42,6 +43,18 @@ def population_from_other_step(spark, sf):
         "ensemble_id", "conf_id", "protocol", "graph_type", "line_no", r("w").alias("w"))
 
 
+_STEPS_READ = """{"0": {"functional": "a"}, "1": {"functional": "b", "read_population": "0"},
+ "2": {"functional": "c", "read_population": "1"}}"""
+
+
+def population_by_protocol(spark, sf):
+    """Lines of each step under the populations that its protocol entry names."""
+    docs = view(spark, sf, "peaks").select("ensemble_id").distinct().withColumn("value", F.lit(_STEPS_READ))
+    steps = parse_protocols(docs)
+    return _lines(spark, sf, population_from=steps).select(
+        "ensemble_id", "conf_id", "protocol", "graph_type", "line_no", r("w").alias("w"))
+
+
 def has_peaks(spark, sf):
     return S.has_peaks(view(spark, sf, "peaks"), view(spark, sf, "peak_records")).select(
         "ensemble_id", "conf_id", "protocol", "graph_type")
@@ -208,7 +221,7 @@ def overlay(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    weighted_peaks, population_from_other_step, has_peaks, pooled_peaks, ir_lorentz, uv_gauss,
+    weighted_peaks, population_from_other_step, population_by_protocol, has_peaks, pooled_peaks, ir_lorentz, uv_gauss,
     default_spectrum, max_abs_normalise, spectrum_grid, nm_to_ev, measured_curve,
     reference_on_grid, spectrum_bounds, weight_function, weight_function_flat, similarity,
     fit_shift_fwhm, fit_shift_fwhm_full, fitted_spectra, spectra_with_curves, respectra,
@@ -346,6 +359,9 @@ ORACLES = {
     "population_from_other_step": f"""{_base()} SELECT ensemble_id, conf_id, p.protocol, graph_type, line_no,
  {rs('p.y*b.pop')} AS w FROM p JOIN (SELECT ensemble_id, conf_id, pop FROM b WHERE protocol = 0) b
  USING (ensemble_id, conf_id)""",
+    "population_by_protocol": f"""{_base()} SELECT ensemble_id, conf_id, p.protocol, graph_type, line_no,
+ {rs('p.y*b.pop')} AS w FROM p JOIN (SELECT ensemble_id, conf_id, protocol, pop FROM b) b
+ USING (ensemble_id, conf_id) WHERE b.protocol = CASE p.protocol WHEN 0 THEN 0 ELSE p.protocol - 1 END""",
     "has_peaks": f"""{_base()} SELECT DISTINCT ensemble_id, conf_id, protocol, graph_type FROM l""",
     "pooled_peaks": f"""{_base()} SELECT ensemble_id, protocol, graph_type, count(*) AS n_lines,
  {rs('sum(w)', 5)} AS total, {rs('sum(w*x)', 3)} AS moment FROM l GROUP BY ALL""",

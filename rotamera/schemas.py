@@ -43,4 +43,5 @@ STATE_RECORD = _table(
 STATE_CONFORMER = _table(
     ("number", _L), ("atoms", T.ArrayType(_S)), ("last_geometry", T.ArrayType(_DA)),
     ("active", _B), ("cluster", _I),
-    ("energies", _table(("data", T.MapType(_S, STATE_RECORD)))))
+    ("energies", _table(("data", T.MapType(_S, STATE_RECORD)))),
+    ("graphs_data", _table(("data", T.MapType(_S, T.MapType(_S, _table(("X", _DA), ("Y", _DA))))))))

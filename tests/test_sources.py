@@ -162,6 +162,33 @@ def test_state_json(spark, tmp_path):
     assert back["energies"]["data"]["2"]["E"] == -100.5 and back["number"] == 1
 
 
+def test_state_documents_keep_line_lists(spark, tmp_path):
+    doc = {"7": {"number": 7, "atoms": ["H"], "last_geometry": [[0, 0, 0]], "active": True, "cluster": None,
+                 "energies": {"data": {"0": {"E": -1.0}}},
+                 "graphs_data": {"data": {"0": {"IR": {"X": [100.0, 200.0], "Y": [1.0, 2.0]}, "UV": {"X": [], "Y": []}},
+                                          "3": {"ECD": {"X": [4.5, 4.6], "Y": [-0.5]}}}}},
+           "8": {"number": 8, "atoms": ["H"], "last_geometry": [[0, 0, 0]], "active": True, "energies": {"data": {}}}}
+    (tmp_path / "mol.json").write_text(json.dumps(doc))
+    path = str(tmp_path / "mol.json")
+    peaks = state.read_state_peaks(spark, path)
+    want = [("mol", 7, 0, "IR", 0, 100.0, 1.0), ("mol", 7, 0, "IR", 1, 200.0, 2.0), ("mol", 7, 3, "ECD", 0, 4.5, -0.5)]
+    assert sorted(map(tuple, peaks.collect())) == want
+    confs, recs = state.read_state_json(spark, path)
+    again = {r.conf_id: json.loads(r.value) for r in state.state_json(confs, recs, peaks=peaks).collect()}
+    assert again[7]["graphs_data"]["data"] == {"0": {"IR": {"X": [100.0, 200.0], "Y": [1.0, 2.0]}},
+                                               "3": {"ECD": {"X": [4.5], "Y": [-0.5]}}}
+    assert again[8]["graphs_data"] == {"data": {}}
+    assert "graphs_data" not in json.loads(state.state_json(confs, recs).first().value)
+
+
+def test_curves_in_folders_of_parts(spark, tmp_path):
+    spark.createDataFrame([(f"{i} {2 * i}  # c",) for i in range(5)] + [("",), ("# none",)], "value string").write.text(
+        str(tmp_path / "vcd_ref.dat"))
+    (tmp_path / "other.dat").write_text("1 2\n")
+    got = reference.read_reference(spark, str(tmp_path / "*_ref.dat")).collect()
+    assert sorted(map(tuple, got)) == [("VCD", float(i), float(2 * i)) for i in range(5)]
+
+
 def test_state_is_replaced_by_step_and_missing_is_an_error(spark, tmp_path):
     df = spark.createDataFrame([("a", 1, p, float(p)) for p in (0, 1)], "ensemble_id string, conf_id long, protocol int, e double")
     path = str(tmp_path / "state")

@@ -229,3 +229,41 @@ def test_registered_full_fit_against_brute_force(spark):
         assert r.diversity == pytest.approx(score(r.shift, r.fwhm), abs=2e-5)
         best = min(score(s, f) for s in np.linspace(*d["shift_range"], 7) for f in np.linspace(*d["fwhm_range"], 7))
         assert r.diversity <= best + 2e-6
+
+
+@pytest.mark.parametrize("kind", ["IR", "VCD", "UV", "ECD"])
+def test_tiles_equal_the_plain_sum(kind, monkeypatch):
+    """On 10,000 points, with lines on tile edges, outside the grid and far from it, within 1e-10."""
+    from rotamera.functions import spectral
+    rng = np.random.default_rng(6)
+    at = grid_points(kind, 10_000)
+    width = at[-1] - at[0]
+    x = rng.uniform(at[0] - width / 2, at[-1] + width / 2, 800)
+    x[:6] = at[[0, 1, 78, 79, 9998, 9999]]
+    x[6:9] = at[0] + np.arange(3) * width / spectral.TILES
+    x[9] = at[0] + 1000 * width
+    w = rng.normal(size=len(x)) if kind in ("VCD", "ECD") else rng.random(len(x))
+    d = K.GRAPH_DEFAULTS[kind]
+    widths = [d["fwhm"], d["fwhm_range"][0], d["fwhm_range"][1]]
+    tiled = broadened(at, x, w, kind, widths)
+    monkeypatch.setattr(spectral, "PLAIN", 1 << 60)
+    plain = broadened(at, x, w, kind, widths)
+    assert np.abs(tiled - plain).max() <= 1e-10 * np.abs(plain).max()
+    short = broadened(at, x, w, kind, widths, cutoff=6.0)
+    assert (np.array_equal(short, plain) if kind in ("IR", "VCD") else
+            0 < np.abs(short - plain).max() < 1e-7 * np.abs(plain).max())
+    assert not broadened(at, x[:0], w[:0], kind, widths).any()
+
+
+def test_populations_named_by_the_protocol(spark):
+    peaks = spark.createDataFrame([(e, 1, p, "IR", 0, 100.0, 1.0) for e in "ab" for p in (0, 1, 2)],
+                                  "ensemble_id string, conf_id long, protocol int, graph_type string, line_no int, x double, y double")
+    recs = spark.createDataFrame([(e, 1, p, True, 10.0 * (p + 1) + (e == "b")) for e in "ab" for p in (0, 1, 2)],
+                                 "ensemble_id string, conf_id long, protocol int, active boolean, pop double")
+    steps = spark.createDataFrame([("a", 1, "0"), ("a", 2, None), ("b", 2, "1")],
+                                  "ensemble_id string, protocol int, read_population string")
+    got = {(r.ensemble_id, r.protocol): r.w for r in S.weighted_peaks(peaks, recs, population_from=steps).collect()}
+    assert got == {("a", 0): 10.0, ("a", 1): 10.0, ("a", 2): 30.0, ("b", 0): 11.0, ("b", 1): 21.0, ("b", 2): 21.0}
+    shared = steps.where("ensemble_id = 'a'").drop("ensemble_id")
+    got = {(r.ensemble_id, r.protocol): r.w for r in S.weighted_peaks(peaks, recs, population_from=shared).collect()}
+    assert got[("b", 1)] == 11.0 and got[("b", 2)] == 31.0
