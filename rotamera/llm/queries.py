@@ -297,6 +297,74 @@ SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in pii.BASE)},
 FROM documents d LEFT JOIN told ON d.doc_id = told.doc_id
 """
 
+def _way(state: str, cost: str, edit: str, row: str) -> str:
+    return (f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{edit}', "
+            f"'t': {state}.t || {row}}} END")
+
+
+def _least(*ways: str) -> str:
+    return f"list_min([{', '.join(ways)}])"
+
+
+_USER, _ASSISTANT, _ROW = "chr(10) || 'user:'", "chr(10) || 'assistant:'", "chr(10) || {} || ':' || text"
+
+
+def _taken(state: str, role: str) -> list[str]:
+    """A row that is kept or rerolled as ``role`` where it may stay."""
+    return [f"CASE WHEN stays AND ini = '{role[0]}' THEN {_way(state, 'extra', 'K', _ROW.format('role'))} END",
+            *([] if role == "system" else
+              [f"CASE WHEN stays THEN {_way(state, '3 + extra', 'R', _ROW.format(repr(role)))} END"])]
+
+
+# Each conversation's rows one after the other; per state the cheapest edits and what they leave.
+OP13_SQL = rf"""
+WITH RECURSIVE named AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+coded AS (
+    SELECT *, xor(list_reduce([4294967295::BIGINT] || [ord(substr(key, i::INT, 1))::BIGINT for i in range(1, length(key) + 1)],
+        lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384::BIGINT * (x & 1)))),
+        4294967295::BIGINT) % 20 AS d FROM named),
+damaged AS (
+    SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+        CASE d WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+        unnest(range(CASE d WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM coded),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS rn,
+        row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen,
+        regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS last, substr(role, 1, 1) AS ini FROM damaged),
+rows AS (
+    SELECT *, CASE WHEN last = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate'
+        WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+        lag(ini) OVER (PARTITION BY conv_id ORDER BY rn) || ini AS pair FROM ranked),
+told AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+        count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+        count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+        count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM rows GROUP BY conv_id),
+walk AS (
+    SELECT conv_id, 0::BIGINT AS rn, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS s0,
+        NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR) AS s1, NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR) AS s2,
+        NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR) AS s3 FROM told
+    UNION ALL
+    SELECT conv_id, rn, {_way('s0', '4', 'D', "''")},
+        {_least(_way('s1', '4', 'D', "''"), *_taken('s0', 'system'))},
+        {_least(_way('i2', '4', 'D', "''"), *_taken('s0', 'user'), *_taken('s1', 'user'), *_taken('i3', 'user'))},
+        {_least(_way('i3', '4', 'D', "''"), *_taken('i2', 'assistant'))}
+    FROM (SELECT *, {_least('s3', _way('i2', '3', 'I', _ASSISTANT))} AS i3 FROM (
+        SELECT r.*, w.s0, w.s1, w.s3, {_least('w.s2', *(_way(f'w.{x}', '3', 'I', _USER) for x in ('s0', 's1', 's3')))} AS i2,
+            fault NOT IN ('blank', 'duplicate') AS stays, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END AS extra
+        FROM walk w JOIN rows r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.rn = w.rn + 1))),
+ended AS (
+    SELECT w.*, {_least('s0', 's3', _way('s2', '3', 'I', _ASSISTANT), _way('s1', '6', 'II', f'{_USER} || {_ASSISTANT}'))} AS best
+    FROM walk w JOIN told t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.n = w.rn)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+    coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost,
+    coalesce(best.a, '') AS audit, sha256(coalesce(substr(best.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN told t ON t.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
 # All pairs of a label, and reachability.
 OP9_SQL = """
 WITH RECURSIVE good AS (
@@ -363,4 +431,5 @@ FROM ruled
 
 ORACLES: dict[str, str] = {"op1_chat": OP1_SQL, "op5_lines": OP5_SQL, "op8_secrets": OP8_SQL,
                            "op9_itq": OP9_SQL, "op10_linkgraph": OP10_SQL,
-                           "op11_phrases": OP11_SQL, "op12_pii": OP12_SQL}
+                           "op11_phrases": OP11_SQL, "op12_pii": OP12_SQL,
+                           "op13_repair": OP13_SQL}
