@@ -14,6 +14,7 @@ from rotamera.plans.views import CURVES, PEAK_RECORDS, PEAKS, view
 from rotamera.sources.protocols import parse_protocols
 
 N = S.GRID
+PART = N // 50, N * 9 // 10        # of the grid, where a range is asked for
 SPEC = S.SPECTRUM
 
 
@@ -82,7 +83,7 @@ def default_spectrum(spark, sf):
 
 
 def max_abs_normalise(spark, sf):
-    spec = S.convolve(_lines(spark, sf), N).withColumns({"lo": F.lit(20), "hi": F.lit(90)})
+    spec = S.convolve(_lines(spark, sf), N).withColumns({"lo": F.lit(PART[0]), "hi": F.lit(PART[1])})
     return _out(S.max_abs_normalise(spec, SPEC, "lo", "hi"), 5)
 
 
@@ -371,7 +372,7 @@ ORACLES = {
  WHERE graph_type IN ('UV', 'ECD')""",
     "default_spectrum": f"{_base()}, {_CONV}, {_NORM} SELECT {_SPEC_OUT}, {rs('y')} AS y FROM nm",
     "max_abs_normalise": f"""{_base()}, {_CONV} SELECT {_SPEC_OUT},
- {rs('y / max(CASE WHEN i >= 20 AND i < 90 THEN abs(y) END) OVER (PARTITION BY ensemble_id, protocol, graph_type)', 5)}
+ {rs(f'y / max(CASE WHEN i >= {PART[0]} AND i < {PART[1]} THEN abs(y) END) OVER (PARTITION BY ensemble_id, protocol, graph_type)', 5)}
  AS y FROM cv""",
     "spectrum_grid": f"""WITH {_defaults()}, {_grid()} SELECT graph_type, i, {rs('gx', 8)} AS x FROM gr""",
     "nm_to_ev": f"""WITH {_defaults()}, {_ref(units_only=True)} SELECT graph_type, {rs('x', 8)} AS x,
