@@ -22,10 +22,10 @@ from heapq import heapify, heappop, heappush
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession, functions as F
 
-LEAF_BYTES = 24          # shorter matches are merged directly
+LEAF_BYTES = 64          # shorter matches are merged directly
 HEAP_BYTES = 256         # longer ones through a heap
 LEAF_CHARS = 1 << 14     # shorter texts are scanned at once
-CACHE = 60_000           # distinct matches of each of two generations a worker remembers
+CACHE = 120_000          # distinct matches of each of two generations a worker remembers
 NO_RANK = 1 << 32        # above every rank
 
 
@@ -120,7 +120,7 @@ class Codec:
             whole = data in self.ranks
             return [data] if whole and data else self.merge(data)
         # runs of one character pair up by powers of two, so cut there their seams settle at once
-        half = 1 << (len(data) - 1).bit_length() - 1
+        half = len(data) // 2 if len(data) <= HEAP_BYTES else 1 << (len(data) - 1).bit_length() - 1
         return self.join(self.tokens(data[:half]), self.tokens(data[half:]))
 
     # text -> matches -------------------------------------------------------------------
