@@ -56,7 +56,8 @@ def shifted_lines(x: np.ndarray, graph_type: str, shift) -> np.ndarray:
 
 CUTOFF = 39.0            # standard deviations
 NODES = 22               # of the interpolation in a tile
-TILES = 128              # of the grid, for Lorentzians
+TILES = 128              # of the grid, for Lorentzians; up to four times as many for many lines
+BATCH = 1 << 14          # lines whose polynomials are held at a time
 PLAIN = 1 << 20          # line shapes at single points below which tiles do not pay
 
 
@@ -73,20 +74,20 @@ def broadened(points: np.ndarray, lines: np.ndarray, weight: np.ndarray, graph_t
     total = np.zeros((len(widths), len(points)))
     known = w != 0
     x, w = x[known], w[known]
+    if graph_type in VIBRATIONAL and len(x) * len(points) > PLAIN:
+        # what is summed point by point falls with the number of tiles, what goes by pairs of tiles rises
+        tiles = max(TILES, min(4 * TILES, int(1.2 * math.sqrt(len(x))), len(points) // 16))
+        return _tiled(points, x, w, [_lorentz(4.0 / (f * f)) for f in widths],
+                      (points[-1] - points[0]) / tiles, math.inf, near=1)
     for k, f in enumerate(widths):
         if graph_type in VIBRATIONAL:
-            kernel, reach = _lorentz(4.0 / (f * f)), math.inf
-        else:
-            sigma = f * FWHM_TO_SIGMA
-            kernel, reach = _gauss(sigma), cutoff * sigma
-        if len(x) * len(points) <= PLAIN:
-            total[k] = _plain(points, x, w, kernel, reach)
+            total[k] = _plain(points, x, w, _lorentz(4.0 / (f * f)), math.inf)
             continue
-        if graph_type in VIBRATIONAL:
-            total[k] = _tiled(points, x, w, kernel, (points[-1] - points[0]) / TILES, math.inf, near=1)
-        elif sigma * len(points) > 2 * NODES * (points[-1] - points[0]):
+        sigma = f * FWHM_TO_SIGMA
+        kernel, reach = _gauss(sigma), cutoff * sigma
+        if len(x) * len(points) > PLAIN and sigma * len(points) > 2 * NODES * (points[-1] - points[0]):
             # a Gaussian is smooth over a tile as wide as its deviation, so no line is near
-            total[k] = _tiled(points, x, w, kernel, sigma, reach, near=-1)
+            total[k] = _tiled(points, x, w, [kernel], sigma, reach, near=-1)[0]
         else:
             total[k] = _plain(points, x, w, kernel, reach)
     return total
@@ -115,9 +116,10 @@ def _plain(points: np.ndarray, x: np.ndarray, w: np.ndarray, kernel, reach: floa
            block: tuple[int, int] = (32, 1024)) -> np.ndarray:
     """Every shape at every point within reach, in blocks that fit the processor cache."""
     total = np.zeros(len(points))
-    n_lines, n_points = block
+    n_points = block[1]
     for a in range(0, len(points), n_points):
         p = points[a:a + n_points]
+        n_lines = block[0] * n_points // len(p)
         lo = np.searchsorted(x, p[0] - reach)
         hi = np.searchsorted(x, p[-1] + reach, side="right")
         for b in range(lo, hi, n_lines):
@@ -128,16 +130,16 @@ def _plain(points: np.ndarray, x: np.ndarray, w: np.ndarray, kernel, reach: floa
 
 def _polynomials(t: np.ndarray) -> np.ndarray:
     """Chebyshev polynomials up to ``NODES`` - 1 at ``t``, one column each."""
-    out = np.empty((len(t), NODES))
-    out[:, 0], out[:, 1] = 1.0, t
+    out = np.empty((NODES, len(t)))
+    out[0], out[1] = 1.0, t
     for q in range(2, NODES):
-        out[:, q] = 2.0 * t * out[:, q - 1] - out[:, q - 2]
-    return out
+        out[q] = 2.0 * t * out[q - 1] - out[q - 2]
+    return out.T
 
 
-def _tiled(points: np.ndarray, x: np.ndarray, w: np.ndarray, kernel, width: float, reach: float,
+def _tiled(points: np.ndarray, x: np.ndarray, w: np.ndarray, kernels, width: float, reach: float,
            near: int) -> np.ndarray:
-    """The sum by tiles of ``width``. Lines of a tile act through ``NODES`` Chebyshev nodes of it, and what
+    """The sums of some kernels by tiles of ``width``, one row each. Lines of a tile act through ``NODES`` Chebyshev nodes of it, and what
     they add to another tile is a polynomial through its nodes, so work is in proportion to lines plus
     points plus pairs of tiles. Tiles up to ``near`` apart are summed point by point.
 
@@ -155,18 +157,21 @@ def _tiled(points: np.ndarray, x: np.ndarray, w: np.ndarray, kernel, width: floa
     most = tiles if math.isinf(reach) else int(reach / width) + 2
     at = np.floor((x - start) / width)
     inside = (at >= -most) & (at < tiles + most)
-    local = np.zeros((tiles, NODES))                   # values at the nodes of each tile
+    local = np.zeros((len(kernels), tiles, NODES))     # values at the nodes of each tile
     centres = start + (np.arange(tiles) + 0.5) * width
     if not inside.all() and math.isinf(reach):         # far off the grid: straight to the nodes
         far = ~inside
-        local += _plain(centres.repeat(NODES) + h * np.tile(node, tiles), x[far], w[far], kernel,
-                        reach).reshape(tiles, NODES)
+        nodes = centres.repeat(NODES) + h * np.tile(node, tiles)
+        for part, kernel in zip(local, kernels):
+            part += _plain(nodes, x[far], w[far], kernel, reach).reshape(tiles, NODES)
     sx, sw, at = x[inside], w[inside], at[inside].astype(np.int64) + most
     sources = np.zeros((tiles + 2 * most, NODES))
-    if len(sx):
-        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        t = (sx - start - (at - most + 0.5) * width) / h
-        sources[at[first]] = np.add.reduceat(_polynomials(t) * sw[:, None], first, axis=0) @ basis
+    for a in range(0, len(sx), BATCH):                 # one block of lines at a time
+        its = at[a:a + BATCH]
+        first = np.flatnonzero(np.r_[True, its[1:] != its[:-1]])
+        t = (sx[a:a + BATCH] - start - (its - most + 0.5) * width) / h
+        sources[its[first]] += np.add.reduceat(_polynomials(t) * sw[a:a + BATCH, None], first, axis=0)
+    sources = sources @ basis
     for apart in range(-(tiles + most) + 1, tiles + most):
         if abs(apart) <= near or abs(apart) > most and not math.isinf(reach):
             continue
@@ -175,14 +180,17 @@ def _tiled(points: np.ndarray, x: np.ndarray, w: np.ndarray, kernel, width: floa
             continue
         part = sources[lo - apart + most:hi - apart + most]
         if part.any():
-            local[lo:hi] += part @ kernel(apart * width + h * (node[None, :] - node[:, None]))
-    t = (points - centres[tile]) / h
-    total = (_polynomials(t) * (local @ basis.T)[tile]).sum(1)
+            gap = apart * width + h * (node[None, :] - node[:, None])
+            for values, kernel in zip(local, kernels):
+                values[lo:hi] += part @ kernel(gap)
+    to_points = _polynomials((points - centres[tile]) / h)
+    total = np.stack([(to_points * (values @ basis.T)[tile]).sum(1) for values in local])
     if near >= 0:
         edge = np.searchsorted(tile, np.arange(tiles + 1))
         for i in range(tiles):
             lo, hi = np.searchsorted(at, [i - near + most, i + near + most + 1])
             if lo < hi and edge[i] < edge[i + 1]:
                 p = slice(edge[i], edge[i + 1])
-                total[p] += _plain(points[p], sx[lo:hi], sw[lo:hi], kernel, math.inf)
+                for y, kernel in zip(total, kernels):
+                    y[p] += _plain(points[p], sx[lo:hi], sw[lo:hi], kernel, math.inf)
     return total

@@ -11,6 +11,7 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 from pyspark.sql import types as T
 
@@ -27,8 +28,8 @@ from rotamera.session import cut_lineage
 
 SPECTRUM = ["ensemble_id", "protocol", "graph_type"]
 GRID = 10_000
-LINE_LIMIT = 1_000_000   # lines of one spectrum that one task may broaden
-FIT_LIMIT = 10_000        # lines of one spectrum that one task may fit
+LINE_LIMIT = 1_000_000   # lines of one spectrum that one task may broaden or fit
+PACKED_LINES = 1 << 18    # lines that a task holds while it packs them by spectrum
 
 
 # --- weighted line lists ------------------------------------------------------
@@ -137,48 +138,67 @@ def convolve(lines: DataFrame, n: int = GRID, keys: Sequence[str] = SPECTRUM,
             .where("_nz AND _w").select(*keys, "i", grid_x("i", "graph_type", n).alias("x"), "y"))
 
 
-def _partial_candidates(keys: Sequence[str], n: int):
-    """As :func:`_partial_spectra`, for every (shift, width) of the run's candidate list."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, cands, total = None, [], np.zeros((0, n))
+def packed_lines(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, _x, _w, _n): lines as arrays, a row for each spectrum that stands among some ``PACKED_LINES``
+    of a task. A line then costs 16 bytes wherever it goes."""
+    keys = list(keys)
+    schema = T.StructType([lines.schema[k] for k in keys] + [
+        T.StructField("_x", T.ArrayType(T.DoubleType())), T.StructField("_w", T.ArrayType(T.DoubleType())),
+        T.StructField("_n", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed():
+            got = pa.Table.from_batches(held).group_by(keys, use_threads=False).aggregate(
+                [("x", "list"), ("w", "list"), ([], "count_all")])
+            got = got.rename_columns({"x_list": "_x", "w_list": "_w", "count_all": "_n"})
+            return got.select([*keys, "_x", "_w", "_n"]).to_batches()
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.num_rows
+            if size >= PACKED_LINES:
+                yield from packed()
+                held, size = [], 0
+        if size:
+            yield from packed()
+    rows = lines.select(*keys, F.col("x").cast("double").alias("x"), F.col("w").cast("double").alias("w"))
+    return rows.mapInArrow(run, schema)
+
+
+def _unpacked(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    x, w = (np.concatenate([np.asarray(a, dtype=float) for a in rows[c]]) for c in ("_x", "_w"))
+    return x, w
 
-        def rows():
-            for (s, f), y in zip(cands, total):
-                yield {**dict(zip(keys, current)), "c_s": s, "c_f": f, "ys": y}
-        for pdf in batches:
-            for values, g in pdf.groupby(list(keys), sort=False, dropna=False):
-                if values != current:
-                    if current is not None:
-                        yield pd.DataFrame(list(rows()))
-                    current = values
-                    cands = sorted((c["c_s"], c["c_f"]) for c in g["_c"].iloc[0])
-                    total = np.zeros((len(cands), n))
-                kind = g["graph_type"].iloc[0]
-                x, w = g["x"].to_numpy(dtype=float), g["w"].to_numpy(dtype=float)
-                at = grid_points(kind, n)
-                for s in sorted({s for s, _ in cands}):
-                    mine = [i for i, c in enumerate(cands) if c[0] == s]
-                    total[mine] += broadened(at, shifted_lines(x, kind, s), w, kind,
-                                             [cands[i][1] for i in mine])
-        if current is not None:
-            yield pd.DataFrame(list(rows()))
+
+def _partial_candidates(keys: Sequence[str], n: int):
+    """Sum one part of a spectrum's lines onto the grid for every (shift, width) of its candidate list."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        head = pdf.iloc[0]
+        cands = sorted((c["c_s"], c["c_f"]) for c in head["_c"])
+        x, w = _unpacked(pdf)
+        kind, total = head["graph_type"], np.zeros((len(cands), n))
+        at = grid_points(kind, n)
+        for s in sorted({s for s, _ in cands}):
+            mine = [i for i, c in enumerate(cands) if c[0] == s]
+            total[mine] = broadened(at, shifted_lines(x, kind, s), w, kind, [cands[i][1] for i in mine])
+        return pd.DataFrame([[*[head[k] for k in keys], s, f, y] for (s, f), y in zip(cands, total)],
+                            columns=[*keys, "c_s", "c_f", "ys"])
     return run
 
 
-def convolve_candidates(lines: DataFrame, candidates: DataFrame, n: int, keys: Sequence[str],
-                        limit: int, row_bytes: int) -> DataFrame:
-    """(keys, c_s, c_f, i, y): spectra for each pair in the list ``_c`` of (keys, _c). The
-    lists meet the lines after these are dealt out, so a line is shuffled once however many
-    pairs there are."""
+def convolve_candidates(parts: DataFrame, candidates: DataFrame, n: int, keys: Sequence[str],
+                        row_bytes: int) -> DataFrame:
+    """(keys, c_s, c_f, i, y): spectra of packed lines, dealt out by ``_part``, for each pair in the list
+    ``_c`` of (keys, _c). A part emits one sum for each pair, so what is shuffled follows the number
+    of parts, which follows that of lines, and not the number of tasks."""
     keys = list(keys)
-    runs = dealt_runs(lines.select(*keys, "x", "w"), keys, limit, F.xxhash64("x", "w"))
-    runs = attach(runs, candidates, keys, candidates.count(), row_bytes)
-    schema = T.StructType([lines.schema[k] for k in keys] + [
+    rows = attach(parts, candidates, keys, candidates.count(), row_bytes)
+    schema = T.StructType([parts.schema[k] for k in keys] + [
         T.StructField("c_s", T.DoubleType()), T.StructField("c_f", T.DoubleType()),
         T.StructField("ys", T.ArrayType(T.DoubleType()))])
-    parts = runs.mapInPandas(_partial_candidates(keys, n), schema)
+    sums = rows.groupBy(*keys, "_part").applyInPandas(_partial_candidates(keys, n), schema)
     ck = [*keys, "c_s", "c_f"]
-    return (spread(parts, ck).select(*ck, F.posexplode("ys").alias("i", "y")).groupBy(*ck, "i")
+    return (spread(sums, ck).select(*ck, F.posexplode("ys").alias("i", "y")).groupBy(*ck, "i")
             .agg(F.sum("y").alias("y")))
 
 
@@ -451,7 +471,7 @@ def _fit_in_task(keys: Sequence[str], n: int, points: int, passes: int):
         ry, rw = use["y"].to_numpy(), use["weight"].to_numpy()
         seen = (i >= use["lo"].to_numpy()) & (i < use["hi"].to_numpy())
         scale = 2.0 if kind in ("VCD", "ECD") else 1.0
-        x, w = lines["x"].to_numpy(dtype=float), lines["w"].to_numpy(dtype=float)
+        x, w = _unpacked(lines)
         head = lines.iloc[0]
         slim, flim = (head["s_lo"], head["s_hi"]), (head["f_lo"], head["f_hi"])
         (s_lo, s_hi), (f_lo, f_hi) = slim, flim
@@ -465,7 +485,7 @@ def _fit_in_task(keys: Sequence[str], n: int, points: int, passes: int):
                     d = _score(totals[k], ry, rw, seen, n, scale)
                     if (d, s, f) < best:
                         best = (d, s, f)
-            if not np.isfinite(best[0]):
+            if not np.isfinite(best[0]) or len(shifts) == len(widths) == 1:    # nothing left to search
                 break
             s_lo, s_hi = _zoomed(best[1], s_lo, s_hi, points, slim)
             if _narrows_width(done, passes):
@@ -478,13 +498,19 @@ def _fit_in_task(keys: Sequence[str], n: int, points: int, passes: int):
 
 def _fit_by_passes(lines: DataFrame, reference: DataFrame, keys: list[str], ref_keys: list[str],
                    n: int, points: int, passes: int, limit: int) -> DataFrame:
-    """The same search for spectra with too many lines for one task: every pass broadens the
-    dealt-out lines for all its candidates, adds the parts up and picks the best."""
+    """The same search for spectra with too many lines for one task: every pass broadens the packed
+    lines, dealt out once in parts of about ``limit``, for all its candidates, adds the parts up and
+    picks the best."""
     state = cut_lineage(lines.groupBy(*keys).agg(*[
         F.first(c).alias(c) for c in ("s_lo", "s_hi", "f_lo", "f_hi", "s_def", "f_def")])
         .withColumns({"a_lo": F.col("s_lo"), "a_hi": F.col("s_hi"), "b_lo": F.col("f_lo"),
                       "b_hi": F.col("f_hi"), "best": F.lit(None).cast(
                           "struct<d:double,s:double,f:double>")}))
+    if state.where("s_hi > s_lo OR f_hi > f_lo").isEmpty():        # one pair each, nothing to zoom into
+        passes = 1
+    parts = attach_stats(lines.select(*keys, "_x", "_w", "_n"), keys, _lines=F.sum("_n"))
+    dealt = F.pmod(F.xxhash64("_x", "_w"), F.ceil(F.col("_lines") / F.lit(float(limit))))
+    parts = cut_lineage(spread(parts.select(*keys, "_x", "_w", dealt.alias("_part")), [*keys, "_part"]))
 
     def axis(lo: str, hi: str) -> Column:
         last = F.when(F.col(hi) > F.col(lo), F.lit(points - 1)).otherwise(F.lit(0))
@@ -498,7 +524,7 @@ def _fit_by_passes(lines: DataFrame, reference: DataFrame, keys: list[str], ref_
         packed = cut_lineage(cand.groupBy(*keys).agg(
             F.collect_list(F.struct("c_s", "c_f")).alias("_c")))
         ck = [*keys, "c_s", "c_f"]
-        spec = convolve_candidates(lines, packed, n, keys, limit, 100 + 32 * points * points)
+        spec = convolve_candidates(parts, packed, n, keys, 100 + 32 * points * points)
         spec = lookup(spec, ref, [*ref_keys, "i"], ready=True)
         spec = max_abs_normalise(spec, ck, "lo", "hi")
         d = (spec.where(F.col("y").isNotNull()).groupBy(*ck)
@@ -526,7 +552,7 @@ def _fit_by_passes(lines: DataFrame, reference: DataFrame, keys: list[str], ref_
 def fit_shift_fwhm(lines: DataFrame, reference: DataFrame, n: int = GRID,
                    keys: Sequence[str] = SPECTRUM, ref_keys: Sequence[str] = ("graph_type",),
                    shift=None, fwhm=None, points: int = 7, passes: int = 6,
-                   limit: int = FIT_LIMIT) -> DataFrame:
+                   limit: int = LINE_LIMIT) -> DataFrame:
     """(keys, shift, fwhm, diversity, converged): the pair within the bounds whose spectrum
     is least different from the measured curve over the whole grid. A bounded search on
     ``points``² pairs, zoomed in ``passes`` - 1 times; where no pair gives a spectrum, the
@@ -534,12 +560,12 @@ def fit_shift_fwhm(lines: DataFrame, reference: DataFrame, n: int = GRID,
     keys, ref_keys = list(keys), list(ref_keys)
     (s0, s1), (f0, f1) = _range(shift, "shift_range"), _range(fwhm, "fwhm_range")
     # sized, counted and fitted: three readings of what may be a costly join
-    lines = cut_lineage(lines.where(F.col("w") != 0).select(*keys, "x", "w"))
+    lines = cut_lineage(packed_lines(lines.where(F.col("w") != 0), keys))
     rows = lines.withColumns({
         "s_lo": s0, "s_hi": s1, "f_lo": f0, "f_hi": f1,
         "s_def": default_of("graph_type", "shift"), "f_def": default_of("graph_type", "fwhm")})
     reference = cut_lineage(reference.select(*ref_keys, "i", "y", "weight", "lo", "hi"))
-    small, large = split_by_size(rows, keys, limit)
+    small, large = split_by_size(rows, keys, limit, F.sum("_n"))
     schema = T.StructType([rows.schema[k] for k in keys] + [
         T.StructField(c, T.DoubleType()) for c in ("shift", "fwhm", "diversity")] + [
         T.StructField("converged", T.BooleanType())])

@@ -1,8 +1,12 @@
+import math
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from rotamera import constants as K
+from rotamera.functions import spectral
 from rotamera.functions.spectral import broadened, grid_points
 from rotamera.operators import spectra as S
 
@@ -267,3 +271,44 @@ def test_populations_named_by_the_protocol(spark):
     shared = steps.where("ensemble_id = 'a'").drop("ensemble_id")
     got = {(r.ensemble_id, r.protocol): r.w for r in S.weighted_peaks(peaks, recs, population_from=shared).collect()}
     assert got[("b", 1)] == 11.0 and got[("b", 2)] == 31.0
+
+
+def test_many_lines_are_fitted_in_one_task_and_a_given_pair_once(spark, monkeypatch):
+    """12,000 lines of a spectrum go to one task as arrays; two parts of a larger one emit two sums a pair."""
+    rng = np.random.default_rng(5)
+    rows = [("m", 0, "IR", float(x), float(w)) for x, w in zip(rng.uniform(400, 4000, 12_000), rng.random(12_000))]
+    rows += [("m", 0, "UV", None, 1.0), (None, 1, "IR", 900.0, 1.0)]
+    lines = spark.createDataFrame(rows, "ensemble_id string, protocol int, graph_type string, x double, w double")
+    packed = S.packed_lines(lines, S.SPECTRUM)
+    back = packed.select(*S.SPECTRUM, F.explode(F.arrays_zip("_x", "_w")).alias("l")).select(*S.SPECTRUM, "l._x", "l._w")
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(rows, key=str)
+    n = 50
+    ref = spark.createDataFrame([("IR", i, math.sin(i / 9.0), 1.0, 0, n) for i in range(n)],
+                                "graph_type string, i int, y double, weight double, lo int, hi int")
+    args = dict(n=n, points=2, passes=3, shift=1.0, fwhm=12.0)
+    parted = {tuple(r)[:5] + (round(r.diversity, 12),) for r in S.fit_shift_fwhm(
+        lines.where("x IS NOT NULL"), ref, limit=6000, **args).collect()}
+
+    def never(*_):
+        raise AssertionError("fitted by passes")
+    monkeypatch.setattr(S, "_fit_by_passes", never)
+    whole = {tuple(r)[:5] + (round(r.diversity, 12),) for r in S.fit_shift_fwhm(
+        lines.where("x IS NOT NULL"), ref, **args).collect()}
+    assert whole == parted and len(whole) == 2
+    done = []
+    monkeypatch.setattr(S, "broadened", lambda at, x, w, kind, widths: done.append(widths) or np.ones((len(widths), len(at))))
+    one = pd.DataFrame({"graph_type": ["IR"], "_x": [np.array([900.0])], "_w": [np.array([1.0])], "s_lo": 1.0,
+                        "s_hi": 1.0, "f_lo": 12.0, "f_hi": 12.0, "s_def": 1.0, "f_def": 10.0})
+    S._fit_in_task(["graph_type"], n, 7, 6)(one, ref.toPandas())
+    assert [len(d) for d in done] == [1]
+
+
+def test_tiles_for_many_lines_give_the_plain_sums():
+    rng = np.random.default_rng(6)
+    x, w = np.sort(rng.uniform(-500, 9000, 40_000)), rng.standard_normal(40_000)
+    at = spectral.grid_points("IR", 10_000)
+    got = spectral.broadened(at, x, w, "IR", [4.0, 20.0])
+    pick = np.arange(0, 10_000, 97)
+    for y, f in zip(got, (4.0, 20.0)):
+        want = spectral._plain(at[pick], x, w, spectral._lorentz(4.0 / (f * f)), math.inf)
+        assert np.abs(y[pick] - want).max() < 1e-11 * np.abs(w).sum()
