@@ -162,3 +162,25 @@ def test_reduction_with_a_number_for_each_ensemble(spark):
     n = {r.ensemble_id: r.a for r in out.groupBy("ensemble_id").agg(F.count_if("active").alias("a")).collect()}
     whole = C.cluster_reduce(df.where("ensemble_id = 'own'"), minimum=5).where("active").count()
     assert n == {"four": 4, "own": whole, "none": 11}
+
+
+def test_silhouettes_of_several_labellings_take_one_pass(spark, monkeypatch):
+    """On both paths, with clusters in some blocks only, many clusters, equal points and one labelling of one cluster."""
+    rng = np.random.default_rng(9)
+    pts = rng.normal(size=(150, 5)) + 40.0
+    pts[10:20] = pts[0]
+    pts[20] = pts[21] + 1e-9
+    rows = [("m", i, pts[i].tolist(), [i % 3, i % 90, 0, i // 149]) for i in range(150)]
+    df = spark.createDataFrame(rows, "ensemble_id string, conf_id long, points array<double>, labellings array<int>")
+    for kw in ({}, {"group_limit": 0, "block": 40}):
+        got = {r.conf_id: r.silhouette for r in C.silhouette(df, points="points", labels="labellings", **kw).collect()}
+        assert len(got) == 150
+        for at in range(4):
+            lab = np.array([r[3][at] for r in rows])
+            if at == 2:
+                assert {v[at] for v in got.values()} == {None}
+                continue
+            want = brute_silhouette(pts, lab)
+            assert np.allclose([got[i][at] for i in range(150)], want, atol=1e-8, rtol=0)
+    gaps = C._distances_by_gaps(pts, pts)
+    assert np.allclose(C._distances(pts, pts), gaps, rtol=1e-10, atol=0)
