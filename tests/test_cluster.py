@@ -184,3 +184,26 @@ def test_silhouettes_of_several_labellings_take_one_pass(spark, monkeypatch):
             assert np.allclose([got[i][at] for i in range(150)], want, atol=1e-8, rtol=0)
     gaps = C._distances_by_gaps(pts, pts)
     assert np.allclose(C._distances(pts, pts), gaps, rtol=1e-10, atol=0)
+
+
+def test_copies_of_packed_ensembles_are_about_as_many_as_tasks(spark, monkeypatch):
+    """A copy goes to Python alone, and all ensembles together have about four copies a partition, not each of them."""
+    rng = np.random.default_rng(4)
+    rows = [(e, i, rng.normal(size=2).tolist()) for e in range(12) for i in range(40)]
+    df = spark.createDataFrame(rows, "ensemble_id int, conf_id long, points array<double>")
+    copies = spark.sparkContext.accumulator(0)
+    held = spark.sparkContext.accumulator(0)
+    scans = C._scans
+
+    def counted(keys, max_iter):
+        run = scans(keys, max_iter)
+
+        def one(pdf):
+            copies.add(len(pdf))
+            held.add(1)
+            return run(pdf)
+        return one
+    monkeypatch.setattr(C, "_scans", counted)
+    curve = C.silhouette_curve(df, points="points").collect()
+    assert len(curve) == 12 * (32 - 4 + 1)
+    assert copies.value == held.value <= 4 * 4 + 12
