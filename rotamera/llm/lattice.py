@@ -38,6 +38,7 @@ from rotamera.llm.common import words, written
 CHUNK_BYTES = 16 << 20
 DISCOUNT = 0.75
 SPACES = b" \t\n\r\x0b\x0c"
+LEAST = 1e-250           # of a word's probability that is worked out without logs
 END = b"\n"              # no word holds white space, so this stands for the end
 
 
@@ -108,16 +109,57 @@ def forward(lattice) -> list[float]:
     return alpha
 
 
+def plain(prefixes: dict[bytes, float | None]) -> dict[bytes, float]:
+    """The trie with probabilities instead of logs, 0 for mere prefixes."""
+    return {p: 0.0 if s is None else math.exp(s) for p, s in prefixes.items()}
+
+
+def plain_forward(text: bytes, weights: dict[bytes, float]) -> tuple[list[float], list[list]]:
+    """Probability of reaching each position, and the arcs from each. Without logs a word costs a
+    fraction; a total below ``LEAST`` may have lost paths to underflow and is for :func:`forward`."""
+    n, get = len(text), weights.get
+    alpha, lattice = [1.0] + [0.0] * n, []
+    for i in range(n):
+        here, a = [], alpha[i]
+        if a:
+            for j in range(i + 1, n + 1):
+                p = text[i:j]
+                w = get(p)
+                if w is None:
+                    break
+                if w:
+                    alpha[j] += a * w
+                    here.append((j, w, p))
+        lattice.append(here)
+    return alpha, lattice
+
+
 def log_probability(word: bytes, prefixes: dict, whole: float = -math.inf,
-                    spelled: float = 0.0) -> float:
+                    spelled: float = 0.0, weights: dict | None = None) -> float:
     """Natural log of a word's probability: paths over pieces, which weigh ``spelled``, and
-    the arc over the word as a whole, which weighs ``whole``."""
-    own = prefixes[END] if word == END else forward(arcs(b" " + word, prefixes))[-1]
+    the arc over the word as a whole, which weighs ``whole``. ``weights`` is the trie without logs."""
+    if word == END:
+        own = prefixes[END]
+    else:
+        total = plain_forward(b" " + word, weights)[0][-1] if weights else 0.0
+        own = math.log(total) if total >= LEAST else forward(arcs(b" " + word, prefixes))[-1]
     return _logsum([own + spelled, whole]) if whole > -math.inf else own + spelled
 
 
-def expected(word: bytes, prefixes: dict, into: dict[bytes, float]) -> None:
-    """Add the expected uses of each piece in spelling a word once."""
+def expected(word: bytes, prefixes: dict, into: dict[bytes, float], weights: dict | None = None) -> None:
+    """Add the expected uses of each piece in spelling a word once. ``weights`` is the trie without logs."""
+    if weights:
+        alpha, lattice = plain_forward(b" " + word, weights)
+        if alpha[-1] >= LEAST:
+            beta = [0.0] * len(lattice) + [1.0 / alpha[-1]]
+            for i in range(len(lattice) - 1, -1, -1):
+                a, b = alpha[i], 0.0
+                for j, w, p in lattice[i]:
+                    x = w * beta[j]
+                    b += x
+                    into[p] += a * x
+                beta[i] = b
+            return
     lattice = arcs(b" " + word, prefixes)
     alpha = forward(lattice)
     z, n, exp = alpha[-1], len(lattice), math.exp
@@ -216,9 +258,10 @@ def reweight(spark: SparkSession, counts: DataFrame,
 
     def expect(batches):
         prefixes, into = trie(shared.value), defaultdict(float)
+        weights = plain(prefixes)
         for b in batches:
             for w in b.column("word").to_pylist():
-                expected(w, prefixes, into)
+                expected(w, prefixes, into, weights)
         if into:
             yield pa.RecordBatch.from_arrays([pa.array(list(into), pa.binary()),
                                               pa.array(list(into.values()), pa.float64())],
@@ -251,10 +294,11 @@ def score(docs: DataFrame, held: Column, vocab_path: str, key: str = "doc_id",
 
     def judge(batches):
         prefixes = trie(shared.value)
+        weights = plain(prefixes)
         spelled = math.log(DISCOUNT * v / n) if n else 0.0
         for b in batches:
             lp = [log_probability(w, prefixes, math.log((c - DISCOUNT) / n) if c else -math.inf,
-                                  spelled)
+                                  spelled, weights)
                   for w, c in zip(b.column("word").to_pylist(), b.column("c").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"),
                                               pa.array(lp, pa.float64())], ["word", "c", "lp"])

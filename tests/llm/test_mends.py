@@ -189,3 +189,22 @@ def test_stages_against_brute_force(spark):
     enc, texts = tiktoken_encoding(), {r.doc_id: r.text for r in four.collect()}
     assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in five} == {
         d: enc.encode_ordinary(t) for d, t in texts.items()}
+
+
+def test_lattice_without_logs_equals_the_one_with_logs():
+    """Expected uses too; words whose probability would underflow take the logs."""
+    from collections import defaultdict
+
+    from rotamera.llm import lattice
+    scores = {p: -0.3 * n - 1.0 for n, p in enumerate([b"a", b"b", b"ab", b"aba", b" ", b" a", b"ba", lattice.END])}
+    prefixes = lattice.trie(scores)
+    weights = lattice.plain(prefixes)
+    for word in (b"a", b"abab", b"babaab", b"c", b"ab" * 40, b"ab" * 2000):
+        want = lattice.log_probability(word, prefixes, -9.0, -0.1)
+        assert math.isclose(lattice.log_probability(word, prefixes, -9.0, -0.1, weights), want, rel_tol=1e-13)
+        if word != b"c":
+            plain, logs = defaultdict(float), defaultdict(float)
+            lattice.expected(word, prefixes, plain, weights)
+            lattice.expected(word, prefixes, logs)
+            assert {p: round(v, 8) for p, v in plain.items() if v} == {p: round(v, 8) for p, v in logs.items() if v}
+    assert lattice.plain_forward(b" " + b"ab" * 2000, weights)[0][-1] < lattice.LEAST
