@@ -22,6 +22,8 @@ from heapq import heapify, heappop, heappush
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession, functions as F
 
+from rotamera.llm.common import texts_of
+
 LEAF_BYTES = 64          # shorter matches are merged directly
 HEAP_BYTES = 256         # longer ones through a heap
 LEAF_CHARS = 1 << 14     # shorter texts are scanned at once
@@ -214,7 +216,7 @@ def encoder(spark: SparkSession, path: str, pattern: str):
     def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _codec(ranks.value, pattern)
         for a in texts:
-            yield pa.array([codec.encode(t) for t in a.to_pylist()], pa.binary())
+            yield pa.array([codec.encode(t) for t in texts_of(a)], pa.binary())
     return encode
 
 
@@ -226,7 +228,7 @@ def decoder(spark: SparkSession, path: str, pattern: str):
     def decode(ids: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _codec(ranks.value, pattern)
         for a in ids:
-            yield pa.array([codec.decode(x) for x in a.to_pylist()], pa.binary())
+            yield pa.array([codec.decode(x) for x in texts_of(a)], pa.binary())
     return decode
 
 

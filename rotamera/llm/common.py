@@ -47,6 +47,12 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
+def texts_of(column, rows: int = 256):
+    """The strings of an Arrow column, made a few rows at a time: a batch holds 10,000 texts."""
+    for lo in range(0, len(column), rows):
+        yield from column.slice(lo, rows).to_pylist()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): one row (node, root) for every node that has an
     edge, the root being the smallest node. Null ends and loops are ignored.

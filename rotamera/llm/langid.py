@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rotamera.llm.common import texts_of
+
 BUCKETS = 1 << 15
 DIMS = 16
 GRAMS = (1, 2, 3, 4)
@@ -214,7 +216,7 @@ def predictor(df: DataFrame, model: Model):
             known = n @ shares[at, best] / n.sum()
             return labels[best], float(p[best]), bool(p[best] < threshold or known < usual)
         for a in texts:
-            rows = [one(t) for t in a.to_pylist()]
+            rows = [one(t) for t in texts_of(a)]
             yield pa.StructArray.from_arrays(
                 [pa.array([r[0] for r in rows], pa.string()),
                  pa.array([r[1] for r in rows], pa.float64()),

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType
 
-from rotamera.llm.common import components, private, runs, star, words
+from rotamera.llm.common import components, private, runs, star, texts_of, words
 from rotamera.operators.grouping import lookup
 from rotamera.session import cut_lineage
 
@@ -62,7 +62,7 @@ def fingerprint_of(text: str | None, shingle: int = SHINGLE) -> int:
 def fingerprint(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """64-bit SimHash of word shingles, as a signed long."""
     for a in texts:
-        v = np.array([fingerprint_of(t) for t in a.to_pylist()], np.uint64)
+        v = np.array([fingerprint_of(t) for t in texts_of(a)], np.uint64)
         yield pa.array(v.view(np.int64))
 
 

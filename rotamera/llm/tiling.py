@@ -26,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from rotamera.llm.common import texts_of
+
 SEED = 5
 COVER = 0.8
 BLOCK_WORDS = 2_000_000
@@ -202,7 +204,7 @@ def finder(docs: DataFrame, items: list, seed: int, cover: float):
         for a in texts:
             yield pa.array([[{"item": names[n], "covered": c, "words": w,
                               "tiles": [dict(zip(("doc_at", "item_at", "length"), x)) for x in t]}
-                             for n, c, w, t in index.matches(x)] for x in a.to_pylist()], arrow)
+                             for n, c, w, t in index.matches(x)] for x in texts_of(a)], arrow)
     return find
 
 

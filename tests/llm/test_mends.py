@@ -208,3 +208,23 @@ def test_lattice_without_logs_equals_the_one_with_logs():
             lattice.expected(word, prefixes, logs)
             assert {p: round(v, 8) for p, v in plain.items() if v} == {p: round(v, 8) for p, v in logs.items() if v}
     assert lattice.plain_forward(b" " + b"ab" * 2000, weights)[0][-1] < lattice.LEAST
+
+
+def test_texts_of_a_batch_are_made_a_few_at_a_time():
+    import pyarrow as pa
+
+    from rotamera.llm.common import texts_of
+
+    class Watched:
+        def __init__(self, a):
+            self.a, self.most = a, 0
+
+        def __len__(self):
+            return len(self.a)
+
+        def slice(self, lo, n):
+            part = self.a.slice(lo, n)
+            self.most = max(self.most, len(part))
+            return part
+    held = Watched(pa.array([None if i % 7 == 0 else str(i) for i in range(1000)]))
+    assert list(texts_of(held)) == held.a.to_pylist() and held.most == 256
