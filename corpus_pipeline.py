@@ -41,13 +41,12 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed ids with what they decode to."""
-    encode = bpe.encoder(spark, queries.RANKS, queries.PATTERN)
-    decode = bpe.decoder(spark, queries.RANKS, queries.PATTERN)
-    ids = docs.select("doc_id", "lang", "source", F.sha2("text", 256).alias("text_sha256"),
-                      encode("text").alias("ids"))
-    return ids.select("doc_id", "lang", "source", "text_sha256",
-                      bpe.n_tokens(F.col("ids")).alias("n_tokens"), "ids",
-                      F.sha2(decode("ids"), 256).alias("decoded_sha256"))
+    code = bpe.coder(spark, queries.RANKS, queries.PATTERN)
+    both = docs.select("doc_id", "lang", "source", F.sha2("text", 256).alias("text_sha256"),
+                       code("text").alias("_c"))
+    return both.select("doc_id", "lang", "source", "text_sha256",
+                       bpe.n_tokens(F.col("_c.ids")).alias("n_tokens"), F.col("_c.ids").alias("ids"),
+                       F.sha2("_c.back", 256).alias("decoded_sha256"))
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup),

@@ -22,8 +22,6 @@ from heapq import heapify, heappop, heappush
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession, functions as F
 
-from rotamera.llm.common import texts_of
-
 LEAF_BYTES = 64          # shorter matches are merged directly
 HEAP_BYTES = 256         # longer ones through a heap
 LEAF_CHARS = 1 << 14     # shorter texts are scanned at once
@@ -208,6 +206,12 @@ def _codec(held: dict, pattern: str) -> Codec:
     return held["codec"]
 
 
+def _few(column: pa.Array, rows: int = 256) -> Iterator[list]:
+    """The values of an Arrow column a few rows at a time, for results that leave as they are made."""
+    for lo in range(0, len(column), rows):
+        yield column.slice(lo, rows).to_pylist()
+
+
 def encoder(spark: SparkSession, path: str, pattern: str):
     """A Column function: text -> ids, packed as little-endian unsigned 32-bit integers."""
     ranks = _shared(spark, path)
@@ -216,7 +220,8 @@ def encoder(spark: SparkSession, path: str, pattern: str):
     def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _codec(ranks.value, pattern)
         for a in texts:
-            yield pa.array([codec.encode(t) for t in texts_of(a)], pa.binary())
+            for some in _few(a):
+                yield pa.array([codec.encode(t) for t in some], pa.binary())
     return encode
 
 
@@ -228,9 +233,27 @@ def decoder(spark: SparkSession, path: str, pattern: str):
     def decode(ids: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _codec(ranks.value, pattern)
         for a in ids:
-            yield pa.array([codec.decode(x) for x in texts_of(a)], pa.binary())
+            for some in _few(a):
+                yield pa.array([codec.decode(x) for x in some], pa.binary())
     return decode
 
 
+def coder(spark: SparkSession, path: str, pattern: str):
+    """A Column function: text -> (ids, back), what ``encoder`` gives and what ``decoder`` makes of
+    that. One worker a task does both with one vocabulary, where the two would take a worker each."""
+    ranks = _shared(spark, path)
+
+    @F.arrow_udf("struct<ids:binary,back:binary>")
+    def code(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        codec = _codec(ranks.value, pattern)
+        for a in texts:
+            for some in _few(a):
+                ids = [codec.encode(t) for t in some]
+                yield pa.StructArray.from_arrays(
+                    [pa.array(ids, pa.binary()), pa.array([codec.decode(x) for x in ids], pa.binary())],
+                    ["ids", "back"])
+    return code
+
+
 def n_tokens(ids: Column) -> Column:
     return (F.octet_length(ids) / 4).cast("long")

@@ -34,9 +34,7 @@ def op2_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encode, decode = (f(spark, RANKS, PATTERN) for f in (bpe.encoder, bpe.decoder))
-    ids = docs.select("doc_id", encode("text").alias("ids"))
-    both = ids.select("doc_id", "ids", decode("ids").alias("back"))
+    both = docs.select("doc_id", bpe.coder(spark, RANKS, PATTERN)("text").alias("_c")).select("doc_id", "_c.*")
     return both.select("doc_id", bpe.n_tokens(F.col("ids")).alias("n_tokens"),
                        F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2("back", 256).alias("decoded_sha256"))
@@ -332,7 +330,9 @@ damaged AS (
 ranked AS (
     SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS rn,
         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen,
-        regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS last, substr(role, 1, 1) AS ini FROM damaged),
+        regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) AS last, substr(role, 1, 1) AS ini FROM damaged),
 rows AS (
     SELECT *, CASE WHEN last = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate'
         WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,

@@ -228,3 +228,14 @@ def test_texts_of_a_batch_are_made_a_few_at_a_time():
             return part
     held = Watched(pa.array([None if i % 7 == 0 else str(i) for i in range(1000)]))
     assert list(texts_of(held)) == held.a.to_pylist() and held.most == 256
+
+
+def test_ids_and_what_they_decode_to_come_from_one_worker(spark):
+    texts = [None, "", "a b", "ä" * 300, "x" * 5000] + [f"word{i} and {i * i}" for i in range(600)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1)
+    code = bpe.coder(spark, queries.RANKS, queries.PATTERN)
+    both = df.select("i", code("text").alias("c")).select("i", "c.*")
+    assert both._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    codec = bpe.Codec(bpe.load_ranks(queries.RANKS), queries.PATTERN)
+    got = {r.i: (bytes(r.ids), bytes(r.back)) for r in both.collect()}
+    assert got == {i: (codec.encode(t), (t or "").encode()) for i, t in enumerate(texts)}
