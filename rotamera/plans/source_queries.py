@@ -27,7 +27,8 @@ ID = ["ensemble_id", "conf_id"]
 
 def _scratch(spark) -> str:
     """A fresh folder beside the session's checkpoints, which all executors share."""
-    return f"{ensure_checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/corpus-{uuid.uuid4().hex}"
 
 
 def xyz_roundtrip(spark, sf):
@@ -66,12 +67,12 @@ def log_files(spark, sf):
     for d in ("orca", "gaussian"):
         path = f"{_scratch(spark)}/{d}"
         # a task writes the files of whole conformers, as many tasks as there are partitions
-        (log_text.corpus(spark, sf, d).select(*ID, F.col("text").alias("value"))
-         .write.partitionBy(*ID).text(path))
-        part = logs.parse_logs(logs.read_logs(spark, path, d), d, only=("version", "e", "b_vec", "terminated"))
+        logs.write_logs(log_text.corpus(spark, sf, d), path)
+        part = logs.parse_logs(logs.read_written_logs(spark, path, d), d,
+                               only=("version", "e", "b_vec", "terminated"))
         part = part.withColumn("dialect", F.lit(d))
         got = part if got is None else got.unionByName(part)
-    return got.select("dialect", *[F.col(c).cast("long").alias(c) for c in ID], "version", r("e", 8).alias("e"),
+    return got.select("dialect", *[F.col(c).try_cast("long").alias(c) for c in ID], "version", r("e", 8).alias("e"),
                       *[r(F.col("b_vec")[k]).alias(f"b{k}") for k in range(3)], "terminated")
 
 

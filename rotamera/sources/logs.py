@@ -1,11 +1,12 @@
 """Calculation outputs to columns.
 
-A dialect is a set of functions from the text column to Columns, registered by name; nothing
-here leaves the JVM.
+A dialect is a set of functions from the text column to Columns, registered by name; reading and
+parsing never leave the JVM.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -196,6 +197,69 @@ def parse_logs(df: DataFrame, dialect: str, text: str = "text",
                      *[c.alias(n) for n, c in columns.items()])
 
 
+# --- fixed value: where write_logs puts an output, in either of its two ways ---
+OUTPUT_KEYS = r"/([^/=]+)=([^/=]*)/([^/=]+)=([^/=]*?)(?:/|\.\d+\.)[^/]*$"
+
+
+def write_logs(df: DataFrame, path: str, keys: tuple[str, str] = ("ensemble_id", "conf_id"),
+               text: str = "text", suffix: str = ".out") -> None:
+    """One file per output under a new folder ``path``, a URI. Keys are whole numbers or missing. Rows of
+    a partition that share their keys share a file.
+
+    Where the folder is mounted (``file:``), tasks write the files themselves into one folder per
+    ensemble, so neither commit nor listing grows by a folder an output, which costs Spark's
+    writer a directory and a rename and its reader a task each. Elsewhere Spark's writer makes a
+    folder per output. :func:`read_written_logs` reads both."""
+    group, member = keys
+    rows = (df.select(*[F.col(k).cast("long").alias(k) for k in keys], F.col(text).alias("value"))
+            .sortWithinPartitions(*keys))
+    if not path.startswith("file:"):
+        rows.write.partitionBy(*keys).text(path)
+        return
+    base = path.removeprefix("file:")
+
+    def write(batches):
+        from itertools import groupby
+
+        import pyarrow as pa
+        from pyspark import TaskContext
+        task = TaskContext.get()
+        part, attempt = task.partitionId(), task.taskAttemptId()
+
+        def outputs():
+            for b in batches:
+                for lo in range(0, b.num_rows, 256):
+                    for r in b.slice(lo, 256).to_pylist():
+                        names = ["__HIVE_DEFAULT_PARTITION__" if r[k] is None else r[k] for k in keys]
+                        yield names, r["value"]
+        made, n = set(), 0
+        for (g, m), same in groupby(outputs(), lambda x: x[0]):
+            folder = f"{base}/{group}={g}"
+            if g not in made:
+                os.makedirs(folder, exist_ok=True)
+                made.add(g)
+            name = f"{folder}/{member}={m}.{part}{suffix}"
+            hidden = f"{folder}/.{member}={m}.{part}.{attempt}"      # a second attempt never cuts a file short
+            with open(hidden, "w", encoding="utf-8", newline="") as f:
+                for _, t in same:
+                    f.write((t or "") + "\n")
+            os.replace(hidden, name)
+            n += 1
+        yield pa.record_batch({"n": [n]})
+    os.makedirs(base)
+    rows.mapInArrow(write, "n long").agg(F.sum("n")).first()
+
+
+def read_written_logs(spark: SparkSession, path: str, dialect: str,
+                      keys: tuple[str, str] = ("ensemble_id", "conf_id")) -> DataFrame:
+    """(keys, file, text) of the outputs under a folder of :func:`write_logs`. Keys are texts, those
+    that were missing are NULL."""
+    found = {k: F.regexp_extract("file", OUTPUT_KEYS, 2 * i) for i, k in enumerate(keys, start=1)}
+    missing = F.lit("__HIVE_DEFAULT_PARTITION__")
+    return read_logs(spark, path, dialect).select(
+        *[F.nullif(v, missing).alias(k) for k, v in found.items()], "file", "text")
+
+
 def read_logs(spark: SparkSession, path: str, dialect: str) -> DataFrame:
     """(partition columns, file, text) of a corpus of outputs, one row per file, so one
     output must fit in memory, as it is one calculation. Many small files are better packed

@@ -219,3 +219,19 @@ def test_default_and_custom_protocols(spark, tmp_path):
 def test_nm_constant():
     assert K.NM_EV == pytest.approx(1239.8419843320026)
     assert np.isclose(K.LIGHT_SPEED_CM, 2.99792458e10)
+
+
+def test_outputs_one_to_a_file_in_a_folder_per_ensemble(spark, tmp_path):
+    rows = [(e, i, f"text {e} {i}\nä\n") for e in (1, -2, None) for i in [*range(20), None]]
+    rows += [(7, 3, "one"), (7, 3, "two"), (7, 4, None)]
+    df = spark.createDataFrame(rows, "ensemble_id long, conf_id long, text string").repartition(3, "conf_id")
+    got = {}
+    for way, path in (("files", f"file://{tmp_path}/a b/files"), ("folders", f"{tmp_path}/folders")):
+        logs.write_logs(df, path)
+        back = logs.read_written_logs(spark, path, "orca").select("ensemble_id", "conf_id", "text").collect()
+        got[way] = {(r[0], r[1]): sorted(r[2].split("\n")) for r in back}
+        assert len(got[way]) == len(back)
+    assert got["files"] == got["folders"] and len(got["files"]) == 65
+    assert got["files"]["-2", "3"] == sorted("text -2 3\nä\n\n".split("\n")) and got["files"][None, None]
+    made = [p for p in (tmp_path / "a b" / "files").rglob("*")]
+    assert sum(p.is_dir() for p in made) == 4 and sum(p.is_file() for p in made) == 65
