@@ -1,8 +1,9 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from rotamera.operators import cluster as C
+from rotamera.operators import cluster as C, scan
 
 SCHEMA = "ensemble_id string, conf_id long, features array<double>"
 
@@ -207,3 +208,67 @@ def test_copies_of_packed_ensembles_are_about_as_many_as_tasks(spark, monkeypatc
     curve = C.silhouette_curve(df, points="points").collect()
     assert len(curve) == 12 * (32 - 4 + 1)
     assert copies.value == held.value <= 4 * 4 + 12
+
+
+def packed(x, h, ks):
+    return pd.DataFrame([["m", x.tobytes(), h.astype(float).tobytes(), ks, len(x)]],
+                        columns=["ensemble_id", "_x", "_h", "_tried", "_n"])
+
+
+def odd_points(rng):
+    """Points apart, copies of points, points on a grid, half of them equal, far from zero, all equal."""
+    x = rng.normal(size=(90, 4))
+    same = x.copy()
+    same[:45] = same[0]
+    return [x, np.repeat(x[:23], 4, axis=0), np.round(x, 0), same, x * 1e-3 + 1e4, np.zeros((20, 2)), x[:, :1] * 1e4]
+
+
+@pytest.mark.parametrize("max_iter", [50, 3, 1])
+def test_scan_equals_each_k_from_scratch(max_iter):
+    """Labels to the bit, also where equal distances decide; scores do not depend on the k before."""
+    rng = np.random.default_rng(6)
+    for x in odd_points(rng):
+        h = np.round(rng.permutation(len(x)) / 2)
+        ks = list(range(2, len(x) - 1, 2 if len(x) < 50 else 5))
+        want = [C._lloyd(x, h, k, max_iter) for k in ks]
+        mean = C._silhouettes(x, want).mean(axis=1)
+        for kept, room in ((64 << 20, 32 << 20), (20_000, 40_000), (0, 32 << 20)):
+            p = scan._Points(x, room)
+            labels = scan.Labels(p, h, ks[-1], max_iter, kept)
+            assert all((labels.advance(k) == w).all() for k, w in zip(ks, want))
+            got = scan.scores(x, h, ks, max_iter, kept, room)
+            assert np.allclose(got, mean, atol=1e-12, rtol=0, equal_nan=True)
+            alone = [scan.scores(x, h, [k], max_iter, kept, room)[0] for k in ks[::4]]
+            assert np.array_equal(got[::4], alone, equal_nan=True)
+
+
+def test_scan_carries_labels_from_k_to_k(monkeypatch):
+    """No k meets all points with all centres anew, which made the scan's work grow with the cube of the members."""
+    rng = np.random.default_rng(8)
+    x, h, ks = rng.normal(size=(400, 3)), rng.permutation(400), list(range(40, 321))
+    anew, met = [], []
+    nearest, gaps = C._nearest, scan._Points.gaps
+    monkeypatch.setattr(C, "_nearest", lambda *a: anew.append(1) or nearest(*a))
+    monkeypatch.setattr(scan._Points, "gaps", lambda self, i, *a: met.append(len(i)) or gaps(self, i, *a))
+    out = C._scans(["ensemble_id"], 50)(packed(x, h, ks))
+    assert list(out["k"]) == ks and out["score"].notna().all()
+    assert not anew and sum(met) < len(ks) * 400 * 40
+
+
+def test_scan_of_points_without_finite_squares():
+    """They take each k from scratch, as before."""
+    rng = np.random.default_rng(2)
+    x, h = rng.normal(size=(30, 2)), rng.permutation(30)
+    x[3] = np.nan
+    out = C._scans(["ensemble_id"], 50)(packed(x, h, [2, 3, 9]))
+    want = C._silhouettes(x, [C._lloyd(x, h.astype(float), k, 50) for k in (2, 3, 9)]).mean(axis=1)
+    assert np.array_equal(out["score"], want, equal_nan=True)
+
+
+def test_stretches_of_a_scan_cover_its_range_once(spark):
+    rng = np.random.default_rng(4)
+    rows = [(e, i, rng.normal(size=2).tolist()) for e, n in enumerate((2, 3, 5, 13, 90)) for i in range(n)]
+    df = spark.createDataFrame(rows, "ensemble_id int, conf_id long, points array<double>")
+    got = sorted((r.ensemble_id, r.k) for r in C.silhouette_curve(df, points="points").collect())
+    ranges = [(0, 2, 2), (1, 2, 2), (2, 2, 4), (3, 2, 10), (4, 9, 72)]
+    assert got == [(e, k) for e, lo, hi in ranges for k in range(lo, hi + 1)]
