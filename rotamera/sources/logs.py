@@ -7,11 +7,14 @@ parsing never leave the JVM.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rotamera.constants import GHZ_PER_WAVENUMBER, WAVENUMBERS_PER_EV
+from rotamera.operators.grouping import spread
 from rotamera.sources.numbers import NUMBER, REAL, labelled, row_of
 
 # --- fixed values: what the two programs print --------------------------------
@@ -184,12 +187,16 @@ register_dialect("orca", _orca)
 register_dialect("gaussian", _gaussian)
 
 
+def _check_dialect(dialect: str) -> None:
+    if dialect.lower() not in DIALECTS:
+        raise ValueError(f"unknown dialect {dialect!r}, have {sorted(DIALECTS)}")
+
+
 def parse_logs(df: DataFrame, dialect: str, text: str = "text",
                only: tuple[str, ...] | None = None) -> DataFrame:
     """Add version, e, geom, b_vec, m_vec, freq, the four line lists, terminated and converged
     from the text column, and drop it. ``only`` restricts what is extracted."""
-    if dialect.lower() not in DIALECTS:
-        raise ValueError(f"unknown dialect {dialect!r}, have {sorted(DIALECTS)}")
+    _check_dialect(dialect)
     columns = DIALECTS[dialect.lower()](F.col(text))
     if only is not None:
         columns = {k: columns[k] for k in only}
@@ -198,6 +205,7 @@ def parse_logs(df: DataFrame, dialect: str, text: str = "text",
 
 
 # --- fixed value: where write_logs puts an output, in either of its two ways ---
+SAFE = "/=:@!$&'()*+,;~"                           # left as they are in a file's URI
 OUTPUT_KEYS = r"/([^/=]+)=([^/=]*)/([^/=]+)=([^/=]*?)(?:/|\.\d+\.)[^/]*$"
 
 
@@ -211,11 +219,14 @@ def write_logs(df: DataFrame, path: str, keys: tuple[str, str] = ("ensemble_id",
     writer a directory and a rename and its reader a task each. Elsewhere Spark's writer makes a
     folder per output. :func:`read_written_logs` reads both."""
     group, member = keys
-    rows = (df.select(*[F.col(k).cast("long").alias(k) for k in keys], F.col(text).alias("value"))
-            .sortWithinPartitions(*keys))
+    rows = df.select(*[F.col(k).cast("long").alias(k) for k in keys], F.col(text).alias("value"))
     if not path.startswith("file:"):
-        rows.write.partitionBy(*keys).text(path)
+        rows.sortWithinPartitions(*keys).write.partitionBy(*keys).text(path)
         return
+    # each partition takes the ensembles in an order of its own: tasks in one folder wait for each other
+    turn = F.xxhash64(F.col(group), F.spark_partition_id())
+    rows = (rows.withColumns({"value": F.col("value").cast("binary"), "_turn": turn})
+            .sortWithinPartitions("_turn", *keys).drop("_turn"))
     base = path.removeprefix("file:")
 
     def write(batches):
@@ -240,9 +251,9 @@ def write_logs(df: DataFrame, path: str, keys: tuple[str, str] = ("ensemble_id",
                 made.add(g)
             name = f"{folder}/{member}={m}.{part}{suffix}"
             hidden = f"{folder}/.{member}={m}.{part}.{attempt}"      # a second attempt never cuts a file short
-            with open(hidden, "w", encoding="utf-8", newline="") as f:
+            with open(hidden, "wb") as f:
                 for _, t in same:
-                    f.write((t or "") + "\n")
+                    f.write((t or b"") + b"\n")
             os.replace(hidden, name)
             n += 1
         yield pa.record_batch({"n": [n]})
@@ -250,13 +261,64 @@ def write_logs(df: DataFrame, path: str, keys: tuple[str, str] = ("ensemble_id",
     rows.mapInArrow(write, "n long").agg(F.sum("n")).first()
 
 
+FILES_AT_ONCE, BYTES_AT_ONCE = 256, 4 << 20       # of the files in a batch
+
+
+def _hidden(name: str) -> bool:
+    """Files that Spark's reader passes over."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name)
+
+
+def _mounted_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, text) of the files one folder below a mounted folder. A task lists each folder, then the files are
+    dealt out and read by as many tasks as there are partitions, where Spark's reader has one for each 32 files
+    or so and opens each through several calls."""
+    base = "/" + path.removeprefix("file:").lstrip("/")
+    folders = sorted(f.path for f in os.scandir(base) if f.is_dir() and not _hidden(f.name))
+
+    def listed(batches):
+        import pyarrow as pa
+        for b in batches:
+            for folder in b.column(0).to_pylist():
+                names = [f.path for f in os.scandir(folder) if not _hidden(f.name)]
+                for lo in range(0, len(names), 10_000):
+                    yield pa.record_batch({"file": names[lo:lo + 10_000]})
+
+    def read(batches):
+        import pyarrow as pa
+        names, texts, size = [], [], 0
+        schema = pa.schema([("file", pa.string()), ("text", pa.binary())])
+
+        def uri(name):
+            return "file:" + re.sub(r"[\x00-\x7f]+", lambda m: quote(m[0], safe=SAFE), name)
+
+        def batch():
+            return pa.record_batch([[uri(n) for n in names], texts], schema=schema)
+        for b in batches:
+            for name in b.column(0).to_pylist():
+                with open(name, "rb") as f:
+                    texts.append(f.read())
+                names.append(name)
+                size += len(texts[-1])
+                if len(names) == FILES_AT_ONCE or size > BYTES_AT_ONCE:
+                    yield batch()
+                    names, texts, size = [], [], 0
+        if names:
+            yield batch()
+    names = spark.createDataFrame([(f,) for f in folders], "folder string").mapInArrow(listed, "file string")
+    return (spread(names, ["file"]).mapInArrow(read, "file string, text binary")
+            .select("file", F.col("text").cast("string").alias("text")))
+
+
 def read_written_logs(spark: SparkSession, path: str, dialect: str,
                       keys: tuple[str, str] = ("ensemble_id", "conf_id")) -> DataFrame:
     """(keys, file, text) of the outputs under a folder of :func:`write_logs`. Keys are texts, those
     that were missing are NULL."""
+    _check_dialect(dialect)
     found = {k: F.regexp_extract("file", OUTPUT_KEYS, 2 * i) for i, k in enumerate(keys, start=1)}
     missing = F.lit("__HIVE_DEFAULT_PARTITION__")
-    return read_logs(spark, path, dialect).select(
+    files = _mounted_files(spark, path) if path.startswith("file:") else read_logs(spark, path, dialect)
+    return files.select(
         *[F.nullif(v, missing).alias(k) for k, v in found.items()], "file", "text")
 
 
@@ -264,8 +326,7 @@ def read_logs(spark: SparkSession, path: str, dialect: str) -> DataFrame:
     """(partition columns, file, text) of a corpus of outputs, one row per file, so one
     output must fit in memory, as it is one calculation. Many small files are better packed
     into a Parquet table of texts, which :func:`parse_logs` takes just as well."""
-    if dialect.lower() not in DIALECTS:
-        raise ValueError(f"unknown dialect {dialect!r}, have {sorted(DIALECTS)}")
+    _check_dialect(dialect)
     raw = spark.read.text(path, wholetext=True)
     extra = [c for c in raw.columns if c != "value"]
     return raw.select(*extra, F.col("_metadata.file_path").alias("file"),

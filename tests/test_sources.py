@@ -235,3 +235,27 @@ def test_outputs_one_to_a_file_in_a_folder_per_ensemble(spark, tmp_path):
     assert got["files"]["-2", "3"] == sorted("text -2 3\nä\n\n".split("\n")) and got["files"][None, None]
     made = [p for p in (tmp_path / "a b" / "files").rglob("*")]
     assert sum(p.is_dir() for p in made) == 4 and sum(p.is_file() for p in made) == 65
+
+
+def test_mounted_outputs_are_read_by_as_many_tasks_as_partitions(spark, tmp_path, monkeypatch):
+    """Spark's reader had a task for each 32 files or so. Names and texts are those that it gives."""
+    rows = [(None if i == 3 else i % 3 - 1, i, f"text {i}\nä\r\n\n" if i % 7 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "ensemble_id long, conf_id long, text string").repartition(3)
+    path = f"file:{tmp_path}/a b%c#+é/files"
+    logs.write_logs(df, path)
+    for hidden in ("ensemble_id=0/.conf_id=1.0.5", "ensemble_id=0/_SUCCESS", ".ensemble_id=7/conf_id=1.0.out"):
+        (tmp_path / "a b%c#+é/files" / hidden).parent.mkdir(exist_ok=True)
+        (tmp_path / "a b%c#+é/files" / hidden).write_text("cut sh")
+    want = sorted(map(tuple, logs.read_logs(spark, path, "orca").select("file", "text").collect()))
+    for files, size in ((256, 4 << 20), (256, 1), (1, 4 << 20)):
+        monkeypatch.setattr(logs, "FILES_AT_ONCE", files)
+        monkeypatch.setattr(logs, "BYTES_AT_ONCE", size)
+        back = logs.read_written_logs(spark, path, "orca")
+        assert back.rdd.getNumPartitions() <= 4
+        assert sorted(map(tuple, back.select("file", "text").collect())) == want and len(want) == 200
+    keys = {(r.ensemble_id, r.conf_id) for r in back.select("ensemble_id", "conf_id").collect()}
+    assert keys == {(None if e is None else str(e), str(c)) for e, c, _ in rows}
+    with pytest.raises(ValueError):
+        logs.read_written_logs(spark, path, "unknown")
+    (tmp_path / "none").mkdir()
+    assert logs.read_written_logs(spark, f"file:{tmp_path}/none", "orca").count() == 0
