@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 EPS = float(np.finfo(float).eps)
-FEW = 8                   # centres whose meeting with all points costs little
+FEW = 8                   # centres fewer than these meet all points at little cost
 
 
 class _Points:
@@ -47,17 +47,29 @@ class _Points:
 
     def within(self, at: np.ndarray | None, centres: np.ndarray, limits: np.ndarray):
         """Pairs of points and centres that may lie within the points' limits, squared distances, by one matrix
-        product. The pairs of a point come together."""
+        product. The pairs of a point come together. Points too far from all centres' middle are left out before."""
         about = self.centred(centres)
         sq = np.einsum("ij,ij->i", about, about)
-        right = np.vstack([-2.0 * about.T, sq, np.ones(len(sq))])
-        self.left[:, -1] = self.sq - limits - self.tol * (self.sq + sq.max())
+        most, m = sq.max(), len(about)
+        if at is None and m >= FEW:
+            ball = about.mean(axis=0)
+            own = float(ball @ ball)
+            reach = np.sqrt(np.maximum(limits, 0.0))
+            reach += np.sqrt(np.einsum("ij,ij->i", about - ball, about - ball).max())
+            reach *= reach * (1 + 1e-9)
+            away = self.about @ (-2.0 * ball)
+            away += (1 - self.tol) * self.sq
+            some = np.flatnonzero(away <= reach - (own - self.tol * (own + most)))
+            at = some if 2 * len(some) < len(self.x) else None
+        right = np.vstack([-2.0 * about.T, sq, np.ones(m)])
         n = len(self.x) if at is None else len(at)
-        step = max(1, min(self.room, 1 << 20) // (8 * len(centres)))
+        step = max(1, min(self.room, 1 << 20) // (8 * m))
         for lo in range(0, n, step):
-            g = (self.left[lo:lo + step] if at is None else self.left[at[lo:lo + step]]) @ right
-            i, j = np.divmod(np.flatnonzero(g.ravel() <= 0.0), len(centres))
-            yield (i + lo if at is None else at[i + lo]), j
+            here = slice(lo, lo + step) if at is None else at[lo:lo + step]
+            left = self.left[here]
+            left[:, -1] = self.sq[here] * (1 - self.tol) - limits[here] - self.tol * most
+            i, j = np.divmod(np.flatnonzero((left @ right).ravel() <= 0.0), m)
+            yield (i + lo if at is None else here[i]), j
 
     def gaps(self, i: np.ndarray, others: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Squared distances of pairs."""
